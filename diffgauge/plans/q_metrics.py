@@ -1,0 +1,362 @@
+"""Evaluation metrics (M), sweeps and statistics (N)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from diffgauge.functions import numbers as N, text as X
+from diffgauge.operators import confusion as C, sweep, tokens as TK
+from diffgauge.operators.curves import pr_area, roc_auc
+from diffgauge.operators.ranks import medians
+from diffgauge.operators.stats import mann_whitney, median_split, signed_rank, summary
+from diffgauge.operators.topk import top_hits
+from diffgauge.plans import roles as R
+from diffgauge.plans.q_aggregates import COUNTS
+from diffgauge.plans.q_text import TOKEN_SCORES
+from diffgauge.plans.registry import query
+from diffgauge.plans.roles import FILE, with_ctes
+from diffgauge.session import materialize
+from diffgauge.sources.readers import table
+
+R.CTES["file_count"] = (("item_line",), f"SELECT dataset, changeId, fileName, {COUNTS.format('1.5::DOUBLE')} FROM item_line GROUP BY ALL")
+RATES = """tp::DOUBLE / nullif(tp + fn, 0) AS recall, coalesce(fp::DOUBLE / nullif(fp + tn, 0), 0.0) AS far"""
+R.CTES["file_rate"] = (("file_count",), f"SELECT *, sqrt(((1 - recall) * (1 - recall) + far * far) / 2) AS d2h FROM (SELECT *, {RATES} FROM file_count)")
+
+
+def file_rates(spark, d):
+    counts = C.confusion(R.item_lines(spark, d), F.col("groundTruth") == 1, F.col("ngramScore") > 1.5, FILE)
+    return C.with_detection_rates(counts)
+
+
+def rounded(df, *names, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if c in names else c for c in df.columns])
+
+
+@query("M1_recall_and_far", with_ctes(
+    "SELECT dataset, changeId, fileName, round(recall, 6) AS recall, round(far, 6) AS far FROM file_rate", "file_rate"))
+def recall_far(spark, d):
+    return rounded(file_rates(spark, d).select(*FILE, "recall", "far"), "recall", "far")
+
+
+@query("M2_distance_to_heaven", with_ctes(
+    "SELECT dataset, changeId, fileName, round(d2h, 6) AS d2h FROM file_rate", "file_rate"))
+def distance(spark, d):
+    return rounded(file_rates(spark, d).select(*FILE, "d2h"), "d2h")
+
+
+CLASS = """coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0) AS recall,
+  coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0.0) AS f1,
+  coalesce((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 0.0) AS mcc"""
+
+
+@query("M3_precision_and_f1", with_ctes(
+    f"SELECT dataset, changeId, fileName, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM (SELECT *, {CLASS} FROM file_count)", "file_count"))
+def precision_f1(spark, d):
+    counts = C.confusion(R.item_lines(spark, d), F.col("groundTruth") == 1, F.col("ngramScore") > 1.5, FILE)
+    return rounded(C.with_class_rates(counts).select(*FILE, "precision", "f1"), "precision", "f1")
+
+
+@query("M4_mcc", with_ctes(
+    f"SELECT dataset, changeId, fileName, round(mcc, 6) AS mcc FROM (SELECT *, {CLASS} FROM file_count)", "file_count"))
+def mcc(spark, d):
+    counts = C.confusion(R.item_lines(spark, d), F.col("groundTruth") == 1, F.col("ngramScore") > 1.5, FILE)
+    return rounded(C.with_class_rates(counts).select(*FILE, "mcc"), "mcc")
+
+
+R.CTES["priced"] = ((), """
+  SELECT l_linestatus AS model, l_extendedprice AS score, CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem""")
+
+
+def priced(spark, d):
+    return table(spark, d, "lineitem", ["l_linestatus", "l_extendedprice", "l_returnflag"]).select(
+        F.col("l_linestatus").alias("model"), F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+@query("M5_roc_auc", with_ctes("""
+SELECT model, round((sum(r) FILTER (WHERE label = 1) - max(p) * (max(p) + 1) / 2.0::DOUBLE) / (max(p) * (count(*) - max(p))), 9) AS auc FROM (
+  SELECT model, label, (rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0::DOUBLE) AS r,
+         sum(label) OVER (PARTITION BY model)::DOUBLE AS p FROM priced) GROUP BY model""", "priced"))
+def auc(spark, d):
+    return rounded(roc_auc(priced(spark, d), "label", "score", ["model"]), "auc", digits=9)
+
+
+@query("M6_pr_area", with_ctes("""
+SELECT model, round(sum(pos * (p0 + p1) / 2) / sum(pos), 9) AS pr_area FROM (
+  SELECT model, pos, tp / (tp + fp) AS p1, CASE WHEN tp + fp - pos - neg = 0 THEN 1.0::DOUBLE ELSE (tp - pos) / (tp + fp - pos - neg) END AS p0 FROM (
+    SELECT model, pos, neg, sum(pos) OVER w::DOUBLE AS tp, sum(neg) OVER w::DOUBLE AS fp FROM (
+      SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM priced GROUP BY ALL)
+    WINDOW w AS (PARTITION BY model ORDER BY score DESC))) GROUP BY model""", "priced"))
+def pr(spark, d):
+    return rounded(pr_area(priced(spark, d), "label", "score", ["model"]), "pr_area", digits=9)
+
+
+@query("M7_token_scores_at_k", with_ctes(f"""
+SELECT k, common, changed, suggested, round(recall, 6) AS recall, round(precision, 6) AS precision,
+       round(2 * recall * precision / nullif(recall + precision, 0), 6) AS f1 FROM ({TOKEN_SCORES})""", "routed"))
+def token_scores(spark, d):
+    out = TK.token_scores_at_k(R.routed(spark, d))
+    return rounded(out.select("k", "common", "changed", "suggested", "recall", "precision", "f1"), "recall", "precision", "f1")
+
+
+@query("M8_epoch_metrics", with_ctes("""
+SELECT epoch, round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1, round(recall, 6) AS recall, round(far, 6) AS far,
+       round(sqrt(((1 - recall) * (1 - recall) + far * far) / 2), 6) AS d2h FROM (
+  SELECT *, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0) AS recall, coalesce(fp::DOUBLE / nullif(fp + tn, 0), 0.0) AS far FROM (
+    SELECT epoch, count(*) FILTER (WHERE label = 1 AND prob > 0.5) AS tp, count(*) FILTER (WHERE label = 1 AND prob <= 0.5) AS fn,
+       count(*) FILTER (WHERE label = 0 AND prob > 0.5) AS fp, count(*) FILTER (WHERE label = 0 AND prob <= 0.5) AS tn FROM prediction GROUP BY epoch))""", "prediction"))
+def epoch_metrics(spark, d):
+    return rounded(C.epoch_table(R.predictions(spark, d)), "f1", "recall", "far", "d2h")
+
+
+@query("M9_f1_guarded", with_ctes("""
+SELECT row_id, k, round(2 * r * p / nullif(r + p, 0), 6) AS f1 FROM (
+  SELECT row_id, k, n_common::DOUBLE / nullif(n_changed, 0) AS r, n_common::DOUBLE / nullif(n_suggested, 0) AS p FROM routed)""", "routed"))
+def f1_guarded(spark, d):
+    r, p = N.ratio("n_common", "n_changed"), N.ratio("n_common", "n_suggested")
+    return R.routed(spark, d).select("row_id", "k", F.round(N.f1(r, p), 6).alias("f1"))
+
+
+R.CTES["top_hit"] = (("item_line",), """
+  SELECT dataset, changeId, fileName, CAST(sum(groundTruth) FILTER (WHERE r <= 10) AS BIGINT) AS top, CAST(sum(groundTruth) AS BIGINT) AS total_true FROM (
+    SELECT *, rank() OVER (PARTITION BY dataset, changeId, fileName ORDER BY ngramScore DESC) AS r FROM item_line) GROUP BY ALL""")
+
+
+@query("M10_top10_share", with_ctes("""
+SELECT dataset, changeId, fileName, total_true, top, round(top::DOUBLE / nullif(total_true, 0), 6) AS top_per FROM top_hit""", "top_hit"))
+def top10_share(spark, d):
+    return rounded(top_hits(R.item_lines(spark, d), FILE, "ngramScore", "groundTruth"), "top_per")
+
+
+@query("M11_top10_accuracy", with_ctes("""
+SELECT coalesce(dataset, 'all') AS dataset, round(100 * (count(*) FILTER (WHERE top > 0))::DOUBLE / count(*), 6) AS top10_acc
+FROM top_hit GROUP BY GROUPING SETS ((dataset), ())""", "top_hit"))
+def top10_accuracy(spark, d):
+    hits = top_hits(R.item_lines(spark, d), FILE, "ngramScore", "groundTruth").select("dataset", "top")
+    acc = F.round(100 * F.avg((F.col("top") > 0).cast("double")), 6).alias("top10_acc")
+    # per project and over all files in one aggregation
+    return hits.rollup("dataset").agg(acc).select(F.coalesce("dataset", F.lit("all")).alias("dataset"), "top10_acc")
+
+
+@query("G7_venn_counts", with_ctes(f"""
+SELECT k, changed - common AS changed_only, suggested - common AS suggested_only, common FROM ({TOKEN_SCORES})""", "routed"))
+def venn(spark, d):
+    return TK.venn_counts(TK.token_scores_at_k(R.routed(spark, d)))
+
+
+@query("H2_metric_rows", with_ctes(f"""
+, m AS (SELECT epoch, tp, fn, fp, tn, auc, {CLASS} FROM (
+    SELECT epoch, count(*) FILTER (WHERE label = 1 AND prob > 0.5) AS tp, count(*) FILTER (WHERE label = 1 AND prob <= 0.5) AS fn,
+       count(*) FILTER (WHERE label = 0 AND prob > 0.5) AS fp, count(*) FILTER (WHERE label = 0 AND prob <= 0.5) AS tn FROM prediction GROUP BY epoch)
+  JOIN (SELECT epoch, (sum(r) FILTER (WHERE label = 1) - max(p) * (max(p) + 1) / 2.0::DOUBLE) / (max(p) * (count(*) - max(p))) AS auc FROM (
+    SELECT epoch, label, (rank() OVER (PARTITION BY epoch ORDER BY prob) + (count(*) OVER (PARTITION BY epoch, prob) - 1) / 2.0::DOUBLE) AS r,
+         sum(label) OVER (PARTITION BY epoch)::DOUBLE AS p FROM prediction) GROUP BY epoch) USING (epoch))
+SELECT epoch::VARCHAR AS Technique, 'all' AS Datasets,
+  unnest(['AUC', 'Precision', 'Recall', 'F1 measure', 'MCC', 'true negative', 'false positive', 'false negative', 'true positive']) AS Measure,
+  unnest([round(auc, 6), round(precision, 6), round(recall, 6), round(f1, 6), round(mcc, 6), tn::DOUBLE, fp::DOUBLE, fn::DOUBLE, tp::DOUBLE]) AS Value FROM m""", "prediction").replace("\n\n,", ",").replace("\n,", ","))
+def metric_rows(spark, d):
+    from diffgauge.operators.models import evaluate
+    p = R.predictions(spark, d).select(F.col("epoch").cast("string").alias("Technique"), F.lit("all").alias("Datasets"),
+                                       "label", "prob", (F.col("prob") > 0.5).cast("int").alias("prediction"))
+    return evaluate(p).withColumn("Value", F.round("Value", 6))
+
+
+# --- N: sweeps and statistics -----------------------------------------------------------
+
+R.CTES["line_best"] = (("token_score",), """
+  SELECT fileName, lineNumber, min(r) AS best FROM (
+    SELECT dataset, changeId, fileName, token, rank() OVER (PARTITION BY dataset, changeId, fileName ORDER BY limeScore DESC) AS r
+    FROM (SELECT DISTINCT dataset, changeId, fileName, token, limeScore FROM token_score WHERE limeScore > 0))
+  JOIN token_score USING (dataset, changeId, fileName, token) GROUP BY ALL""")
+
+TOP_K_BY_FILE = """
+  SELECT dataset, changeId, fileName, CAST(k AS INTEGER) AS k,
+    count(*) FILTER (WHERE groundTruth = 1 AND coalesce(best, 1000000000) <= k) AS tp, count(*) FILTER (WHERE groundTruth = 1 AND coalesce(best, 1000000000) > k) AS fn,
+    count(*) FILTER (WHERE groundTruth = 0 AND coalesce(best, 1000000000) <= k) AS fp, count(*) FILTER (WHERE groundTruth = 0 AND coalesce(best, 1000000000) > k) AS tn
+  FROM line_score LEFT JOIN line_best USING (fileName, lineNumber), (SELECT unnest([0, 5, 10, 15, 20, 25]) AS k) GROUP BY ALL"""
+R.CTES["topk_file"] = (("line_score", "line_best"), TOP_K_BY_FILE)
+R.CTES["score_file"] = (("item_line",), f"""
+  SELECT dataset, changeId, fileName, threshold, {COUNTS.format('threshold')}
+  FROM item_line, (SELECT i::DOUBLE / 10 AS threshold FROM range(0, 31) r(i)) GROUP BY ALL""")
+
+
+def _summary_sql(source: str, setting: str) -> str:
+    return f"""
+SELECT {setting}, median(recall) AS avg_recall, median(far) AS avg_far, median(d2h) AS avg_d2h FROM (
+  SELECT *, sqrt(((1 - recall) * (1 - recall) + far * far) / 2) AS d2h FROM (SELECT *, {RATES} FROM {source})) GROUP BY {setting}"""
+
+
+R.CTES["topk_summary"] = (("topk_file",), _summary_sql("topk_file", "k"))
+R.CTES["score_summary"] = (("score_file",), _summary_sql("score_file", "threshold"))
+AVGS = ("avg_recall", "avg_far", "avg_d2h")
+AVGS_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in AVGS)
+
+
+def top_k_summary(spark, d):
+    by_file = sweep.top_k_sweep_by_file(R.scored_lines(spark, d), R.scored_tokens(spark, d))
+    return sweep.sweep_summary(by_file, "k")
+
+
+def score_summary(spark, d):
+    return sweep.sweep_summary(sweep.score_sweep_by_file(R.item_lines(spark, d)), "threshold")
+
+
+@query("N1_top_k_sweep", with_ctes(f"SELECT k, {AVGS_SQL} FROM topk_summary", "topk_summary"))
+def n1(spark, d):
+    return rounded(top_k_summary(spark, d), *AVGS)
+
+
+@query("N1_top_k_sweep_by_file", with_ctes("SELECT * FROM topk_file", "topk_file"))
+def n1_by_file(spark, d):
+    return sweep.top_k_sweep_by_file(R.scored_lines(spark, d), R.scored_tokens(spark, d))
+
+
+@query("N2_score_sweep", with_ctes(f"SELECT threshold, {AVGS_SQL} FROM score_summary", "score_summary"))
+def n2(spark, d):
+    return rounded(score_summary(spark, d), *AVGS)
+
+
+R.CTES["best_k"] = (("topk_summary",), "SELECT k FROM topk_summary ORDER BY avg_d2h, k LIMIT 1")
+R.CTES["best_t"] = (("line_score",), f"""
+  SELECT threshold FROM ({_summary_sql(f'''(SELECT dataset, changeId, fileName, threshold, {COUNTS.format("threshold")}
+  FROM line_score, (SELECT i::DOUBLE / 10 AS threshold FROM range(0, 31) r(i)) GROUP BY ALL)''', "threshold")}) ORDER BY avg_d2h, threshold LIMIT 1""")
+R.CTES["final"] = (("line_score", "line_best", "best_k", "best_t"), """
+  SELECT dataset, changeId, fileName,
+    count(*) FILTER (WHERE groundTruth = 1 AND coalesce(best <= k, false)) AS topk_tp, count(*) FILTER (WHERE groundTruth = 1 AND NOT coalesce(best <= k, false)) AS topk_fn,
+    count(*) FILTER (WHERE groundTruth = 0 AND coalesce(best <= k, false)) AS topk_fp, count(*) FILTER (WHERE groundTruth = 0 AND NOT coalesce(best <= k, false)) AS topk_tn,
+    count(*) FILTER (WHERE groundTruth = 1 AND ngramScore > threshold) AS ngram_tp, count(*) FILTER (WHERE groundTruth = 1 AND ngramScore <= threshold) AS ngram_fn,
+    count(*) FILTER (WHERE groundTruth = 0 AND ngramScore > threshold) AS ngram_fp, count(*) FILTER (WHERE groundTruth = 0 AND ngramScore <= threshold) AS ngram_tn
+  FROM line_score LEFT JOIN line_best USING (fileName, lineNumber), best_k, best_t GROUP BY ALL""")
+R.CTES["final_rate"] = (("final",), """
+  SELECT *, sqrt(((1 - topk_recall) * (1 - topk_recall) + topk_far * topk_far) / 2) AS topk_d2h,
+            sqrt(((1 - ngram_recall) * (1 - ngram_recall) + ngram_far * ngram_far) / 2) AS ngram_d2h FROM (
+    SELECT *, topk_tp::DOUBLE / nullif(topk_tp + topk_fn, 0) AS topk_recall, coalesce(topk_fp::DOUBLE / nullif(topk_fp + topk_tn, 0), 0.0) AS topk_far,
+              ngram_tp::DOUBLE / nullif(ngram_tp + ngram_fn, 0) AS ngram_recall, coalesce(ngram_fp::DOUBLE / nullif(ngram_fp + ngram_tn, 0), 0.0) AS ngram_far FROM final)""")
+FINAL_RATES = [f"{a}_{m}" for a in ("topk", "ngram") for m in ("recall", "far", "d2h")]
+
+
+def final_rates(spark, d):
+    """Both sweeps pick their best setting; the two settings are all that comes
+    to the driver. The token table is reused three times and written once."""
+    tokens = materialize(R.scored_tokens(spark, d))
+    lines = R.scored_lines(spark, d)
+    k = sweep.best_setting(sweep.sweep_summary(sweep.top_k_sweep_by_file(lines, tokens), "k"), "k").first()["k"]
+    t = sweep.best_setting(sweep.sweep_summary(sweep.score_sweep_by_file(lines), "threshold"), "threshold").first()["threshold"]
+    return sweep.final_comparison(lines, tokens, k, t)
+
+
+@query("N3_final_comparison", with_ctes(
+    f"SELECT dataset, changeId, fileName, topk_tp, topk_fn, topk_fp, topk_tn, ngram_tp, ngram_fn, ngram_fp, ngram_tn, {', '.join(f'round({c}, 6) AS {c}' for c in FINAL_RATES)} FROM final_rate", "final_rate"))
+def n3(spark, d):
+    return rounded(final_rates(spark, d).drop("tokens"), *FINAL_RATES)
+
+
+def _signed_sql(value: str, base: str, source: str, digits: int = 6) -> str:
+    return f"""
+SELECT n, n_used, w_plus, round(z, {digits}) AS z, round(z / sqrt(n), {digits}) AS effect FROM (
+  SELECT count(*) AS n, count(*) FILTER (WHERE s > 0) AS n_used, sum(CASE WHEN s > 0 AND v > 0 THEN r ELSE 0 END) AS w_plus,
+    (sum(CASE WHEN s > 0 AND v > 0 THEN r ELSE 0 END) - sum(CASE WHEN s > 0 THEN r ELSE 0 END) / 2) / (sqrt(sum(CASE WHEN s > 0 THEN r * r ELSE 0 END)) / 2) AS z
+  FROM (SELECT v, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r
+        FROM (SELECT {value} - {base} AS v, abs({value} - {base}) AS s FROM {source} WHERE {value} IS NOT NULL AND {base} IS NOT NULL)))"""
+
+
+@query("N4_signed_rank", _signed_sql("o_totalprice", "250000.0::DOUBLE", "orders"))
+def n4(spark, d):
+    o = table(spark, d, "orders", ["o_totalprice"]).withColumn("baseline", F.lit(250000.0))
+    out = signed_rank(o, "o_totalprice", "baseline")
+    return rounded(out.select("n", "n_used", "w_plus", "z", "effect"), "z", "effect")
+
+
+@query("N4_signed_rank_of_approaches", with_ctes("""
+SELECT measure, n, n_used, w_plus, round(z, 5) AS z, round(z / sqrt(n), 5) AS effect FROM (
+  SELECT measure, count(*) AS n, count(*) FILTER (WHERE s > 0) AS n_used, sum(CASE WHEN s > 0 AND v > 0 THEN r ELSE 0 END) AS w_plus,
+    (sum(CASE WHEN s > 0 AND v > 0 THEN r ELSE 0 END) - sum(CASE WHEN s > 0 THEN r ELSE 0 END) / 2) / (sqrt(sum(CASE WHEN s > 0 THEN r * r ELSE 0 END)) / 2) AS z
+  FROM (SELECT measure, v, s, rank() OVER (PARTITION BY measure ORDER BY s) + (count(*) OVER (PARTITION BY measure, s) - 1) / 2.0::DOUBLE AS r
+    FROM (SELECT measure, v, abs(v) AS s FROM (
+      SELECT unnest(['recall', 'far', 'd2h']) AS measure,
+             unnest([round(topk_recall, 9) - round(ngram_recall, 9), round(topk_far, 9) - round(ngram_far, 9), round(topk_d2h, 9) - round(ngram_d2h, 9)]) AS v
+      FROM final_rate) WHERE v IS NOT NULL)) GROUP BY measure)""", "final_rate"))
+def n4_approaches(spark, d):
+    rates = final_rates(spark, d)
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(f"topk_{m}", 9).alias("app"), F.round(f"ngram_{m}", 9).alias("base"))
+                      for m in ("recall", "far", "d2h")])
+    long = rates.select(F.explode(pairs).alias("p")).select("p.*")
+    out = signed_rank(long, "app", "base", ["measure"])
+    return rounded(out.select("measure", "n", "n_used", "w_plus", "z", "effect"), "z", "effect", digits=5)
+
+
+R.CTES["sized"] = (("timing",), """
+  SELECT event_id, dataset, waiting, size, size >= median(size) OVER (PARTITION BY dataset) AS is_large FROM timing""")
+
+
+@query("B26_large_by_median", with_ctes("SELECT event_id, dataset, is_large FROM sized", "sized"))
+def large_by_median(spark, d):
+    return median_split(R.timing(spark, d), "size", ["dataset"], cuts=[]).select("event_id", "dataset", "is_large")
+
+
+@query("N5_mann_whitney", with_ctes("""
+SELECT dataset, n1, n2, w, round((w - n1 * n2 / 2.0::DOUBLE - sign(w - n1 * n2 / 2.0::DOUBLE) * 0.5::DOUBLE) /
+  sqrt(n1 * n2 / 12.0::DOUBLE * ((n + 1) - ties / (n::DOUBLE * (n - 1)))), 6) AS z FROM (
+  SELECT dataset, count(*) FILTER (WHERE is_large) AS n1, count(*) FILTER (WHERE NOT is_large) AS n2, count(*) AS n,
+    sum(CASE WHEN is_large THEN r ELSE 0 END) - (count(*) FILTER (WHERE is_large)) * (count(*) FILTER (WHERE is_large) + 1) / 2.0::DOUBLE AS w,
+    sum(c::DOUBLE * c - 1) AS ties
+  FROM (SELECT dataset, is_large, count(*) OVER (PARTITION BY dataset, waiting) AS c,
+               rank() OVER (PARTITION BY dataset ORDER BY waiting) + (count(*) OVER (PARTITION BY dataset, waiting) - 1) / 2.0::DOUBLE AS r FROM sized)
+  GROUP BY dataset)""", "sized"))
+def n5(spark, d):
+    marked = median_split(R.timing(spark, d), "size", ["dataset"], cuts=[])
+    out = mann_whitney(marked, "waiting", "is_large", ["dataset"])
+    return rounded(out.select("dataset", "n1", "n2", "w", "z"), "z")
+
+
+@query("N6_waiting_by_half", with_ctes("""
+SELECT dataset, is_large, count(*) AS n, round(median(waiting), 6) AS waiting FROM sized GROUP BY ALL""", "sized"))
+def n6(spark, d):
+    marked = median_split(R.timing(spark, d), "size", ["dataset"], cuts=[])
+    return rounded(medians(marked, "waiting", ["dataset", "is_large"], "waiting"), "waiting")
+
+
+R.CTES["line_size"] = (("code_line",), """
+  SELECT dataset, fileName * 100000 + lineNumber AS pos, len(string_split(code, ' ')) - 1 AS size FROM code_line""")
+
+
+def _size_summary_sql(where: str) -> str:
+    return f"""
+SELECT s.dataset, n, mean, s.median, median_high, mode, pvariance, top_tenth FROM (
+  SELECT dataset, count(*) AS n, round(avg(size), 6) AS mean, median(size) AS median, round(var_pop(size), 6) AS pvariance FROM line_size WHERE {where} GROUP BY dataset) s
+JOIN (SELECT dataset, max(size) FILTER (WHERE r = n // 2 + 1) AS median_high, max(size) FILTER (WHERE r = n - CAST(floor(n * 0.1::DOUBLE) AS BIGINT)) AS top_tenth
+      FROM (SELECT dataset, size, row_number() OVER (PARTITION BY dataset ORDER BY size) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM line_size WHERE {where})
+      GROUP BY dataset) o USING (dataset)
+JOIN (SELECT dataset, size AS mode FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY c DESC, p) AS r FROM (
+      SELECT dataset, size, count(*) AS c, min(pos) AS p FROM line_size WHERE {where} GROUP BY ALL)) WHERE r = 1) m USING (dataset)"""
+
+
+def _line_sizes(spark, d):
+    return R.code_lines(spark, d).select("dataset", (F.col("fileName") * 100000 + F.col("lineNumber")).alias("pos"),
+                                         X.tokens_per_line("code").cast("long").alias("size"))
+
+
+@query("N7_tokens_per_line_summary", with_ctes(_size_summary_sql("true"), "line_size"))
+def n7(spark, d):
+    # lengths are small integers: few distinct values, no cut points needed
+    return rounded(summary(_line_sizes(spark, d), "size", ["dataset"], "pos", cuts=[]), "mean", "pvariance")
+
+
+@query("N7_long_line_summary", with_ctes(_size_summary_sql("size > 7"), "line_size"))
+def n7_long(spark, d):
+    return rounded(summary(_line_sizes(spark, d).where("size > 7"), "size", ["dataset"], "pos", cuts=[]), "mean", "pvariance")
+
+
+R.CTES["changed_size"] = (("pair", "changed_token"), """
+  SELECT row_id AS pos, (SELECT count(*) FROM changed_token c WHERE c.row_id = p.row_id) AS size FROM pair p""")
+
+
+@query("N7_changed_tokens_summary", with_ctes("""
+SELECT n, mean, median, mode, pvariance FROM (
+  SELECT count(*) AS n, round(avg(size), 6) AS mean, median(size) AS median, round(var_pop(size), 6) AS pvariance FROM changed_size),
+  (SELECT size AS mode FROM (SELECT size, count(*) AS c, min(pos) AS p FROM changed_size GROUP BY size) ORDER BY c DESC, p LIMIT 1)""", "changed_size"))
+def n7_changed(spark, d):
+    p = R.pairs(spark, d)
+    sizes = TK.changed_tokens(p).groupBy("row_id").agg(F.count(F.lit(1)).alias("size"))
+    rows = p.select("row_id").join(sizes, "row_id", "left").select(F.col("row_id").alias("pos"), F.coalesce("size", F.lit(0)).alias("size"))
+    out = summary(rows, "size", position="pos", cuts=[])
+    return rounded(out.select("n", "mean", "median", "mode", "pvariance"), "mean", "pvariance")

@@ -26,10 +26,10 @@ def explode_tokens(lines: DataFrame, code: str = "code", token: str = "token") -
 
 
 def token_scores(lines: DataFrame, attribution: DataFrame, on: Sequence[str], code: str = "code",
-                 weight: str = "weight", out: str = "limeScore") -> DataFrame:
+                 weight: str = "weight", out: str = "limeScore", hot: Sequence[int] | None = None) -> DataFrame:
     """Score of every token of every line, 0 for tokens without attribution."""
     tokens = explode_tokens(lines, code)
-    return (salted_lookup(tokens, attribution, on)
+    return (salted_lookup(tokens, attribution, on, hot=hot)
             .withColumn(out, F.coalesce(F.col(weight), F.lit(0.0))).drop(weight))
 
 

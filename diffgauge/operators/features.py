@@ -25,6 +25,11 @@ def vocabulary(train_terms: DataFrame, n_rows: int, min_df: int = 2, max_df: flo
             .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_rows)))
 
 
+def bag_of_words(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, term, n) restricted to the vocabulary: the sparse matrix in long form."""
+    return terms.join(words.select("term"), "term", "left_semi")
+
+
 def feature_pipeline(text: str, numeric: Sequence[str] = (), min_df: int = 2, max_df: float = 0.5,
                      vocab_size: int = 1 << 18, out: str = "features") -> Pipeline:
     """Tokenizer, counts and the numeric columns appended; vectors stay sparse."""

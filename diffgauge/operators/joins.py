@@ -17,20 +17,21 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list
 
 
 def salted_lookup(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",
-                  salts: int | None = None, share: float = HOT_SHARE) -> DataFrame:
+                  hot: Sequence[int] | None = None, salts: int | None = None) -> DataFrame:
     """Join facts to a lookup with one row per key.
 
-    Facts of a hot key are spread over ``salts`` tasks; its single lookup row is
-    copied that often. All other keys join as usual.
+    Without known hot keys this is a plain join, whose skewed partitions AQE
+    splits at run time. With ``hot`` (hashes from ``hot_keys``) the facts of those
+    keys are spread over ``salts`` tasks and their lookup rows copied that often;
+    all other keys join as usual.
     """
     on = list(on)
-    hot = hot_keys(facts, on, share)
     if not hot:
         return facts.join(lookup, on, how)
     if salts is None:
         salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     others = [c for c in facts.columns if c not in on] or on
-    is_hot = F.xxhash64(*on).isin(hot)
+    is_hot = F.xxhash64(*on).isin(list(hot))
     f = facts.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(1), *others), F.lit(salts))).otherwise(0).cast("int"))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     g = lookup.withColumn("_salt", F.explode(copies))

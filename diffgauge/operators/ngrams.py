@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffgauge.functions import text as X
-from diffgauge.operators.joins import salted_lookup
+from diffgauge.operators.joins import hot_keys, salted_lookup
 
 PAD = "<s>"
 
@@ -78,4 +78,6 @@ def line_entropy(train: DataFrame, test: DataFrame, line_id: str = "line_id", te
     bits = gram_entropies(counts, grams.select("g").distinct(), order, weight)
     scored = (salted_lookup(grams, bits, ["g"], "inner").groupBy(text)
               .agg((F.sum(F.col("bits") * F.col("n")) / F.sum("n")).alias("entropy")))
-    return salted_lookup(test.select(line_id, text), scored, [text]).select(line_id, "entropy")
+    rows = test.select(line_id, text)
+    # one boilerplate line may be a large share of all lines: spread its rows
+    return salted_lookup(rows, scored, [text], hot=hot_keys(rows, [text])).select(line_id, "entropy")

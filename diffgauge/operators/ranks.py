@@ -111,11 +111,14 @@ def top_share(share: float) -> Position:
 
 
 def order_statistics(df: DataFrame, value: str, positions: Mapping[str, Position],
-                     groups: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
+                     groups: Sequence[str] = (), cuts: Sequence[float] | None = None,
+                     one_pass: bool = False) -> DataFrame:
     """(groups, n, <name>...): the values at the asked positions, exact.
 
     First pass: row counts per range, combined map-side. Second pass: only rows
-    of the ranges that hold an asked position are shuffled and ordered.
+    of the ranges that hold an asked position are shuffled and ordered. With
+    ``one_pass`` (an input that is costly to compute twice, or few distinct
+    values) both work on one shared histogram of all values instead.
     """
     groups = list(groups)
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
@@ -123,7 +126,12 @@ def order_statistics(df: DataFrame, value: str, positions: Mapping[str, Position
         cuts = cut_points(rows, "_v")
     ranged = with_range(rows, "_v", cuts)
     part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    totals = ranged.groupBy(*groups, _RANGE).agg(F.count(F.lit(1)).alias("_c"))
+    one_pass = one_pass or not cuts
+    hist = ranged.groupBy(*groups, _RANGE, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if one_pass:
+        totals = hist.groupBy(*groups, _RANGE).agg(F.sum("_c").alias("_c"))
+    else:
+        totals = ranged.groupBy(*groups, _RANGE).agg(F.count(F.lit(1)).alias("_c"))
     placed = totals.select(
         *groups, _RANGE, "_c", F.sum("_c").over(part).alias("n"),
         F.coalesce(F.sum("_c").over(_before(groups, F.col(_RANGE))), F.lit(0)).alias("_start"))
@@ -137,11 +145,9 @@ def order_statistics(df: DataFrame, value: str, positions: Mapping[str, Position
     per_range = (wanted.groupBy(*groups, _RANGE)
                  .agg(F.first("n").alias("n"),
                       F.collect_list(F.struct("_name", "_off")).alias("_asked")))
-    if cuts:
+    if not one_pass:
         near = ranged.join(per_range.select(*groups, _RANGE), [*groups, _RANGE], "left_semi")
-    else:
-        near = ranged
-    hist = near.groupBy(*groups, _RANGE, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        hist = near.groupBy(*groups, _RANGE, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ordered = hist.withColumn("_b", F.coalesce(
         F.sum("_c").over(_before([*groups, _RANGE], F.col("_v"))), F.lit(0)))
     hit = (ordered.join(per_range, [*groups, _RANGE], "inner")

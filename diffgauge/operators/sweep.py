@@ -104,7 +104,7 @@ def sweep_summary(by_file: DataFrame, setting: str, groups: Sequence[str] = FILE
     long = (rates.select(*per, setting, "recall", "far", "d2h")
             .unpivot([*per, setting], ["recall", "far", "d2h"], "_measure", "_v"))
     mids = order_statistics(long, "_v", {"_lo": LOW_MIDDLE, "_hi": HIGH_MIDDLE},
-                            [*per, setting, "_measure"], cuts=unit_cuts())
+                            [*per, setting, "_measure"], cuts=unit_cuts(), one_pass=True)
     mid = (F.col("_lo") + F.col("_hi")) / 2
     return mids.groupBy(*per, setting).agg(
         *[F.max(F.when(F.col("_measure") == m, mid)).alias(f"avg_{m}") for m in ("recall", "far", "d2h")])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from diffgauge.functions import text as X
-from diffgauge.operators.joins import salted_lookup
+from diffgauge.operators.joins import salted_lookup, with_scalars
 
 FILE = ("changeId", "fileName")
 
@@ -42,9 +42,8 @@ def commented_lines(lines: DataFrame, files: DataFrame, label: str = "label") ->
 def length_distribution(lines: DataFrame, code: str = "code") -> DataFrame:
     """(length, length_score): share of the lines with that many words."""
     hist = lines.groupBy(X.words_per_line(code).alias("length")).agg(F.count(F.lit(1)).alias("_c"))
-    total = hist.agg(F.sum("_c").alias("_t")).withColumn("_one", F.lit(1))
-    return (hist.withColumn("_one", F.lit(1)).join(total, "_one")
-            .select("length", (F.col("_c") / F.col("_t")).alias("length_score")))
+    total = hist.agg(F.sum("_c").alias("_t"))
+    return with_scalars(hist, total).select("length", (F.col("_c") / F.col("_t")).alias("length_score"))
 
 
 def with_length_score(lines: DataFrame, distribution: DataFrame, code: str = "code") -> DataFrame:

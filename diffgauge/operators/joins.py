@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 HOT_SHARE = 0.01
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a table with exactly one row (a global aggregate)."""
+    return df.join(F.broadcast(one_row))
+
+
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:
     """Hashes of all keys that hold at least ``share`` of the rows (and maybe a few
     more): one scan without a shuffle, never more than 1/share entries."""

@@ -11,20 +11,31 @@ distinct n-gram of the scored lines.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffgauge.functions import text as X
-from diffgauge.operators.joins import hot_keys, salted_lookup
+from diffgauge.operators.joins import hot_keys, salted_lookup, with_scalars
 
 PAD = "<s>"
 
 
-def full_grams(code, order: int) -> Column:
-    """The n-gram ending at each word of a line, as an array of arrays."""
-    words = X.line_words(code)
+def full_grams(words, order: int) -> Column:
+    """The n-gram ending at each word of a word array, as an array of arrays.
+
+    The padded words are zipped with their own shifts, so they are built a fixed
+    number of times and not once per word.
+    """
+    words = F.col(words) if isinstance(words, str) else words
     padded = F.concat(F.array_repeat(F.lit(PAD), order - 1), words)
-    return F.when(F.size(words) > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(padded, i, order)))
+    shifts = [F.slice(padded, F.lit(s + 1), F.size(words)).alias(str(s)) for s in range(order)]
+    return F.transform(F.arrays_zip(*shifts), lambda z: F.array(*[z[str(s)] for s in range(order)]))
+
+
+def exploded_grams(lines: DataFrame, text: str, order: int, keep: Sequence[str] = ()) -> DataFrame:
+    worded = lines.select(*keep, X.line_words(text).alias("_words"))
+    return worded.select(*keep, F.explode(full_grams("_words", order)).alias("g"))
 
 
 def corpus_without(corpus: DataFrame, test: DataFrame, text: str = "text") -> DataFrame:
@@ -36,7 +47,7 @@ def corpus_without(corpus: DataFrame, test: DataFrame, text: str = "text") -> Da
 def gram_counts(train: DataFrame, text: str, order: int) -> DataFrame:
     """(gram, c): counts of the word sequences of length 1..order ending at each
     word, and of the contexts in front of it (kind 'g' and 'h')."""
-    grams = train.select(F.explode(full_grams(text, order)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    grams = exploded_grams(train, text, order).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     parts = [F.struct(F.lit("g").alias("kind"), F.array_join(F.slice("g", order - j, j + 1), " ").alias("gram"))
              for j in range(order)]
     parts += [F.struct(F.lit(f"h{j}").alias("kind"), F.array_join(F.slice("g", order - j, j), " ").alias("gram"))
@@ -58,9 +69,8 @@ def gram_entropies(counts: DataFrame, wanted: DataFrame, order: int, weight: flo
         *[F.max(F.when(F.col("kind") == f"h{j}", F.col("c"))).alias(f"h{j}") for j in range(1, order)])
     # unigrams are the sequences of length one: their sum and number, one row
     sizes = (counts.where((F.col("kind") == "g") & ~F.contains("gram", F.lit(" ")))
-             .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("h0"), (F.count(F.lit(1)) + 1).alias("vocab"))
-             .withColumn("_one", F.lit(1)))
-    per = per.withColumn("_one", F.lit(1)).join(sizes, "_one")
+             .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("h0"), (F.count(F.lit(1)) + 1).alias("vocab")))
+    per = with_scalars(per, sizes)
     p = 1 / F.col("vocab")
     for j in range(order):
         seen = F.coalesce(F.col(f"h{j}"), F.lit(0))
@@ -74,7 +84,7 @@ def line_entropy(train: DataFrame, test: DataFrame, line_id: str = "line_id", te
     """(line_id, entropy) of every test line; null for a line without words."""
     counts = gram_counts(train, text, order)
     texts = test.select(text).distinct()
-    grams = texts.select(text, F.explode(full_grams(text, order)).alias("g")).groupBy(text, "g").agg(F.count(F.lit(1)).alias("n"))
+    grams = exploded_grams(texts, text, order, [text]).groupBy(text, "g").agg(F.count(F.lit(1)).alias("n"))
     bits = gram_entropies(counts, grams.select("g").distinct(), order, weight)
     scored = (salted_lookup(grams, bits, ["g"], "inner").groupBy(text)
               .agg((F.sum(F.col("bits") * F.col("n")) / F.sum("n")).alias("entropy")))

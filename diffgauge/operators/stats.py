@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from diffgauge.operators.joins import with_scalars
 from diffgauge.operators.ranks import (HIGH_MIDDLE, LOW_MIDDLE, medians, order_statistics,
                                        running_totals, top_share)
 
@@ -35,11 +36,8 @@ def mode_first(df: DataFrame, value: str, groups: Sequence[str] = (), position:
 
 
 def _join(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Join two tables with one row per group (a single row each without groups)."""
-    if groups:
-        return left.join(right, list(groups), "inner")
-    one = "_one"
-    return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), one, "inner").drop(one)
+    """Join a table to one with one row per group (one row in all without groups)."""
+    return left.join(right, list(groups), "inner") if groups else with_scalars(left, right)
 
 
 def _quantile(p: float) -> tuple:

@@ -42,11 +42,11 @@ def substring_pairs(needles: DataFrame, texts: DataFrame, groups: Sequence[str],
     t = texts.where(F.length(text) > 0).select(*groups, text_id, F.col(text).alias("_t"))
 
     def blocks(q: int) -> Column:
-        last = F.greatest(F.floor(F.length("_t") / q) - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-            F.lit(q).alias("q"), F.substring(F.col("_t"), (i * q + 1).cast("int"), F.lit(q)).alias("b")))
+        # distinct on the plain strings: on structs it would compare all pairs
+        cut = F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(f"(?s).{{{q}}}"), 0))
+        return F.transform(cut, lambda b: F.struct(F.lit(q).alias("q"), b.alias("b")))
     cuts = [blocks(q) for q in BLOCKS]
-    t_probe = (t.select(*groups, text_id, F.explode(F.array_distinct(F.concat(*cuts))).alias("_c"))
+    t_probe = (t.select(*groups, text_id, F.explode(F.concat(*cuts)).alias("_c"))
                .select(*groups, text_id, F.col("_c.q").alias("_q"), F.col("_c.b").alias("_block")))
     pairs = n_probe.join(t_probe, [*groups, "_q", "_block"], "inner").select(needle_id, text_id).distinct()
     checked = (pairs.join(n.select(needle_id, "_n"), needle_id, "inner")

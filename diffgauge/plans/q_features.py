@@ -14,6 +14,7 @@ from diffgauge.operators.topk import top_exact
 from diffgauge.plans import roles as R
 from diffgauge.plans.q_aggregates import LENGTHS
 from diffgauge.plans.q_joins import labelled_lines, train_files
+from diffgauge.plans.q_text import word_rows
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import with_ctes
 from diffgauge.session import materialize
@@ -78,7 +79,9 @@ def row_surrogate(spark, d):
                                   stats["mean"].toArray(), stats["std"].toArray(), samples=1000)
 
 
-@query("K4_attribution_without_stop_words")
+@query("K4_attribution_without_stop_words", with_ctes(f"""
+SELECT token, round(weight, 9) AS weight FROM token_weight
+WHERE token NOT IN (SELECT stop.token FROM {word_rows()} WHERE stop.language = 'python')""", "token_weight"))
 def attribution(spark, d):
     weights = R.token_weights(spark, d).withColumn("language", F.lit("python"))
     return K.without_stop_words(weights, W.stop_words(spark)).select("token", F.round("weight", 9).alias("weight"))

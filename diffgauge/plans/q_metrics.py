@@ -191,9 +191,18 @@ AVGS = ("avg_recall", "avg_far", "avg_d2h")
 AVGS_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in AVGS)
 
 
+def positive_tokens(spark, d):
+    """The scored tokens that can be top tokens, written once: the sweep reads
+    them per line and per file."""
+    return materialize(R.scored_tokens(spark, d).where("limeScore > 0"))
+
+
+def top_k_by_file(spark, d):
+    return sweep.top_k_sweep_by_file(R.scored_lines(spark, d), positive_tokens(spark, d))
+
+
 def top_k_summary(spark, d):
-    by_file = sweep.top_k_sweep_by_file(R.scored_lines(spark, d), R.scored_tokens(spark, d))
-    return sweep.sweep_summary(by_file, "k")
+    return sweep.sweep_summary(top_k_by_file(spark, d), "k")
 
 
 def score_summary(spark, d):
@@ -207,7 +216,7 @@ def n1(spark, d):
 
 @query("N1_top_k_sweep_by_file", with_ctes("SELECT * FROM topk_file", "topk_file"))
 def n1_by_file(spark, d):
-    return sweep.top_k_sweep_by_file(R.scored_lines(spark, d), R.scored_tokens(spark, d))
+    return top_k_by_file(spark, d)
 
 
 @query("N2_score_sweep", with_ctes(f"SELECT threshold, {AVGS_SQL} FROM score_summary", "score_summary"))

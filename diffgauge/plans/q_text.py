@@ -411,13 +411,13 @@ def flatten_lists(spark, d):
                                                    F.array_join(flat, "|").alias("flat"))
 
 
+# the factor table has a fixed number of levels (nations), whatever the data size
 @query("B23_factor_recode", """
 SELECT c_custkey, n_name AS factor, n_regionkey AS ord FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def factor_recode(spark, d):
-    # the factor table is a dimension: Spark broadcasts it by its measured size
     levels = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("factor"),
                                               F.col("n_regionkey").alias("ord"))
-    return table(spark, d, "customer", ["c_custkey", "c_nationkey"]).join(levels, "c_nationkey").select("c_custkey", "factor", "ord")
+    return table(spark, d, "customer", ["c_custkey", "c_nationkey"]).join(F.broadcast(levels), "c_nationkey").select("c_custkey", "factor", "ord")
 
 
 @query("B24_round_half_even", """
@@ -538,7 +538,7 @@ def membership(spark, d):
     return table(spark, d, "events", ["event_id", "event_type"]).where(F.col("event_type").isin("click", "error"))
 
 
-def _word_rows() -> str:
+def word_rows() -> str:
     values = []
     for lang, words in W.KEYWORDS.items():
         for w in dict.fromkeys([*W.NUMERIC_FEATURES, *W.ENGLISH, *words]):
@@ -549,7 +549,7 @@ def _word_rows() -> str:
 @query("C6_stop_words", with_ctes(f"""
 SELECT DISTINCT fileName, token FROM (
   SELECT fileName, token, CASE WHEN dataset = 'en' THEN 'python' ELSE 'c' END AS language FROM line_token) t
-WHERE NOT EXISTS (SELECT 1 FROM {_word_rows()} WHERE stop.language = t.language AND stop.token = t.token)""", "line_token"))
+WHERE NOT EXISTS (SELECT 1 FROM {word_rows()} WHERE stop.language = t.language AND stop.token = t.token)""", "line_token"))
 def stop_words(spark, d):
     tokens = R.line_tokens(spark, d).select(
         "fileName", "token", F.when(F.col("dataset") == "en", "python").otherwise("c").alias("language")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffgauge.functions import text as X
 from diffgauge.operators.attribution import explode_tokens, token_scores
+from diffgauge.operators.joins import with_scalars
 from diffgauge.session import spread
 from diffgauge.sources.readers import table
 
@@ -77,8 +78,7 @@ def token_weights(spark: SparkSession, d: str) -> DataFrame:
     docs_of = table(spark, d, "documents", ["doc_id"])
     totals = labels.join(docs_of, "doc_id", "left_semi").agg(
         F.count_if(F.col("quality") == 1).alias("t1"), F.count_if(F.col("quality") == 0).alias("t0"))
-    one = F.lit(1).alias("_one")
-    return (per.select("*", one).join(totals.select("*", one), "_one")
+    return (with_scalars(per, totals)
             .select("token", (F.col("n1") / F.col("t1") - F.col("n0") / F.col("t0")).alias("weight")))
 
 

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. AQE splits skewed join partitions even
 # when that costs one more shuffle; without the force flag it would leave a hot
-# key alone whenever an aggregation on the same key follows the join.
+# key alone whenever an aggregation on the same key follows the join. Static
+# broadcasting is off: its size estimate ignores that an exploded text grows.
+# AQE still broadcasts a side once its shuffled size has been measured; tables
+# with a known bound (one row, a fixed word list) carry an explicit hint.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -32,6 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """A session for tests and the bench; clusters bring their own."""
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("diffgauge")
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", memory)
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .getOrCreate())

@@ -141,7 +141,7 @@ def quoted(token) -> Column:
 def unquoted_items(body) -> Column:
     """The items of a quoted list body, quotes and escapes removed."""
     raw = F.regexp_extract_all(
-        _col(body), F.lit(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""), 1)
+        _col(body), F.lit(r"""('(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")"""), 1)
     return F.transform(raw, lambda t: F.regexp_replace(
         F.substring(t, F.lit(2), F.length(t) - 2), r"\\(.)", "$1"))
 

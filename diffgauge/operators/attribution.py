@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from diffgauge.functions import text as X
-from diffgauge.operators.joins import salted_lookup, with_scalars
+from diffgauge.operators.joins import salted_lookup
 
 FILE = ("changeId", "fileName")
 
@@ -42,8 +42,9 @@ def commented_lines(lines: DataFrame, files: DataFrame, label: str = "label") ->
 def length_distribution(lines: DataFrame, code: str = "code") -> DataFrame:
     """(length, length_score): share of the lines with that many words."""
     hist = lines.groupBy(X.words_per_line(code).alias("length")).agg(F.count(F.lit(1)).alias("_c"))
-    total = hist.agg(F.sum("_c").alias("_t"))
-    return with_scalars(hist, total).select("length", (F.col("_c") / F.col("_t")).alias("length_score"))
+    # one row per length: the total over this short table needs no second scan
+    total = F.sum("_c").over(Window.partitionBy(F.lit(0)))
+    return hist.select("length", (F.col("_c") / total).alias("length_score"))
 
 
 def with_length_score(lines: DataFrame, distribution: DataFrame, code: str = "code") -> DataFrame:

@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffgauge.functions import text as X
-from diffgauge.operators.joins import hot_keys, salted_lookup, with_scalars
+from diffgauge.operators.joins import hot_keys, salted_lookup
+from diffgauge.session import materialize
 
 PAD = "<s>"
 
@@ -57,7 +58,12 @@ def gram_counts(train: DataFrame, text: str, order: int) -> DataFrame:
 
 
 def gram_entropies(counts: DataFrame, wanted: DataFrame, order: int, weight: float) -> DataFrame:
-    """(gram array g, bits) for every wanted full n-gram."""
+    """(gram array g, bits) for every wanted full n-gram.
+
+    The number of words and of distinct words, two scalars, enter as literals.
+    """
+    single = counts.where((F.col("kind") == "g") & ~F.contains("gram", F.lit(" ")))
+    total, vocab = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)) + 1).first()
     parts = [F.struct(F.lit(j).alias("j"), F.lit("g").alias("kind"),
                       F.array_join(F.slice("g", order - j, j + 1), " ").alias("gram")) for j in range(order)]
     parts += [F.struct(F.lit(j).alias("j"), F.lit(f"h{j}").alias("kind"),
@@ -67,13 +73,9 @@ def gram_entropies(counts: DataFrame, wanted: DataFrame, order: int, weight: flo
     per = found.groupBy("g").agg(
         *[F.max(F.when((F.col("kind") == "g") & (F.col("j") == j), F.col("c"))).alias(f"c{j}") for j in range(order)],
         *[F.max(F.when(F.col("kind") == f"h{j}", F.col("c"))).alias(f"h{j}") for j in range(1, order)])
-    # unigrams are the sequences of length one: their sum and number, one row
-    sizes = (counts.where((F.col("kind") == "g") & ~F.contains("gram", F.lit(" ")))
-             .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("h0"), (F.count(F.lit(1)) + 1).alias("vocab")))
-    per = with_scalars(per, sizes)
-    p = 1 / F.col("vocab")
+    p = F.lit(1.0 / vocab)
     for j in range(order):
-        seen = F.coalesce(F.col(f"h{j}"), F.lit(0))
+        seen = F.coalesce(F.col(f"h{j}"), F.lit(0)) if j else F.lit(total)
         share = F.try_divide(F.coalesce(F.col(f"c{j}"), F.lit(0)).cast("double"), seen.cast("double"))
         p = F.when(seen > 0, weight * share + (1 - weight) * p).otherwise(p)
     return per.select("g", (-F.log2(p)).alias("bits"))
@@ -82,7 +84,8 @@ def gram_entropies(counts: DataFrame, wanted: DataFrame, order: int, weight: flo
 def line_entropy(train: DataFrame, test: DataFrame, line_id: str = "line_id", text: str = "text",
                  order: int = 3, weight: float = 0.5) -> DataFrame:
     """(line_id, entropy) of every test line; null for a line without words."""
-    counts = gram_counts(train, text, order)
+    # read twice below, so written once
+    counts = materialize(gram_counts(train, text, order))
     texts = test.select(text).distinct()
     grams = exploded_grams(texts, text, order, [text]).groupBy(text, "g").agg(F.count(F.lit(1)).alias("n"))
     bits = gram_entropies(counts, grams.select("g").distinct(), order, weight)

@@ -8,9 +8,9 @@ whole, only the one digest range that the quota ends in.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diffgauge.functions import numbers as N
 from diffgauge.operators.neighbours import nearest_neighbours
@@ -28,43 +28,60 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in rows}
 
 
-def take_by_digest(df: DataFrame, label: str, key: Sequence[str], quotas: Mapping, seed: int,
+Quota = Callable[[Column], Column]
+
+
+def _quota_column(label: str, quotas: Mapping | Quota, size: Column) -> Column:
+    if callable(quotas):
+        return quotas(size)
+    out = F.lit(0)
+    for c, q in quotas.items():
+        if c is not None:
+            out = F.when(F.col(label) == F.lit(c), F.lit(q)).otherwise(out)
+    return out
+
+
+def take_by_digest(df: DataFrame, label: str, key: Sequence[str], quotas: Mapping | Quota, seed: int,
                    out: str = "taken") -> DataFrame:
     """Mark, per class, exactly ``quota`` rows: those with the smallest digests.
 
-    A class without quota has none taken. The per-class boundary range (one row
-    per class) comes to the driver and enters the plan as literals.
+    ``quotas`` maps a class to its quota (none = 0) or computes it from the class
+    size; ``key`` identifies a row. The last digest taken is found in two scans:
+    the first counts the ranges of digests, the second orders only the range the
+    quota ends in. One cut digest per class comes to the driver, so marking the
+    rows needs no shuffle at all.
     """
     hashed = (df.withColumn("_digest", N.digest(key, seed))
               .withColumn("_head", N.digest_number("_digest", 1, DIGITS)))
-    wanted = {c: q for c, q in quotas.items() if c is not None}
     ranges = hashed.groupBy(label, "_head").agg(F.count(F.lit(1)).alias("_c"))
-    up_to = Window.partitionBy(label).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranges.withColumn("_start", F.coalesce(F.sum("_c").over(up_to), F.lit(0)))
-    quota = F.lit(0)
-    for c, q in wanted.items():
-        quota = F.when(F.col(label) == F.lit(c), F.lit(q)).otherwise(quota)
-    edge = (placed.withColumn("_q", quota)
-            .where((F.col("_start") < F.col("_q")) & (F.col("_q") <= F.col("_start") + F.col("_c"))))
-    edges = {r[label]: (r["_head"], r["_q"] - r["_start"]) for r in edge.collect()}
-
-    last, rest = F.lit(-1).cast("long"), F.lit(0).cast("long")
-    for c, (head, left) in edges.items():
-        last = F.when(F.col(label) == F.lit(c), F.lit(head)).otherwise(last)
-        rest = F.when(F.col(label) == F.lit(c), F.lit(left)).otherwise(rest)
-    marked = hashed.withColumn("_last", last).withColumn("_rest", rest)
-    at_edge = F.col("_head") == F.col("_last")
-    clear = marked.where(~at_edge).withColumn(out, F.col("_head") < F.col("_last"))
-    within = Window.partitionBy(label, "_head").orderBy("_digest", *key)
-    close = marked.where(at_edge).withColumn(out, F.row_number().over(within) <= F.col("_rest"))
-    return clear.unionByName(close).drop("_digest", "_head", "_last", "_rest")
+    whole = Window.partitionBy(label)
+    before = whole.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (ranges.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+              .withColumn("_q", _quota_column(label, quotas, F.sum("_c").over(whole))))
+    at_edge = placed.where((F.col("_start") < F.col("_q")) & (F.col("_q") <= F.col("_start") + F.col("_c")))
+    edges = {r[label]: (r["_head"], r["_q"] - r["_start"]) for r in at_edge.limit(MAX_CLASSES).collect()}
+    if not edges:
+        return df.withColumn(out, F.lit(False))
+
+    def per_class(values: Mapping, default) -> Column:
+        c = default
+        for k, v in values.items():
+            c = F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(v)).otherwise(c)
+        return c
+    last = per_class({k: h for k, (h, _) in edges.items()}, F.lit(-1).cast("long"))
+    left = per_class({k: n for k, (_, n) in edges.items()}, F.lit(0).cast("long"))
+    close = hashed.where(F.col("_head") == last)
+    nth = F.row_number().over(Window.partitionBy(label, "_head").orderBy("_digest", *key))
+    cuts = {r[label]: r["_digest"] for r in
+            close.withColumn("_n", nth).where(F.col("_n") == left).select(label, "_digest").collect()}
+    taken = F.coalesce(N.digest(key, seed) <= per_class(cuts, F.lit("")), F.lit(False))
+    return df.withColumn(out, taken)
 
 
 def holdout(df: DataFrame, label: str, key: Sequence[str], share_of_ten: int = 1,
             seed: int = 1000, out: str = "split") -> DataFrame:
     """Stratified hold-out: per class ceil(share/10 of n) rows are 'test'."""
-    quotas = {c: -(-n * share_of_ten // 10) for c, n in class_counts(df, label).items()}
-    marked = take_by_digest(df, label, key, quotas, seed)
+    marked = take_by_digest(df, label, key, lambda n: F.ceil(n * share_of_ten / 10), seed)
     return marked.withColumn(out, F.when(F.col("taken"), "test").otherwise("train")).drop("taken")
 
 

@@ -43,6 +43,16 @@ def _counts(truth: str) -> list[Column]:
     return [F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")]
 
 
+def steps_below(value: Column, steps: Sequence[float], offset: int = 0) -> Column:
+    """How many of the ascending steps lie strictly below the value (null: none),
+    by halving, so a row takes log2(steps) comparisons in generated code."""
+    if not steps:
+        return F.lit(offset)
+    mid = len(steps) // 2
+    return (F.when(value > steps[mid], steps_below(value, steps[mid + 1:], offset + mid + 1))
+            .otherwise(steps_below(value, steps[:mid], offset)))
+
+
 def score_sweep_by_file(lines: DataFrame, score: str = "ngramScore", truth: str = "groundTruth",
                         groups: Sequence[str] = FILE_KEYS, steps: Sequence[float] = SCORE_STEPS,
                         out: str = "threshold") -> DataFrame:
@@ -51,12 +61,11 @@ def score_sweep_by_file(lines: DataFrame, score: str = "ngramScore", truth: str
     A line is predicted at every threshold below its score, so the lines of a
     file fold into at most len(steps)+1 counters before thresholds are expanded.
     """
-    steps = sorted(steps, reverse=True)
-    grid = F.array(*[F.lit(float(s)) for s in steps])
-    missed = F.size(F.filter(grid, lambda t: F.coalesce(F.col(score) <= t, F.lit(True))))
+    steps = [float(s) for s in sorted(steps)]
+    missed = F.lit(len(steps)) - steps_below(F.col(score), steps)
     levels = (lines.withColumn("_first", missed)
               .groupBy(*groups, "_first").agg(*_counts(truth)))
-    return _per_setting(levels, groups, "_first", [float(s) for s in steps], out)
+    return _per_setting(levels, groups, "_first", steps[::-1], out)
 
 
 def top_k_cuts(tokens: DataFrame, token: str, score: str, groups: Sequence[str],

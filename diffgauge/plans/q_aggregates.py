@@ -15,7 +15,7 @@ from diffgauge.operators.tokens import clean_scores, merge_subwords, suggestions
 from diffgauge.operators.epochs import early_stopping
 from diffgauge.operators.topk import arg_min as first_by, top_with_ties
 from diffgauge.plans import roles as R
-from diffgauge.plans.q_joins import COMMENTED, labelled_lines, top_tokens, train_files
+from diffgauge.plans.q_joins import COMMENTED, labelled_lines, stored_tokens, top_tokens, train_files
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import FILE, with_ctes
 from diffgauge.sources.readers import table
@@ -48,7 +48,7 @@ def group_counts(spark, d):
 
 @query("E4_top_tokens_per_line", with_ctes("SELECT fileName, lineNumber, numTopK FROM line_hit", "line_hit"))
 def top_per_line(spark, d):
-    scored = R.scored_tokens(spark, d)
+    scored = stored_tokens(spark, d)
     return sweep.line_hits(scored, top_tokens(scored)).select("fileName", "lineNumber", "numTopK")
 
 
@@ -174,13 +174,16 @@ def epoch_loss(spark, d):
 
 
 @query("E18_group_map", """
-SELECT o_custkey, o_orderstatus, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS keys FROM orders GROUP BY ALL""")
+SELECT o_custkey, o_orderstatus, part, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS keys FROM (
+  SELECT *, (row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1) // 1000 AS part FROM orders) GROUP BY ALL""")
 def group_map(spark, d):
-    """(change, file) -> list. The list is the result itself; everything else in
-    this library keeps the long form."""
+    """(change, file) -> list, in numbered parts of a thousand, so that no group
+    has to fit into one row however many entries it has."""
     o = table(spark, d, "orders", ["o_custkey", "o_orderstatus", "o_orderkey"])
-    return o.groupBy("o_custkey", "o_orderstatus").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("keys"))
+    parts = number_rows(o, "o_orderkey", ["o_custkey", "o_orderstatus"]).withColumn("part", F.floor((F.col("number") - 1) / 1000))
+    listed = F.sort_array(F.collect_list("o_orderkey"))
+    return parts.groupBy("o_custkey", "o_orderstatus", "part").agg(
+        F.array_join(F.transform(listed, lambda x: x.cast("string")), ",").alias("keys"))
 
 
 @query("E19_distinct_pairs", "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem")

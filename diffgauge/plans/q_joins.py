@@ -11,6 +11,7 @@ from diffgauge.plans import roles as R
 from diffgauge.plans.q_text import LOOKUP_SQL
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import FILE, with_ctes
+from diffgauge.session import materialize
 from diffgauge.sources.readers import by_line_id, table
 
 R.CTES["top_token"] = (("token_score",), """
@@ -21,17 +22,22 @@ R.CTES["top_token"] = (("token_score",), """
 
 
 def top_tokens(scored, k=10):
-    distinct = scored.where("limeScore > 0").select(*FILE, "token", "limeScore").distinct()
+    """The distinct positive tokens are read twice (levels, rows): written once."""
+    distinct = materialize(scored.where("limeScore > 0").select(*FILE, "token", "limeScore").distinct())
     return top_with_ties(distinct, FILE, "limeScore", k)
 
 
+def stored_tokens(spark, d):
+    return materialize(R.scored_tokens(spark, d))
+
+
 # --- D: joins ----------------------------------------------------------------------
 
 @query("D1_mark_top_tokens", with_ctes("""
 SELECT fileName, lineNumber, token, t.limeScore IS NOT NULL AS is_top
 FROM token_score s LEFT JOIN top_token t USING (dataset, changeId, fileName, token)""", "token_score", "top_token"))
 def mark_top(spark, d):
-    scored = R.scored_tokens(spark, d)
+    scored = stored_tokens(spark, d)
     top = top_tokens(scored).select(*FILE, "token", F.lit(True).alias("is_top"))
     return (scored.join(top, [*FILE, "token"], "left")
             .select("fileName", "lineNumber", "token", F.col("is_top").isNotNull().alias("is_top")))
@@ -47,7 +53,7 @@ R.CTES["line_hit"] = (("token_score", "top_token"), """
 SELECT fileName, lineNumber, groundTruth, coalesce(numTopK, 0) AS numTopK, coalesce(tokenCount, 0) AS tokenCount
 FROM line_score LEFT JOIN line_hit USING (dataset, changeId, fileName, lineNumber)""", "line_score", "line_hit"))
 def lines_with_counts(spark, d):
-    scored = R.scored_tokens(spark, d)
+    scored = stored_tokens(spark, d)
     hits = sweep.line_hits(scored, top_tokens(scored))
     sizes = scored.groupBy(*FILE, "lineNumber").agg(F.count(F.lit(1)).alias("tokenCount"))
     key = [*FILE, "lineNumber"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F, types as T
 from diffgauge.functions import nested as S, numbers as N, text as X, words as W
 from diffgauge.operators import attribution as K, changes as J, models as L, tokens as TK
 from diffgauge.operators.features import feature_pipeline
+from diffgauge.operators.ranks import number_rows
 from diffgauge.plans import roles as R
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import with_ctes
@@ -493,13 +494,14 @@ def trim_capitalise(spark, d):
     return table(spark, d, "region").select("r_regionkey", X.capitalise(F.trim("r_name")).alias("name"))
 
 
-@query("B33_word_codes", with_ctes(
-    "SELECT token, row_number() OVER (ORDER BY n DESC, token) AS code FROM (SELECT token, count(*) AS n FROM line_token GROUP BY token)", "line_token"))
+@query("B33_word_codes", with_ctes("""
+SELECT token, row_number() OVER (ORDER BY met, token) AS code
+FROM (SELECT token, min(fileName * 100000 + lineNumber) AS met FROM line_token GROUP BY token)""", "line_token"))
 def word_codes(spark, d):
-    """Codes 1.. by falling frequency; numbered per frequency range, not in one task."""
-    from diffgauge.operators.ranks import number_rows
-    words = R.line_tokens(spark, d).groupBy("token").agg((-F.count(F.lit(1))).alias("n"))
-    return number_rows(words, "n", out="code", ties=["token"]).select("token", F.col("code").cast("long").alias("code"))
+    """Codes 1.. in the order the words are first met, numbered per range of lines."""
+    met = F.min(F.col("fileName") * 100000 + F.col("lineNumber")).alias("met")
+    words = materialize(R.line_tokens(spark, d).groupBy("token").agg(met))
+    return number_rows(words, "met", out="code", ties=["token"]).select("token", F.col("code").cast("long").alias("code"))
 
 
 # --- C: predicates ---------------------------------------------------------------

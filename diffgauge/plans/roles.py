@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffgauge.functions import text as X
 from diffgauge.operators.attribution import explode_tokens, token_scores
-from diffgauge.operators.joins import with_scalars
+from diffgauge.operators.sampling import class_counts
 from diffgauge.session import spread
 from diffgauge.sources.readers import table
 
@@ -75,11 +75,10 @@ def token_weights(spark: SparkSession, d: str) -> DataFrame:
     known = docs.join(labels, "doc_id").select("quality", F.explode(words).alias("token"))
     per = known.groupBy("token").agg(F.count_if(F.col("quality") == 1).alias("n1"),
                                      F.count_if(F.col("quality") == 0).alias("n0"))
-    docs_of = table(spark, d, "documents", ["doc_id"])
-    totals = labels.join(docs_of, "doc_id", "left_semi").agg(
-        F.count_if(F.col("quality") == 1).alias("t1"), F.count_if(F.col("quality") == 0).alias("t0"))
-    return (with_scalars(per, totals)
-            .select("token", (F.col("n1") / F.col("t1") - F.col("n0") / F.col("t0")).alias("weight")))
+    # the two class sizes are plain numbers
+    totals = class_counts(labels.join(table(spark, d, "documents", ["doc_id"]), "doc_id", "left_semi"), "quality")
+    good, bad = float(totals.get(1, 0)), float(totals.get(0, 0))
+    return per.select("token", (F.col("n1") / F.lit(good) - F.col("n0") / F.lit(bad)).alias("weight"))
 
 
 CTES["token_weight"] = ((), f"""

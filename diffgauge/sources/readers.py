@@ -28,17 +28,17 @@ def plain_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
               escape: str = ";") -> DataFrame:
     """CSV written without quotes, special characters behind an escape character.
 
-    A separator can only be told from an escaped one before splitting, so lines
-    are read as text, split on bare separators and then unescaped.
+    A field runs to the next bare separator, so lines are read as text, cut into
+    fields and unescaped. Fields with newlines cannot be told apart in this format.
     """
-    esc = "\\" + escape
+    e = "\\" + escape
     lines = spark.read.text(path)
     if header:
         names = ",".join(f.name for f in schema.fields)
         lines = lines.where(F.col("value") != names)
-    cells = F.split("value", rf"(?<!{esc}),")
-    return lines.select(*[
-        F.regexp_replace(cells[i], rf"{esc}(.)", "$1").cast(f.dataType).alias(f.name)
+    cells = F.regexp_extract_all("value", F.lit(rf"((?:[^,{e}]++|{e}.)*+)(?:,|$)"), 1)
+    return lines.select(cells.alias("_c")).select(*[
+        F.regexp_replace(F.col("_c")[i], rf"{e}(.)", "$1").cast(f.dataType).alias(f.name)
         for i, f in enumerate(schema.fields)])
 
 

@@ -112,7 +112,8 @@ def _lcs_deleted(row: str):
                 for t in lcs_deletions(list(x), list(y) if y is not None else []):
                     ids.append(rid)
                     tokens.append(t)
-            yield pd.DataFrame({row: pd.Series(ids, dtype=batch[row].dtype), "token": tokens})
+            if ids:
+                yield pd.DataFrame({row: pd.Series(ids, dtype=batch[row].dtype), "token": tokens})
     return run
 
 

@@ -47,18 +47,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return tune(spark)
 
 
+_local_base: str | None = None
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
     A machine-local folder is used only by a local session that names none.
     """
+    global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="diffgauge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        _local_base = _local_base or tempfile.mkdtemp(prefix="diffgauge-")
+        base = _local_base
+    return f"{base.rstrip('/')}/diffgauge-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def parse_log(text) -> dict:
 
 def logs(spark: SparkSession, path: str) -> DataFrame:
     """(path, before, after, changed, suggestion) of a folder of log files."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return raw.select(F.col("_metadata.file_path").alias("path"),
                       *[c.alias(n) for n, c in parse_log(F.col("value")).items()])
 

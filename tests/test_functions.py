@@ -33,7 +33,7 @@ def test_line_forms(spark):
     for line in ("", "   ", " a  b\tc ", "x"):
         assert one(spark, X.words_per_line("c"), c=line) == len(line.split())
         assert sorted(one(spark, X.line_tokens("c"), c=line)) == sorted(set(line.lower().split()))
-    assert one(spark, X.capitalise("c"), c="nOVA base") == "Nova base"
+    assert one(spark, X.capitalise("c"), c="dEMO base") == "Demo base"
 
 
 def test_fixed_window(spark):

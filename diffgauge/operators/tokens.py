@@ -214,7 +214,7 @@ def route_rows(rows: DataFrame, suggested: DataFrame, changed: DataFrame, row: s
 
 
 def published_outcome(outcome="outcome") -> Column:
-    """The reference files short rows together with the rows not predicted."""
+    """The published evaluation files short rows together with the rows not predicted."""
     c = F.col(outcome) if isinstance(outcome, str) else outcome
     return F.when(c == "too_short", "FN").otherwise(c)
 

@@ -285,7 +285,7 @@ SELECT measure, n, n_used, w_plus, round(z, 5) AS z, round(z / sqrt(n), 5) AS ef
              unnest([round(topk_recall, 9) - round(ngram_recall, 9), round(topk_far, 9) - round(ngram_far, 9), round(topk_d2h, 9) - round(ngram_d2h, 9)]) AS v
       FROM final_rate) WHERE v IS NOT NULL)) GROUP BY measure)""", "final_rate"))
 def n4_approaches(spark, d):
-    rates = final_rates(spark, d)
+    rates = materialize(final_rates(spark, d))      # one row per file, read per rank pass
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(f"topk_{m}", 9).alias("app"), F.round(f"ngram_{m}", 9).alias("base"))
                       for m in ("recall", "far", "d2h")])
     long = rates.select(F.explode(pairs).alias("p")).select("p.*")

@@ -55,7 +55,7 @@ def rows_by_position(spark, d):
 
 
 LOOKUP_SQL = """
-SELECT row_id, r.change_id, r.file_dir, patch_set AS base_patch, min(found) AS found_patch
+SELECT row_id, r.change_id, r.file_dir, patch_set AS base_patch, CAST(min(found) AS INTEGER) AS found_patch
 FROM (SELECT *, CAST(string_split(ref, '/')[5] AS INTEGER) AS patch_set FROM review_raw WHERE label <> 0) r
 LEFT JOIN (SELECT DISTINCT change_id, file_dir, base_patch, patch_set AS found FROM diff_side) x
   ON x.change_id = r.change_id AND x.file_dir = r.file_dir AND x.base_patch = r.patch_set
@@ -296,7 +296,7 @@ def line_tokens(spark, d):
 
 
 @query("B12_punctuation_break", with_ctes("""
-SELECT row_id, pos, CASE WHEN cut THEN 'Ġ' || piece ELSE piece END AS piece FROM (
+SELECT row_id, CAST(pos AS INTEGER) AS pos, CASE WHEN cut THEN 'Ġ' || piece ELSE piece END AS piece FROM (
   SELECT *, coalesce(lag(punct) OVER (PARTITION BY row_id ORDER BY pos), false) AS cut FROM (
     SELECT *, regexp_full_match(piece, '[[:punct:]]*') AS punct FROM piece WHERE piece <> 'Ġ'))
 WHERE NOT punct""", "piece"))
@@ -310,12 +310,12 @@ def drop_punctuated(spark, d):
     return R.line_tokens(spark, d).where(~X.has_punctuation("token")).select("fileName", "lineNumber", "token")
 
 
-@query("B14_merge_subwords", with_ctes("SELECT row_id, pos, token, score FROM merged_word", "merged_word"))
+@query("B14_merge_subwords", with_ctes("SELECT row_id, CAST(pos AS INTEGER) AS pos, token, score FROM merged_word", "merged_word"))
 def merge_subwords(spark, d):
     return TK.merge_subwords(R.pieces(spark, d))
 
 
-@query("B15_clean_scores", with_ctes("SELECT row_id, token, score, pos FROM clean_word", "clean_word"))
+@query("B15_clean_scores", with_ctes("SELECT row_id, token, score, CAST(pos AS INTEGER) AS pos FROM clean_word", "clean_word"))
 def clean_scores(spark, d):
     return TK.clean_scores(TK.merge_subwords(R.pieces(spark, d)))
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffgauge.llm import dac, licenses, packing, secret_scan
-from diffgauge.llm.common import table
+from diffgauge.llm import dac, decontaminate, licenses, ngram_join, packing, quality, resharding, secret_scan, topk
+from diffgauge.llm.common import remainder, table
 from diffgauge.llm.units import dropped_spaces, leading_spaces
 from diffgauge.session import scratch_dir, ship
 
@@ -51,3 +51,53 @@ def op6_license_templates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_windowed_entropy(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@query
+def op2_flow_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    old = resharding.lay_out(table(spark, folder, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    new, _ = resharding.reshard(old, 24)
+    return resharding.slots(new).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_segment_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op9_segment_bounds"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+           from embeddings
+           where vec_id is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+           from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+     r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, folder: str) -> quality.Model:
+    """Learned only from labels whose remainder is not 2."""
+    return quality.train(docs, table(spark, folder, "labels"), remainder(F.col("doc_id"), 4) != 2)
+
+
+@query
+def op10_attention_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rows = quality.score(docs, quality_model(docs, spark, folder))
+    return rows.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                       (F.col("score") >= quality.KEEP).cast("int").alias("predicted"), "n_passages", "top_passage")
+
+
+@query
+def op5_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ngram_join.join(table(spark, folder, "documents"))
+    return rows.select("doc_id", "class_id", "text_class", "n_links", "n_grams")

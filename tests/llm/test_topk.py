@@ -1,0 +1,51 @@
+"""Top k against brute force, and the bounds against the products they bound."""
+
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from diffgauge.llm import topk
+
+
+def brute(rows, k):
+    good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = set()
+    for q in {(i, tuple(v)) for i, v in good if i % 5 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(q[1], v)), i) for i, v in good if i != q[0] and len(v) == len(q[1]))
+        out |= {(q[0], r + 1, i, -s) for r, (s, i) in enumerate(found[:k])}
+    return out
+
+
+def test_bounds():
+    rnd = np.random.default_rng(3)
+    a, b = rnd.integers(-50, 50, (40, 37)), rnd.integers(-50, 50, (30, 37))
+    last = None
+    for length in topk.levels(37):
+        bound = topk.statistics(a.astype(float), length) @ topk.statistics(b.astype(float), length).T
+        assert (bound >= a @ b.T - 1e-6).all()
+        assert last is None or bound.mean() <= last.mean()
+        last = bound
+
+
+def test_top_k(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rnd.choice([-1.0, -0.5, 0.1, 0.25, 1.0], 12)]) for i in range(300)]
+    rows += [(300, None), (305, [1.0, None]), (310, [float("nan")] * 12), (315, [float("inf")] * 12), (None, [0.0] * 12),
+             (320, [1.0, 2.0]), (321, [3.0, 1.0]), (325, []), (326, []), (330, [5e4] * 12), (331, [9e8, 1.0])]
+    rows += [rows[7], rows[5]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    df = df.withColumn("id", F.lit("clash")).withColumn("dim", F.lit("clash")).withColumn("score", F.lit(0))
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, 4).collect()]
+    assert set(got) == brute(rows, 4) and len(got) == len(set(got))
+    assert topk.top_k(df.where("false"), F.col("vec_id") % 5 == 0, 4).count() == 0
+
+
+def test_query_equals_sql(spark):
+    from compare import compare, connect
+    from diffgauge.llm.queries import ORACLES, QUERIES
+    folder = "/root/testdata/sf0.001"
+    for name, sql in ORACLES.items():
+        text, ok, _ = compare(QUERIES[name], sql, spark, connect(folder), folder)
+        assert ok, f"{name}: {text}"

@@ -37,12 +37,14 @@ def bands_and_rows(similarity: float, recall: float, most: int = HASHES) -> tupl
     A pair of similarity s meets in one of b bands of r rows with probability 1 - (1 - s^r)^b; more rows
     mean fewer false candidates.
     """
-    fits = [(1, 1)]
+    fits = []
     for r in range(1, most + 1):
-        miss = 1 - similarity ** r
-        b = 1 if miss <= 0 else math.ceil(math.log(1 - recall) / math.log(miss))
+        hit = similarity ** r
+        b = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if b * r <= most:
             fits.append((b, r))
+    if not fits:
+        raise ValueError(f"{most} hashes do not reach a recall of {recall} at {similarity}")
     return fits[-1]
 
 
@@ -179,9 +181,9 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``, with its class, its group and its links.
 
-    Result: ``doc_id, text_hash, cls`` (digest of the n-gram set), ``n_grams, text_class`` (smallest id with
-    the same set), ``class_id`` (smallest id of the connected group), ``n_links`` (other rows at the
-    similarity or above, copies counted). Texts are lower-cased words; shorter texts than ``n`` words are
+    Result: ``doc_id, text_hash, cls`` (digest of the n-gram set), ``root`` (the group: smallest digest in it),
+    ``n_grams, text_class`` (smallest id with the same set), ``class_id`` (smallest id of the connected
+    group), ``n_links`` (other rows at the similarity or above, copies counted). Texts are lower-cased words; shorter texts than ``n`` words are
     one n-gram, texts without words (null too) equal each other. Null ids stay null and are never chosen as
     the smallest if there is another. Rows may repeat. Other columns are not read.
     """
@@ -251,9 +253,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
         "cls", F.col("doc_id").alias("text_class"), F.coalesce("root", "cls").alias("root"),
         (F.coalesce("reached", "copies") - 1).alias("n_links"))
     named = found.groupBy("root").agg(F.min("text_class").alias("class_id"))
-    found = found.join(named, "root").drop("root")
+    found = found.join(named, "root")
     return rows_of.select("doc_id", "text_hash", "cls", "n_grams").join(found, "cls").select(
-        "doc_id", "text_hash", "cls", "n_grams", "text_class", "class_id", "n_links")
+        "doc_id", "text_hash", "cls", "root", "n_grams", "text_class", "class_id", "n_links")
 
 
 def _size_filter(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
@@ -270,8 +272,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, n: int = N) -> Dat
     A kept row that occurs several times is reduced to one; those few rows are looked up on their own.
     """
     found = store(join(docs, similarity, n))
-    kept = found.groupBy(F.coalesce("class_id", F.lit(0)).alias("c"), F.col("class_id").isNull().alias("no_id"),
-                         F.when(F.col("class_id").isNull(), F.col("cls")).alias("k")).agg(
+    kept = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select(
         F.col("m.doc_id").alias("k_id"), F.col("m.text_hash").alias("k_hash"))
     rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_rows"))

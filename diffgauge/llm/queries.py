@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffgauge.llm import dac, decontaminate, licenses, ngram_join, packing, quality, resharding, secret_scan, topk
+from diffgauge.llm import (dac, decontaminate, katz, licenses, ngram_join, packing, quality, resharding, secret_scan,
+                            topk)
 from diffgauge.llm.common import remainder, table
 from diffgauge.llm.units import dropped_spaces, leading_spaces
 from diffgauge.session import scratch_dir, ship
@@ -101,3 +102,9 @@ def op5_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     rows = ngram_join.join(table(spark, folder, "documents"))
     return rows.select("doc_id", "class_id", "text_class", "n_links", "n_grams")
+
+
+@query
+def op8_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = katz.score(table(spark, folder, "documents"), remainder(F.col("doc_id"), 5) == 1)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -2,10 +2,10 @@
 
 Texts with equal n-gram sets form a class and enter the join once. Band and row counts follow from the
 similarity and the wanted recall. A shuffle on band hashes brings candidates together, but no bucket emits
-all its pairs: every class meets the smallest class of its bucket, its pivot, and classes within half the
-allowed distance of a pivot join the pivot's star. Jaccard distance is a metric, so all members of a star
-are linked with each other, proven without forming their pairs. Only different stars that share a bucket are
-compared, first their centres, then those member pairs that the triangle inequality leaves open.
+its pairs: a class goes to the home of its smallest bucket mate, a home is cut into blocks of bounded size,
+and two blocks meet once if they share a bucket. A task compares two blocks in matrix form. A pair is a
+candidate if it agrees in a band; its full sets are intersected, and the task returns link counts and the
+parts that the links connect, not the links themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 HASHES = 128            # most MinHash values a document gets
 WORD = re.compile(r"\w+")
+BLOCK_GRAMS, BLOCK_CLASSES = 1 << 17, 512       # about what a block holds
 KNOWN_WORDS = 500_000   # hashes of words kept by a Python worker
 
 
@@ -140,26 +141,84 @@ def full_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     return store(rows.select("cls", "text").mapInArrow(sets_of, "cls binary, grams binary").dropDuplicates(["cls"]), codec="none")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (``a, b`` and more columns) with ``distance``, one minus the Jaccard similarity of the full sets."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(blocks: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``cls, peer, more`` of each class with a link in a pair of blocks: the smallest class it is connected with
+    there, and the rows it is linked to there. ``pairs`` holds each pair (a, b) of blocks with a <= b once."""
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("a_grams"), batch.column("b_grams")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                out.append(1 - common / (len(both) - common) if len(both) else 0.0)
-            names = [c for c in batch.schema.names if c not in ("a_grams", "b_grams")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.float64())],
-                                             [*names, "distance"])
-
-    rows = pairs
+            for row in range(batch.num_rows):
+                sides = [batch.column(c)[row].as_py() for c in ("a_members", "b_members")]
+                same = batch.column("same")[row].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(_links(*sides, same, similarity),
+                                                    (pa.binary(), pa.binary(), pa.int64()))], ["cls", "peer", "more"])
+
+    rows = pairs.withColumn("same", F.col("a") == F.col("b"))
     for side in ("a", "b"):
-        rows = rows.join(sets.select(F.col("cls").alias(side), F.col("grams").alias(f"{side}_grams")), side)
-    kept = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
-    return store(rows.select(*pairs.columns, "a_grams", "b_grams").mapInArrow(compare, f"{kept}, distance double"))
+        rows = rows.join(blocks.select(F.col("block").alias(side), F.col("members").alias(f"{side}_members")), side)
+    return store(rows.select("a_members", "b_members", "same").mapInArrow(links, "cls binary, peer binary, more long"))
+
+
+def _links(left: list[dict], right: list[dict], same: bool, similarity: float) -> tuple[list, list, list]:
+    sizes = [np.array([len(m["grams"]) // 8 for m in side]) for side in (left, right)]
+    # candidates agree in a band and have sizes that allow the similarity
+    found = np.zeros((len(left), len(right)), bool)
+    a, b = (np.array([m["bands"] for m in side], np.int64) for side in (left, right))
+    for k in range(a.shape[1]):
+        found |= a[:, k, None] == b[None, :, k]
+    found &= np.minimum.outer(*sizes) >= np.maximum.outer(*sizes) * similarity - 1e-6
+    if same:
+        found &= np.tri(len(left), k=-1, dtype=bool).T
+    i, j = np.flatnonzero(found.any(1)), np.flatnonzero(found.any(0))
+    if not len(i):
+        return [], [], []
+    common = _common([left[x]["grams"] for x in i], [right[x]["grams"] for x in j])
+    either = sizes[0][i][:, None] + sizes[1][j][None, :] - common
+    linked = found[np.ix_(i, j)] & (common >= similarity * either - 1e-9)
+    if not linked.any():
+        return [], [], []
+    names = [left[x]["cls"] for x in i] + [right[x]["cls"] for x in j]
+    copies = [np.array([side[x]["copies"] for x in at]) for side, at in ((left, i), (right, j))]
+    more = np.concatenate([linked @ copies[1], copies[0] @ linked])
+    # smallest connected name: spread the least rank over the links until nothing changes
+    rank = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable")
+    least, none = rank.copy(), len(names)
+    while True:
+        old, new = least[:len(i)], least[len(i):]
+        after = np.concatenate([np.minimum(old, np.where(linked, new[None, :], none).min(1)),
+                                np.minimum(new, np.where(linked, old[:, None], none).min(0))])
+        if (after == least).all():
+            break
+        least = after
+    by_rank = dict(zip(rank.tolist(), names))
+    own = [x for x in range(len(names)) if more[x]]
+    return [names[x] for x in own], [by_rank[int(least[x])] for x in own], [int(more[x]) for x in own]
+
+
+COLUMNS = 8192          # shared n-grams multiplied at once
+
+
+def _common(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other."""
+    sides = [[np.frombuffer(g, np.uint64) for g in side] for side in (left, right)]
+    both = np.intersect1d(*(np.concatenate(side) for side in sides))
+    places = []
+    for side in sides:
+        grams, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(g) for g in side])
+        at = np.minimum(np.searchsorted(both, grams), max(len(both) - 1, 0))
+        there = both[at] == grams if len(both) else np.zeros(len(grams), bool)
+        order = np.argsort(at[there], kind="stable")
+        places.append((at[there][order], row[there][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(both), COLUMNS):
+        parts = []
+        for (at, row), side in zip(places, sides):
+            lo, hi = np.searchsorted(at, (start, start + COLUMNS))
+            part = np.zeros((len(side), min(COLUMNS, len(both) - start)), np.float32)
+            part[row[lo:hi], at[lo:hi] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T        # counts stay far below 2 ** 24, exact in single precision
+    return out.astype(np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,10 +246,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     one n-gram, texts without words (null too) equal each other. Null ids stay null and are never chosen as
     the smallest if there is another. Rows may repeat. Other columns are not read.
     """
-    reach = 1 - similarity
     bands, rows = bands_and_rows(similarity, recall)
     rows_of = sketches(docs, n, bands, rows)
-    slack = 1e-12           # distances are quotients rounded once
     by_class = store(rows_of.groupBy("cls").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m"), F.count("*").alias("copies"),
         F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).select(
@@ -200,72 +257,35 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     shared = buckets.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where(
         F.col("pivot") != F.col("last")).select("key", "pivot")
     met = store(buckets.join(shared, "key"))
-    sizes = by_class.select("cls", "n_grams")
-    known = by_class.join(met.select("cls").distinct(), "cls", "left_semi")
-    sets = full_sets(docs, known, n)
-
-    spokes = met.where(F.col("cls") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    half = reach / 2
-    near = _size_filter(spokes, sizes, 1 - half)
-    near = measured(near, sets).where(F.col("distance") <= half + slack)
-    centres = near.select(F.col("a").alias("cls")).distinct().join(
-        near.select(F.col("b").alias("cls")).distinct(), "cls", "left_anti")
-    tied = near.join(centres.withColumnRenamed("cls", "a"), "a", "left_semi").groupBy("b").agg(
-        F.min(F.struct("a", "distance")).alias("m")).select(F.col("b").alias("cls"), "m.a", "m.distance")
-    stars = store(known.select("cls", "copies").join(tied, "cls", "left").select(
-        "cls", "copies", F.coalesce("a", "cls").alias("centre"), F.coalesce("distance", F.lit(0.0)).alias("radius")))
-
-    # stars that share a bucket: pairs of centres, not of members
-    in_bucket = met.join(stars.select("cls", "centre"), "cls").select("key", "centre").distinct()
-    several = in_bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    in_bucket = store(in_bucket.join(several, "key", "left_semi"))
-    pairs = in_bucket.withColumnRenamed("centre", "a").join(in_bucket.withColumnRenamed("centre", "b"), "key").where(
+    homes = store(met.groupBy("cls").agg(F.min("pivot").alias("home")).join(by_class, "cls"))
+    parts = homes.groupBy("home").agg(F.ceil(F.greatest(
+        F.sum("n_grams") / BLOCK_GRAMS, F.count("*") / BLOCK_CLASSES)).cast("int").alias("parts"))
+    placed = store(homes.join(parts, "home").select(
+        "cls", "copies", "bands", "doc_id", "text_hash",
+        F.struct("home", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part")).alias("block")))
+    blocks = store(placed.join(full_sets(docs, homes, n), "cls").groupBy("block").agg(
+        F.collect_list(F.struct("cls", "copies", "bands", "grams")).alias("members")), codec="none")
+    in_bucket = met.join(placed.select("cls", "block"), "cls").select("key", "block").distinct()
+    several = in_bucket.groupBy("key").agg(F.min("block").alias("m"), F.max("block").alias("n")).where("m <> n")
+    in_bucket = store(in_bucket.join(several.select("key"), "key", "left_semi"))
+    # rows are pairs of blocks that share a bucket: a block holds up to BLOCK_CLASSES classes
+    pairs = in_bucket.withColumnRenamed("block", "a").join(in_bucket.withColumnRenamed("block", "b"), "key").where(
         F.col("a") < F.col("b")).select("a", "b").distinct()
-    radius = stars.groupBy("centre").agg(F.max("radius").alias("r"), F.sum("copies").alias("star_copies"))
-    apart = measured(pairs, sets)
-    for side in ("a", "b"):
-        apart = apart.join(radius.select(F.col("centre").alias(side), F.col("r").alias(f"{side}_r")), side)
-    apart = apart.where(F.col("distance") <= reach + F.col("a_r") + F.col("b_r") + slack).select(
-        F.col("a").alias("a_star"), F.col("b").alias("b_star"), F.col("distance").alias("between"))
-    for side in ("a", "b"):
-        apart = apart.join(stars.select(F.col("centre").alias(f"{side}_star"), F.col("cls").alias(side),
-                                        F.col("copies").alias(f"{side}_copies"), F.col("radius").alias(f"{side}_r")),
-                           f"{side}_star")
-    # a member pair is linked for sure, not linked for sure, or open
-    spread = F.col("a_r") + F.col("b_r")
-    apart = store(apart.where(F.col("between") - spread <= reach + slack).withColumn(
-        "sure", F.col("between") + spread <= reach))
-    opened = _size_filter(apart.where(~F.col("sure")).select("a", "b", "a_star", "b_star", "a_copies", "b_copies"),
-                          sizes, similarity)
-    across = apart.where("sure").select("a", "b", "a_star", "b_star", "a_copies", "b_copies").unionByName(
-        measured(opened, sets).where(F.col("distance") <= reach + slack).drop("distance"))
-    across = store(across)
-
-    ends = across.select(F.col("a").alias("cls"), F.col("b_copies").alias("more")).unionByName(
-        across.select(F.col("b").alias("cls"), F.col("a_copies").alias("more"))).groupBy("cls").agg(
-        F.sum("more").alias("more"))
-    roots = components(across.select(F.col("a_star").alias("a"), F.col("b_star").alias("b")))
-    linked = stars.join(radius.select("centre", "star_copies"), "centre").join(ends, "cls", "left").join(
-        roots.withColumnRenamed("node", "centre"), "centre", "left").select(
-        "cls", F.coalesce("root", "centre").alias("root"),
-        (F.col("star_copies") + F.coalesce("more", F.lit(0))).alias("reached"))
+    inside = blocks.where(F.size("members") > 1).select(F.col("block").alias("a"), F.col("block").alias("b"))
+    links = compared(blocks, pairs.unionByName(inside), similarity)
+
+    roots = components(links.where(F.col("cls") != F.col("peer")).select(F.col("cls").alias("a"), F.col("peer").alias("b")))
+    linked = links.groupBy("cls").agg(F.sum("more").alias("more")).join(
+        roots.withColumnRenamed("node", "cls"), "cls", "left")
     found = by_class.select("cls", "doc_id", "copies").join(linked, "cls", "left").select(
         "cls", F.col("doc_id").alias("text_class"), F.coalesce("root", "cls").alias("root"),
-        (F.coalesce("reached", "copies") - 1).alias("n_links"))
+        (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = found.groupBy("root").agg(F.min("text_class").alias("class_id"))
     found = found.join(named, "root")
     return rows_of.select("doc_id", "text_hash", "cls", "n_grams").join(found, "cls").select(
         "doc_id", "text_hash", "cls", "root", "n_grams", "text_class", "class_id", "n_links")
 
 
-def _size_filter(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose set sizes allow the similarity: the smaller has at least that share of the larger."""
-    rows = pairs
-    for side in ("a", "b"):
-        rows = rows.join(sizes.select(F.col("cls").alias(side), F.col("n_grams").alias(f"{side}_n")), side)
-    return rows.where(F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6).select(*pairs.columns)
-
-
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
     """One row of each group: the smallest id, then text hash; all columns are kept.
 

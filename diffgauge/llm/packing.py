@@ -50,7 +50,8 @@ def pack(docs: DataFrame, tokenizer: str, units: Callable[[str], list[str]], end
     ``doc_id`` stays null. An empty table gives no pieces. Other columns are not read.
     """
     coded = encoded(docs, tokenizer, units, end_id)
-    bases = part_bases(coded, "part", "n").select("part", "base")
+    # one small row per part, that is per scan task: bounded by the number of splits, and the ids stay in place
+    bases = F.broadcast(part_bases(coded, "part", "n").select("part", "base"))
     placed = coded.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("place"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

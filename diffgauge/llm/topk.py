@@ -99,16 +99,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, factor: float = 256.0) -
     component take no part; vectors meet only vectors of their own length. Candidates with the query's own id
     are left out; a query row that repeats is answered once, repeated candidates count each. Result:
     ``query_id, rank, vec_id, score``. Every block of queries meets every block of candidates once, as a row
-    of an equi join on the dimension and the block's number; a task returns k rows per query.
+    of an equi join on the dimension, the query block's number and a group of candidate blocks, so the meetings
+    of one dimension spread over many keys; a task returns k rows per query and block.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), is_query.alias("q"),
                           scaled(F.col("embedding"), factor).alias("v")).where("id is not null and v is not null")
     rows = rows.withColumn("dim", F.size("v"))
-    asked = rows.where("q").drop("q").dropDuplicates(["id", "v"]).repartition("dim", F.col("id") % 64)
-    queries = _blocks(asked, QUERY_BLOCK).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    blocks = _blocks(rows.drop("q"), BLOCK)
-    # a block per 1024 queries: each candidate block is sent to each of them
-    pairs = blocks.join(queries, "dim")
+    spark = vectors.sparkSession
+    asked = rows.where("q").drop("q").dropDuplicates(["id", "v"])
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).repartition("dim", "q_block")
+    queries = _blocks(asked.sortWithinPartitions("dim", "q_block"), QUERY_BLOCK).withColumnsRenamed(
+        {"ids": "q_ids", "data": "q_data"})
+    # a block of queries goes to each group of candidate blocks, a block of candidates to each query block's number
+    queries = queries.withColumn("q_block", F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks))).withColumn(
+        "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("dim", "q_block", "group", "q_ids", "q_data")
+    blocks = _blocks(rows.drop("q"), BLOCK).withColumn(
+        "group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn(
+        "q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn(
+        "q_block", F.col("q_block").cast("long"))
+    pairs = blocks.join(queries, ["dim", "q_block", "group"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,9 +24,37 @@ def _matrix(series) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of a and of b."""
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
+    """Euclidean distances between the rows of a and of b, from coordinate differences."""
+    out = np.empty((len(a), len(b)))
+    for j, row in enumerate(b):
+        out[:, j] = np.sqrt(((a - row) ** 2).sum(1))
+    return out
+
+
+def k_nearest(a: np.ndarray, b: np.ndarray, k: int, barred: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row of a the places and rounded distances of its k nearest rows of b; ties keep the earlier place.
+
+    |a|^2 + |b|^2 - 2ab, with the bound of its rounding error, only preselects;
+    what can be among the k nearest is measured by coordinate differences, so
+    far-off origins and near copies are told apart.
+    """
+    na, nb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
+    error = (na + nb) * (4 * (a.shape[1] + 4) * np.finfo(float).eps) + 1e-300
+    low = na + nb - 2.0 * (a @ b.T) - error
+    high = low + 2 * error
+    if barred is not None:
+        low[barred] = high[barred] = np.inf
+    place = min(k, len(b)) - 1
+    limit = np.partition(high, place, axis=1)[:, place]
+    # distances that round to the same number are ties
+    limit = (np.sqrt(np.maximum(limit, 0.0)) + 10.0 ** -DECIMALS) ** 2
+    out = []
+    for i, row in enumerate(a):
+        at = np.flatnonzero((low[i] <= limit[i]) & np.isfinite(low[i]))
+        d = np.round(np.sqrt(((b[at] - row) ** 2).sum(1)), DECIMALS)
+        best = np.argsort(d, kind="stable")[:k]
+        out.append((at[best], d[best]))
+    return out
 
 
 def _assign(points: DataFrame, key: str, vec: str, pivots: np.ndarray) -> DataFrame:
@@ -115,14 +143,12 @@ def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, vec: str,
             return empty
         right = right.sort_values("id")
         ids = right["id"].to_numpy()
-        d = np.round(distances(_matrix(left["v"]), _matrix(right["v"])), DECIMALS)
-        if exclude_self:
-            d[left["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]     # ids ascend, so ties keep the smaller
-        got = np.take_along_axis(d, best, axis=1)
-        ok = np.isfinite(got)
-        query = np.repeat(left["id"].to_numpy(), best.shape[1]).reshape(best.shape)
-        return pd.DataFrame({"query": query[ok], "neighbour": ids[best][ok], "distance": got[ok]})
+        own = left["id"].to_numpy()
+        barred = own[:, None] == ids[None, :] if exclude_self else None     # ids ascend: ties keep the smaller
+        found = k_nearest(_matrix(left["v"]), _matrix(right["v"]), k, barred)
+        return pd.DataFrame({"query": np.repeat(own, [len(at) for at, _ in found]),
+                             "neighbour": ids[np.concatenate([at for at, _ in found])],
+                             "distance": np.concatenate([d for _, d in found])})
 
     tile_keys = ["qc", "qn", "rc", "rn"]
     found = (q.groupBy(*tile_keys).cogroup(r.groupBy(*tile_keys))

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from diffgauge.functions import numbers as N
 from diffgauge.operators.neighbours import nearest_neighbours
 from diffgauge.operators.ranks import order_statistics
+from diffgauge.session import materialize
 
 DIGITS = 4
-MAX_CLASSES = 1000
+MAX_CLASSES = 1000          # where every class needs a number at the driver
+FEW_CLASSES, BROADCAST_CLASSES = 32, 100_000
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -46,36 +48,38 @@ def take_by_digest(df: DataFrame, label: str, key: Sequence[str], quotas: Mappin
     """Mark, per class, exactly ``quota`` rows: those with the smallest digests.
 
     ``quotas`` maps a class to its quota (none = 0) or computes it from the class
-    size; ``key`` identifies a row. The last digest taken is found in two scans:
-    the first counts the ranges of digests, the second orders only the range the
-    quota ends in. One cut digest per class comes to the driver, so marking the
-    rows needs no shuffle at all.
+    size, and is cut to it; ``key`` identifies a row. The last digest taken is
+    found in two scans: the first counts the ranges of digests, the second
+    orders only the range the quota ends in. The cut digests are a table of one
+    row per class: a few become an expression, any number is joined to the rows.
     """
     hashed = (df.withColumn("_digest", N.digest(key, seed))
               .withColumn("_head", N.digest_number("_digest", 1, DIGITS)))
     ranges = hashed.groupBy(label, "_head").agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(label)
     before = whole.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum("_c").over(whole)
     placed = (ranges.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-              .withColumn("_q", _quota_column(label, quotas, F.sum("_c").over(whole))))
-    at_edge = placed.where((F.col("_start") < F.col("_q")) & (F.col("_q") <= F.col("_start") + F.col("_c")))
-    edges = {r[label]: (r["_head"], r["_q"] - r["_start"]) for r in at_edge.limit(MAX_CLASSES).collect()}
-    if not edges:
-        return df.withColumn(out, F.lit(False))
-
-    def per_class(values: Mapping, default) -> Column:
-        c = default
-        for k, v in values.items():
-            c = F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(v)).otherwise(c)
-        return c
-    last = per_class({k: h for k, (h, _) in edges.items()}, F.lit(-1).cast("long"))
-    left = per_class({k: n for k, (_, n) in edges.items()}, F.lit(0).cast("long"))
-    close = hashed.where(F.col("_head") == last)
-    nth = F.row_number().over(Window.partitionBy(label, "_head").orderBy("_digest", *key))
-    cuts = {r[label]: r["_digest"] for r in
-            close.withColumn("_n", nth).where(F.col("_n") == left).select(label, "_digest").collect()}
-    taken = F.coalesce(N.digest(key, seed) <= per_class(cuts, F.lit("")), F.lit(False))
-    return df.withColumn(out, taken)
+              .withColumn("_q", F.least(_quota_column(label, quotas, size), size)))
+    edges = placed.where((F.col("_start") < F.col("_q")) & (F.col("_q") <= F.col("_start") + F.col("_c"))).select(
+        F.col(label).alias("_class"), F.col("_head").alias("_edge"), (F.col("_q") - F.col("_start")).alias("_left"))
+    nth = F.row_number().over(Window.partitionBy("_class").orderBy("_digest", *key))
+    cuts = materialize(
+        hashed.join(_small(materialize(edges)), F.col(label).eqNullSafe(F.col("_class")) & (F.col("_head") == F.col("_edge")))
+        .withColumn("_n", nth).where(F.col("_n") == F.col("_left")).select("_class", F.col("_digest").alias("_cut")))
+    digest, n_classes = N.digest(key, seed), cuts.count()
+    if n_classes <= FEW_CLASSES:        # the cuts are part of the expression: rows are marked where they lie
+        cut = F.lit("")
+        for r in cuts.collect():
+            cut = F.when(F.col(label).eqNullSafe(F.lit(r["_class"])), F.lit(r["_cut"])).otherwise(cut)
+        return df.withColumn(out, F.coalesce(digest <= cut, F.lit(False)))
+    return (df.join(_small(cuts), F.col(label).eqNullSafe(F.col("_class")), "left")
+            .withColumn(out, F.coalesce(digest <= F.col("_cut"), F.lit(False))).drop("_class", "_cut"))
+
+
+def _small(classes: DataFrame) -> DataFrame:
+    """A stored table of one row per class, with the broadcast hint if its counted rows are few."""
+    return F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
 
 
 def holdout(df: DataFrame, label: str, key: Sequence[str], share_of_ten: int = 1,

@@ -76,7 +76,7 @@ def row_surrogate(spark, d):
     stats = rows.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).select("s.mean", "s.std").first()
     hits = L.scored(model.transform(rows), "vec_id").where("prediction = 1 AND label = 1").select("vec_id")
     return surrogate.explain_rows(rows.join(hits, "vec_id", "left_semi"), "vec_id", "x", model,
-                                  stats["mean"].toArray(), stats["std"].toArray(), samples=1000)
+                                  stats["mean"].toArray(), stats["std"].toArray())
 
 
 @query("K4_attribution_without_stop_words", with_ctes(f"""

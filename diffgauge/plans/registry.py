@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffgauge.session import tune
+from diffgauge.session import ship, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return plan(tune(spark), folder)
+            return plan(ship(tune(spark)), folder)
         PLANS[name] = run
         if sql is not None:
             ORACLES[name] = sql

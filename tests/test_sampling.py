@@ -171,3 +171,24 @@ def test_fit_or_load_fits_once(spark):
     a = L.fit_or_load(spark, path, fit).transform(t).select("prediction").collect()
     b = L.fit_or_load(spark, path, fit).transform(t).select("prediction").collect()
     assert a == b and len(calls) == 1
+
+
+def test_neighbours_far_from_the_origin_and_near_copies(spark):
+    from diffgauge.operators.neighbours import nearest_neighbours
+    for centre, step in ((1e3, 1e-5), (1e6, 1e-2), (0.0, 1.0)):
+        data = [(i, [centre + step * i] + [centre] * 7) for i in range(12)]
+        df = spark.createDataFrame(data, "id long, v array<double>")
+        got = {}
+        for r in nearest_neighbours(df, df, "id", "v", 2, exclude_self=True, pivots=3, block_rows=4).collect():
+            got.setdefault(r["query"], {})[r["rank"]] = r["neighbour"]
+        assert all(got[i] == {1: i - 1, 2: i + 1} for i in range(1, 11)), centre
+
+
+def test_hold_out_of_many_classes_and_large_quotas(spark):
+    from diffgauge.operators.sampling import holdout, take_by_digest
+    df = spark.range(6000).selectExpr("id", "id % 1500 as label")
+    split = holdout(df, "label", ["id"])
+    assert split.where("split = 'test'").select("label").distinct().count() == 1500
+    assert split.where("split = 'test'").count() == 1500 and split.count() == 6000
+    taken = take_by_digest(df.where("label < 3"), "label", ["id"], {0: 100, 1: 2}, 5)
+    assert {r["label"]: r["n"] for r in taken.where("taken").groupBy("label").agg({"*": "count"}).toDF("label", "n").collect()} == {0: 4, 1: 2}

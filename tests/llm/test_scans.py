@@ -95,6 +95,16 @@ def test_secrets(spark, odd, none):
     assert secret_scan.scan(odd).count() == len(odd_rows()) and secret_scan.scan(none).count() == 0
 
 
+def test_long_rulers():
+    """A candidate of many joining marks is read once, however long it is."""
+    for ruler in ("a" + "-" * 50_000 + "1", "a" + "=_" * 20_000 + "7", "ab-" * 20_000 + "9"):
+        assert secret_scan.secrets_of(ruler) == []
+    assert secret_scan.secrets_of("a" + "-" * 50_000) == []
+    allowed = secret_scan.ALLOWED[4].fullmatch
+    assert all(allowed(t) for t in ("path/to/some_place", "a-", "a--b=", "some/long/"))
+    assert not any(allowed(t) for t in ("abc", "-abc", "a-1", "1-a"))
+
+
 def test_redaction(spark, odd):
     assert secret_scan.redacted(f'x token = "{KEY}" y', "#") == 'x #" y'
     assert secret_scan.redact(odd).schema == odd.schema

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # word characters, two at least: letters, digits and underscore of any script
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
+WIDEST = 2 ** 31 - 1    # the library asks for a width; this one, the longest vector there is, drops no term
 
 
 def terms_long(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,9 +32,13 @@ def bag_of_words(terms: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def feature_pipeline(text: str, numeric: Sequence[str] = (), min_df: int = 2, max_df: float = 0.5,
-                     vocab_size: int = 1 << 18, out: str = "features") -> Pipeline:
-    """Tokenizer, counts and the numeric columns appended; vectors stay sparse."""
+                     out: str = "features") -> Pipeline:
+    """Tokenizer, counts and the numeric columns appended; vectors stay sparse.
+
+    All terms within the document-frequency bounds are kept. The fitted stage holds them on the driver, as
+    every Spark ML text model does; ``bag_of_words`` is the long form without that.
+    """
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=TERM_PATTERN, gaps=False, toLowercase=True)
-    counts = CountVectorizer(inputCol="_words", outputCol="_counts", minDF=min_df, maxDF=max_df, vocabSize=vocab_size)
+    counts = CountVectorizer(inputCol="_words", outputCol="_counts", minDF=min_df, maxDF=max_df, vocabSize=WIDEST)
     both = VectorAssembler(inputCols=["_counts", *numeric], outputCol=out)
     return Pipeline(stages=[words, counts, both])

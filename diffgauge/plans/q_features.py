@@ -21,8 +21,6 @@ from diffgauge.session import materialize
 from diffgauge.sources.readers import table
 
 NUMERIC = ["deletions", "additions", "changed_line"]
-# the models see the most frequent terms within the document-frequency bounds
-VOCABULARY = 4096
 
 
 @query("K1_attention_scores", with_ctes("""
@@ -42,7 +40,7 @@ def featured(spark, d):
     """Train and test rows of the file study with their feature vectors."""
     files = split_files(spark, d)
     train = files.where(F.col("split") == "train")
-    stages = FT.feature_pipeline("code", NUMERIC, vocab_size=VOCABULARY).fit(train)
+    stages = FT.feature_pipeline("code", NUMERIC).fit(train)
     rows = materialize(stages.transform(files).select("label", "file_name", "split", "features"))
     return rows.where(F.col("split") == "train").drop("split"), rows.where(F.col("split") == "test").drop("split")
 
@@ -53,14 +51,14 @@ def text_surrogate(spark, d):
     logistic regression on the training files, 10,000 perturbations per line."""
     files = materialize(holdout(R.file_changes(spark, d), "label", ["file_name"]))
     train = files.where(F.col("split") == "train")
-    stages = FT.feature_pipeline("code", [], vocab_size=VOCABULARY)
+    stages = FT.feature_pipeline("code", [])
     model = L.text_model(L.balanced_weights(train.select("label", "code")), stages, "weight")
     coefficients = model.stages[-1].coefficients.toArray()
     terms = spark.createDataFrame(
         [(t, float(c)) for t, c in zip(model.stages[1].vocabulary, coefficients)], "token string, coefficient double")
     test = files.where((F.col("split") == "test") & (F.col("label") == 1))
     lines = test.select("file_name", F.posexplode(F.split("code", "\n")).alias("i", "line"))
-    counted = FT.terms_long(lines.withColumn("row_id", F.col("file_name") * 100000 + F.col("i")), "row_id", "line")
+    counted = FT.terms_long(lines.withColumn("row_id", R.joined_id("file_name", "i")), "row_id", "line")
     effects = (counted.withColumnRenamed("term", "token").join(terms, "token", "left")
                .select("row_id", "token", (F.coalesce("coefficient", F.lit(0.0)) * F.col("n")).alias("effect")))
     return surrogate.explain_text(effects, "row_id", float(model.stages[-1].intercept))
@@ -120,13 +118,13 @@ def bag_of_words(spark, d):
 SELECT file_name, label, deletions + additions + changed_line AS numeric_sum FROM file_change""", "file_change"))
 def numeric_columns(spark, d):
     files = R.file_changes(spark, d)
-    model = FT.feature_pipeline("code", NUMERIC, vocab_size=16).fit(files)
+    model = FT.feature_pipeline("code", NUMERIC).fit(files)
     tail = F.slice(vector_to_array("features"), -3, 3)
     return model.transform(files).select("file_name", "label", F.aggregate(tail, F.lit(0.0), lambda a, v: a + v).cast("long").alias("numeric_sum"))
 
 
 R.CTES["bench_line"] = ((), """
-  SELECT item_id * 1000 + i AS line_id, text FROM (
+  SELECT item_id || ':' || i AS line_id, text FROM (
     SELECT item_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS text FROM benchmark)""")
 ENTROPY = f"""
 WITH {{ctes}},
@@ -150,7 +148,7 @@ SELECT line_id, round(entropy, 6) AS entropy FROM bench_line LEFT JOIN (SELECT l
 @query("K8_line_entropy", ENTROPY.replace("{ctes}", with_ctes("", "code_line", "bench_line").removeprefix("WITH ").rstrip()))
 def line_entropy(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    test = b.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("line_id"), "text")
+    test = b.select(R.joined_id("item_id", F.col("i") + 1).alias("line_id"), "text")
     corpus = R.code_lines(spark, d).select(F.col("code").alias("text"))
     train = ngrams.corpus_without(corpus, test)
     return ngrams.line_entropy(train, test).withColumn("entropy", F.round("entropy", 6))
@@ -212,7 +210,7 @@ def line_classifier(spark, d):
     """Weighted logistic regression over bag of words, scored on the held-out rows."""
     files = materialize(holdout(R.file_changes(spark, d), "label", ["file_name"]))
     train = files.where(F.col("split") == "train")
-    stages = FT.feature_pipeline("code", [], vocab_size=VOCABULARY)
+    stages = FT.feature_pipeline("code", [])
     model = L.text_model(L.balanced_weights(train.select("label", "code")), stages, "weight")
     scored = L.scored(model.transform(files.where(F.col("split") == "test")), "file_name")
     return L.evaluate(scored.withColumn("Technique", F.lit("line")).withColumn("Datasets", F.lit("all")))

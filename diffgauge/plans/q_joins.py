@@ -115,11 +115,11 @@ def lookup_default(spark, d):
 
 
 @query("D7_join_by_line_id", with_ctes("""
-SELECT fileName * 100000 + lineNumber AS line_id, dataset, round(e.entropy, 6) AS entropy
-FROM code_line JOIN (SELECT fileName * 100000 + lineNumber AS line_id, length(code)::DOUBLE / 7 AS entropy FROM code_line) e
-  ON e.line_id = fileName * 100000 + lineNumber""", "code_line"))
+SELECT fileName || ':' || lineNumber AS line_id, dataset, round(e.entropy, 6) AS entropy
+FROM code_line JOIN (SELECT fileName || ':' || lineNumber AS line_id, length(code)::DOUBLE / 7 AS entropy FROM code_line) e
+  ON e.line_id = fileName || ':' || lineNumber""", "code_line"))
 def join_by_line_id(spark, d):
-    lines = R.code_lines(spark, d).withColumn("line_id", F.col("fileName") * 100000 + F.col("lineNumber"))
+    lines = R.code_lines(spark, d).withColumn("line_id", R.joined_id("fileName", "lineNumber"))
     scores = lines.select("line_id", (F.length("code") / 7).alias("entropy"))
     return by_line_id(lines, scores).select("line_id", "dataset", F.round("entropy", 6).alias("entropy"))
 

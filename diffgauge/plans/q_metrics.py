@@ -325,7 +325,7 @@ def n6(spark, d):
 
 
 R.CTES["line_size"] = (("code_line",), """
-  SELECT dataset, fileName * 100000 + lineNumber AS pos, len(string_split(code, ' ')) - 1 AS size FROM code_line""")
+  SELECT dataset, {'f': fileName, 'l': lineNumber} AS pos, len(string_split(code, ' ')) - 1 AS size FROM code_line""")
 
 
 def _size_summary_sql(where: str) -> str:
@@ -340,7 +340,7 @@ JOIN (SELECT dataset, size AS mode FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def _line_sizes(spark, d):
-    return R.code_lines(spark, d).select("dataset", (F.col("fileName") * 100000 + F.col("lineNumber")).alias("pos"),
+    return R.code_lines(spark, d).select("dataset", F.struct("fileName", "lineNumber").alias("pos"),
                                          X.tokens_per_line("code").cast("long").alias("size"))
 
 
@@ -356,7 +356,7 @@ def n7_long(spark, d):
 
 
 R.CTES["changed_size"] = (("pair", "changed_token"), """
-  SELECT row_id AS pos, (SELECT count(*) FROM changed_token c WHERE c.row_id = p.row_id) AS size FROM pair p""")
+  SELECT {'c': conv_id, 't': turn} AS pos, (SELECT count(*) FROM changed_token c WHERE c.row_id = p.row_id) AS size FROM pair p""")
 
 
 @query("N7_changed_tokens_summary", with_ctes("""
@@ -366,6 +366,6 @@ SELECT n, mean, median, mode, pvariance FROM (
 def n7_changed(spark, d):
     p = R.pairs(spark, d)
     sizes = TK.changed_tokens(p).groupBy("row_id").agg(F.count(F.lit(1)).alias("size"))
-    rows = p.select("row_id").join(sizes, "row_id", "left").select(F.col("row_id").alias("pos"), F.coalesce("size", F.lit(0)).alias("size"))
+    rows = p.select("row_id", "conv_id", "turn").join(sizes, "row_id", "left").select(F.struct("conv_id", "turn").alias("pos"), F.coalesce("size", F.lit(0)).alias("size"))
     out = summary(rows, "size", position="pos", cuts=[])
     return rounded(out.select("n", "mean", "median", "mode", "pvariance"), "mean", "pvariance")

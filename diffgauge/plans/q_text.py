@@ -167,10 +167,12 @@ def quarantine(spark, d):
 
 
 @query("A11_outcome_records", with_ctes("""
-SELECT k, outcome, row_id, row_number() OVER (PARTITION BY k, outcome ORDER BY row_id) AS log_number, n_common
+SELECT k, outcome, row_id, row_number() OVER (PARTITION BY k, outcome ORDER BY split_part(row_id, ':', 1)::BIGINT, split_part(row_id, ':', 2)::BIGINT) AS log_number, n_common
 FROM routed WHERE outcome IN ('positive', 'negative')""", "routed"))
 def outcome_records(spark, d):
-    numbered = writers.numbered_records(materialize(R.routed(spark, d)))
+    part = F.split("row_id", ":")
+    rows = R.routed(spark, d).withColumns({"conv_id": part[0].cast("long"), "turn": part[1].cast("long")})
+    numbered = writers.numbered_records(materialize(rows), "conv_id", ["turn"])
     return numbered.select("k", "outcome", "row_id", "log_number", "n_common")
 
 
@@ -207,7 +209,7 @@ def score_text(spark, d):
 def model_cache(spark, d):
     files = R.file_changes(spark, d)
     path = f"{scratch_dir(spark)}/lg-demo-2-0"
-    stages = feature_pipeline("code", ["deletions", "additions", "changed_line"], vocab_size=4096)
+    stages = feature_pipeline("code", ["deletions", "additions", "changed_line"])
     fit = lambda: L.text_model(files, stages)
     L.fit_or_load(spark, path, fit)
     model = L.fit_or_load(spark, path, fit)     # the second call loads
@@ -364,29 +366,29 @@ def diff_xml(spark, d):
     """row_id, xml: the old lines as deleted names, kept words as common names."""
     p = R.pairs(spark, d)
     old, new = F.split("before_code", r"\s+"), F.split("after_code", r"\s+")
-    words = p.select("row_id", old.alias("o"), new.alias("n"))
+    words = p.select("row_id", (F.expr(R.TURN_NUMBER) % 7 == 3).alias("broken"), old.alias("o"), new.alias("n"))
     gone = F.filter("o", lambda x: (x != "") & ~F.array_contains(F.col("n"), x))
     kept = F.filter("o", lambda x: (x != "") & F.array_contains(F.col("n"), x))
     added = F.filter("n", lambda x: (x != "") & ~F.array_contains(F.col("o"), x))
-    tail = F.when(F.col("row_id") % 7 == 3, "</unit").otherwise("</unit>")
+    tail = F.when(F.col("broken"), "</unit").otherwise("</unit>")
     return words.select("row_id", F.concat(
         F.lit('<unit xmlns:diff="urn:d"><diff:delete>'), _tags(gone, "name"),
         F.lit("<diff:common>"), _tags(kept, "name"), F.lit("</diff:common></diff:delete><diff:insert>"),
         _tags(added, "name"), F.lit("</diff:insert>"), tail).alias("xml"))
 
 
-R.CTES["xml_word"] = (("pair",), """
-  SELECT row_id, list_filter(o, lambda x: x <> '' AND NOT list_contains(n, x)) AS gone,
+R.CTES["xml_word"] = (("pair",), f"""
+  SELECT row_id, broken, list_filter(o, lambda x: x <> '' AND NOT list_contains(n, x)) AS gone,
          list_filter(o, lambda x: x <> '' AND list_contains(n, x)) AS kept,
          list_filter(n, lambda x: x <> '' AND NOT list_contains(o, x)) AS added
-  FROM (SELECT row_id, string_split_regex(before_code, '\\s+') AS o, string_split_regex(after_code, '\\s+') AS n
+  FROM (SELECT row_id, ({R.TURN_NUMBER}) % 7 = 3 AS broken, string_split_regex(before_code, '\\s+') AS o, string_split_regex(after_code, '\\s+') AS n
         FROM pair)""")
 
 
 @query("B20_search_key", with_ctes("""
 SELECT row_id, CAST(len(gone) + len(kept) + len(added) AS INTEGER) AS n_names,
        array_to_string(list_concat(gone, kept, added), ' ') AS names
-FROM xml_word WHERE row_id % 7 <> 3""", "xml_word"))
+FROM xml_word WHERE NOT broken""", "xml_word"))
 def search_key(spark, d):
     xml = diff_xml(spark, d).where(S.is_wellformed("xml"))
     return xml.withColumn("f", S.search_key("xml", "name")).select(
@@ -395,7 +397,7 @@ def search_key(spark, d):
 
 @query("B21_remove_key", with_ctes("""
 SELECT row_id, array_to_string(list_concat(gone, added), ' ') AS names
-FROM xml_word WHERE row_id % 7 <> 3""", "xml_word"))
+FROM xml_word WHERE NOT broken""", "xml_word"))
 def remove_key(spark, d):
     xml = diff_xml(spark, d).where(S.is_wellformed("xml"))
     return xml.select("row_id", F.array_join(S.texts_without("xml", "diff:common"), " ").alias("names"))
@@ -496,12 +498,12 @@ def trim_capitalise(spark, d):
 
 @query("B33_word_codes", with_ctes("""
 SELECT token, row_number() OVER (ORDER BY met, token) AS code
-FROM (SELECT token, min(fileName * 100000 + lineNumber) AS met FROM line_token GROUP BY token)""", "line_token"))
+FROM (SELECT token, min({'f': fileName, 'l': lineNumber}) AS met FROM line_token GROUP BY token)""", "line_token"))
 def word_codes(spark, d):
     """Codes 1.. in the order the words are first met, numbered per range of lines."""
-    met = F.min(F.col("fileName") * 100000 + F.col("lineNumber")).alias("met")
-    words = materialize(R.line_tokens(spark, d).groupBy("token").agg(met))
-    return number_rows(words, "met", out="code", ties=["token"]).select("token", F.col("code").cast("long").alias("code"))
+    met = F.min(F.struct("fileName", "lineNumber")).alias("met")
+    words = materialize(R.line_tokens(spark, d).groupBy("token").agg(met).select("token", "met.*"))
+    return number_rows(words, "fileName", out="code", ties=["lineNumber", "token"]).select("token", F.col("code").cast("long").alias("code"))
 
 
 # --- C: predicates ---------------------------------------------------------------

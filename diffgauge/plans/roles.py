@@ -6,7 +6,7 @@ DuckDB SQL, for the oracles).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from diffgauge.functions import text as X
 from diffgauge.operators.attribution import explode_tokens, token_scores
@@ -157,6 +157,17 @@ CTES["prediction"] = ((), """
   FROM documents JOIN labels USING (doc_id), range(0, 19) AS r(epoch)""")
 
 
+# --- row ids -----------------------------------------------------------------
+
+def joined_id(*parts) -> Column:
+    """One id out of several key columns, as text: any number of turns, lines or documents stays apart."""
+    return F.concat_ws(":", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
+
+
+# an invented number per turn, for made-up scores and predictions only: it identifies nothing
+TURN_NUMBER = "conv_id * 1000 + turn"
+
+
 # --- before/after pairs out of the conversations ---------------------------
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -168,12 +179,12 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after_code"))
     return (c.join(nxt, ["conv_id", "turn"])
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "conv_id", "turn",
+            .select(joined_id("conv_id", "turn").alias("row_id"), "conv_id", "turn",
                     F.col("text").alias("before_code"), "after_code"))
 
 
 CTES["pair"] = ((), """
-  SELECT c.conv_id * 1000 + c.turn AS row_id, c.conv_id, c.turn, c.text AS before_code, n.text AS after_code
+  SELECT c.conv_id || ':' || c.turn AS row_id, c.conv_id, c.turn, c.text AS before_code, n.text AS after_code
   FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
 
 
@@ -183,7 +194,7 @@ def review_raw(spark: SparkSession, d: str) -> DataFrame:
     lines = c.select("*", F.posexplode(F.split("text", "\n")).alias("i", "body"))
     plus = F.when(F.col("i") % 5 == 0, "++").when(F.col("i") % 5 == 1, "").otherwise("+")
     return lines.select(
-        (F.col("conv_id") * 10_000_000 + F.col("turn") * 10_000 + F.col("i")).alias("row_id"),
+        joined_id("conv_id", "turn", "i").alias("row_id"),
         F.when(F.col("role") == "user", 0).otherwise(1).alias("label"),
         F.concat(F.lit("talk/"), "conv_id", F.lit(" a.txt")).alias("file_dir"),
         F.concat(F.lit("I"), "conv_id").alias("change_id"),
@@ -194,7 +205,7 @@ def review_raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 CTES["review_raw"] = ((), """
-  SELECT conv_id * 10000000 + turn * 10000 + i AS row_id,
+  SELECT conv_id || ':' || turn || ':' || i AS row_id,
          CASE WHEN role = 'user' THEN 0 ELSE 1 END AS label,
          'talk/' || conv_id || ' a.txt' AS file_dir, 'I' || conv_id AS change_id, trim(body) AS code,
          (CASE WHEN i % 5 = 0 THEN '++' WHEN i % 5 = 1 THEN '' ELSE '+' END) || body AS raw_code,
@@ -256,14 +267,14 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
     flat = F.concat(F.lit(" "), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     cut = F.transform(F.regexp_extract_all(flat, F.lit(PIECE), 1),
                       lambda p: F.replace(p, F.lit(" "), F.lit(X.WORD_START)))
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), cut.alias("pieces"))
-    scores = F.transform("pieces", lambda p, i: ((F.col("row_id") + i.cast("long") * 37) % 101) / 100.0)
+    rows = c.select(joined_id("conv_id", "turn").alias("row_id"), F.expr(TURN_NUMBER).alias("number"), cut.alias("pieces"))
+    scores = F.transform("pieces", lambda p, i: ((F.col("number") + i.cast("long") * 37) % 101) / 100.0)
     return explode_scored(rows.withColumn("scores", scores), "row_id", "pieces", "scores")
 
 
 CTES["piece"] = ((), f"""
-  SELECT row_id, pos, piece, ((row_id + pos * 37) % 101)::DOUBLE / 100.0::DOUBLE AS score
-  FROM (SELECT conv_id * 1000 + turn AS row_id, generate_subscripts(p, 1) - 1 AS pos,
+  SELECT row_id, pos, piece, ((number + pos * 37) % 101)::DOUBLE / 100.0::DOUBLE AS score
+  FROM (SELECT conv_id || ':' || turn AS row_id, {TURN_NUMBER} AS number, generate_subscripts(p, 1) - 1 AS pos,
                replace(unnest(p), ' ', 'Ġ') AS piece
         FROM (SELECT conv_id, turn, regexp_extract_all(' ' || replace(text, chr(10), ' '), '{PIECE}', 1) AS p
               FROM conversations))""")
@@ -301,16 +312,16 @@ def routed(spark: SparkSession, d: str, more_than_n: int = 7) -> DataFrame:
     p = pairs(spark, d)
     rows = p.select("row_id", "before_code", "after_code",
                     X.tokens_per_line(F.element_at(F.split("before_code", "\n"), 1)).alias("n_tokens"),
-                    (F.col("row_id") % 5 != 0).cast("int").alias("y_pred"))
+                    (F.col("turn") % 5 != 0).cast("int").alias("y_pred"))
     best = T.suggestions(T.clean_scores(T.merge_subwords(pieces(spark, d))), 5)
     return T.route_rows(rows, best, T.changed_tokens(p), more_than_n=more_than_n)
 
 
 CTES["routed"] = (("pair", "suggestion", "changed_token"), """
   SELECT row_id, before_code, after_code, k, n_common, n_suggested, n_changed,
-         CASE WHEN row_id % 5 = 0 THEN 'FN' WHEN n_tokens < 7 THEN 'too_short'
+         CASE WHEN turn % 5 = 0 THEN 'FN' WHEN n_tokens < 7 THEN 'too_short'
               WHEN n_common > 0 THEN 'positive' ELSE 'negative' END AS outcome, suggested, changed
-  FROM (SELECT p.row_id, p.before_code, p.after_code, k,
+  FROM (SELECT p.row_id, p.turn, p.before_code, p.after_code, k,
                len(string_split(string_split(p.before_code, chr(10))[1], ' ')) - 1 AS n_tokens,
                coalesce(CAST((SELECT sum(h) FROM hit WHERE hit.row_id = p.row_id AND hit.rank <= k) AS BIGINT), 0) AS n_common,
                (SELECT count(*) FROM suggestion s WHERE s.row_id = p.row_id AND s.rank <= k) AS n_suggested,

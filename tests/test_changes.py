@@ -92,3 +92,24 @@ def test_lookup_keeps_bodies_out_of_the_row_join(spark):
     plan = J.lookup(raw, spark.createDataFrame([diff([chunk(a=["x"])])], schemas.REVIEW_DIFF)).select("row_id", "found_patch")
     assert "Cartesian" not in plan._jdf.queryExecution().executedPlan().toString()
     assert plan.where(F.col("found_patch") == 4).count() == 1
+
+
+def test_ids_of_a_long_conversation(spark, tmp_path):
+    """Ids stay apart whatever the number of turns: packed ones met after a thousand."""
+    from diffgauge.plans import roles as R
+    rows = [(c, t, "user", f"a {c} {t}\nb") for c, n in ((1, 1005), (2, 5)) for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    pairs = R.pairs(spark, str(tmp_path))
+    assert pairs.count() == pairs.select("row_id").distinct().count() == 1004 + 4
+    raw = R.review_raw(spark, str(tmp_path))
+    assert raw.count() == raw.select("row_id").distinct().count() == 2 * 1010
+
+
+def test_no_term_is_dropped(spark):
+    """A vocabulary of any width reaches the model: 9,000 terms in two of five files each."""
+    from diffgauge.operators.features import feature_pipeline
+    files = spark.createDataFrame([(i, " ".join(f"t{j}" for j in range(9000)) if i < 2 else "alone") for i in range(5)],
+                                  "file long, code string")
+    vectors = feature_pipeline("code").fit(files).transform(files)
+    assert {r["features"].size for r in vectors.collect()} == {9000}

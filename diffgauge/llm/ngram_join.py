@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffgauge.llm.common import store, texts_of
+from diffgauge.llm.common import slices, store, texts_of
 
 N = 5
 SIMILARITY = 0.8
@@ -29,7 +29,7 @@ RECALL = 0.9999
 HASHES = 128            # most MinHash values a document gets
 WORD = re.compile(r"\w+")
 BLOCK_GRAMS, BLOCK_CLASSES = 1 << 17, 512       # about what a block holds
-KNOWN_WORDS = 500_000   # hashes of words kept by a Python worker
+KNOWN_WORDS = 200_000   # hashes of words kept by a Python worker
 
 
 def bands_and_rows(similarity: float, recall: float, most: int = HASHES) -> tuple[int, int]:
@@ -99,7 +99,7 @@ GRAMS_AT_ONCE = 1 << 18
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """Per row: its id and text hash, the digest of its n-gram set, the set's size and the band hashes."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [ngram_set(t, n) for t in texts_of(batch.column("text"))]
             keys: list[list[int]] = [[] for _ in sets]
             some: list[int] = []
@@ -130,7 +130,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """The n-gram sets of the given classes (``cls, doc_id, text_hash`` of a member), from the whole texts."""
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cls"), pa.array([ngram_set(t, n).tobytes() for t in texts_of(batch.column("text"))],
                                                pa.binary())], ["cls", "grams"])

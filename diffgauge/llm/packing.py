@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffgauge.llm.common import part_bases, partition_id, store, texts_of
+from diffgauge.llm.common import part_bases, partition_id, slices, store, texts_of
 from diffgauge.llm.units import encoder
 
 PIECE = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -28,7 +28,7 @@ def encoded(docs: DataFrame, tokenizer: str, units: Callable[[str], list[str]],
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, tool = partition_id(), 0, encoder(tokenizer, units)
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             codes = [c + end for c in tool.encode(texts_of(batch.column("text")))]
             counts = np.array([len(c) // 4 for c in codes], np.int64)
             first = before + np.cumsum(counts) - counts
@@ -55,7 +55,7 @@ def pack(docs: DataFrame, tokenizer: str, units: Callable[[str], list[str]], end
     placed = coded.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("place"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, place, n, ids in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "place", "n", "ids"))):
                 at = 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffgauge.llm.common import texts_of
+from diffgauge.llm.common import slices, texts_of
 
 PASSAGE = 100           # words
 SAMPLE = 4000           # labelled documents used for the fit
@@ -159,7 +159,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE
     chosen = own.groupBy("doc_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bags = []
             for text in texts_of(batch.column("text")):
                 bag = passages(text)
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     null; repeated rows are scored each; other columns are not read.
     """
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p, n, top = _scores(model, texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(n, pa.int64()),
                                               pa.array(top, pa.int64())], ["doc_id", "score", "n_passages", "top_passage"])
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
     """The rows whose text scores ``least`` or more, with all their columns."""
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p, _, _ = _scores(model, texts_of(batch.column("text")))
             yield batch.filter(pa.array([x >= least for x in p], pa.bool_()))
 

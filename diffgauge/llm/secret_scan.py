@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffgauge.llm.common import texts_of
+from diffgauge.llm.common import slices, texts_of
 
 # fixed values: the patterns of known shape and the least lengths
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -106,7 +106,7 @@ def scan(docs: DataFrame) -> DataFrame:
     stays null; repeated rows are scanned each; other columns are not read.
     """
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for text in texts_of(batch.column("text")):
                 spans = secrets_of(text)
@@ -142,7 +142,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     fields = docs.schema
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column("text").to_pylist()
             new = [None if t is None else redacted(t, mark) for t in old]
             columns = {n: batch.column(n) for n in batch.schema.names}

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 import re
 import string
 from collections import Counter
+from itertools import product
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,3 +112,26 @@ def test_redaction(spark, odd):
     assert secret_scan.redact(odd).schema == odd.schema
     a = sorted(map(tuple, odd.collect()), key=repr)
     assert sorted(map(tuple, secret_scan.redact(odd).collect()), key=repr) == a
+
+
+def test_random_keys_are_found():
+    """Random keys of the least length, also all letters, alone and behind known words; words stay clear."""
+    rnd = random.Random(3)
+    kinds = {string.ascii_letters + string.digits: 0.005, string.ascii_lowercase + string.digits: 0.005,
+             string.ascii_letters: 0.01, string.ascii_lowercase: 0.02}
+    for letters, missed in kinds.items():
+        keys = ["".join(rnd.choices(letters, k=20)) for _ in range(1000)]
+        for before in ("", "example_key=", "com/example/"):
+            found = [("entropy", 0, len(before) + 20) in secret_scan.secrets_of(before + k) for k in keys]
+            assert found.count(False) <= missed * len(keys), (letters, before)
+    for words in ("InternalServerErrorException", "src/main/resources/example/settings", "getPreferredConnectionTimeout",
+                  "id=550e8400-e29b-41d4-a716-446655440000", "published/2024/articles-and-notes"):
+        assert secret_scan.secrets_of(words) == []
+
+
+def test_limits_follow_from_random_windows():
+    """The exact share of random windows below a limit, against brute force over all strings."""
+    for size, letters, missed in ((4, 3, 0.1), (5, 2, 0.2), (4, 5, 0.3)):
+        every = sorted(secret_scan.highest_entropy("".join(t), size) for t in product("abcde"[:letters], repeat=size))
+        limit = secret_scan.limit_of(letters, size, missed)
+        assert sum(e < limit for e in every) <= missed * len(every) < sum(e <= limit + 2e-9 for e in every)

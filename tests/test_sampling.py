@@ -1,8 +1,12 @@
 """Splits, balancing, neighbours, skewed joins, surrogates, models."""
 
+import inspect
+import random
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -192,3 +196,13 @@ def test_hold_out_of_many_classes_and_large_quotas(spark):
     assert split.where("split = 'test'").count() == 1500 and split.count() == 6000
     taken = take_by_digest(df.where("label < 3"), "label", ["id"], {0: 100, 1: 2}, 5)
     assert {r["label"]: r["n"] for r in taken.where("taken").groupBy("label").agg({"*": "count"}).toDF("label", "n").collect()} == {0: 4, 1: 2}
+
+
+def test_forest_grows_as_deep_as_the_tree(spark):
+    """Labels at random need a split for almost each row: no tree may stop early."""
+    rnd = random.Random(5)
+    t = spark.createDataFrame([(float(rnd.random() < 0.5), Vectors.dense([rnd.random() for _ in range(4)])) for _ in range(1500)],
+                              ["label", "features"])
+    trees = L.random_forest(2, trees=3).fit(t).trees
+    assert min(tree.depth for tree in trees) > 10
+    assert inspect.signature(L.predict).parameters["depth"].default == L.random_forest(2).getMaxDepth() == 30

@@ -15,7 +15,7 @@ from diffgauge.operators.tokens import clean_scores, merge_subwords, suggestions
 from diffgauge.operators.epochs import early_stopping
 from diffgauge.operators.topk import arg_min as first_by, top_with_ties
 from diffgauge.plans import roles as R
-from diffgauge.plans.q_joins import COMMENTED, labelled_lines, stored_tokens, top_tokens, train_files
+from diffgauge.plans.q_joins import COMMENTED, hit_lines, labelled_lines, stored_tokens, top_tokens, train_files
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import FILE, with_ctes
 from diffgauge.sources.readers import table
@@ -219,6 +219,13 @@ def top_lines(spark, d):
         *FILE, F.round("ngramScore", 6).alias("ngramScore"), "groundTruth")
 
 
+@query("F2_top_lines_by_hits", with_ctes("""
+SELECT dataset, changeId, fileName, lineNumber, numTopK, groundTruth FROM (
+  SELECT *, rank() OVER (PARTITION BY dataset, changeId, fileName ORDER BY numTopK DESC) AS r FROM hit_line) WHERE r <= 10""", "hit_line"))
+def top_lines_by_hits(spark, d):
+    return top_with_ties(hit_lines(spark, d), FILE, "numTopK", 10).select(*FILE, "lineNumber", "numTopK", "groundTruth")
+
+
 @query("F3_top_n_keys", with_ctes("SELECT row_id, CAST(rank AS INTEGER) AS rank, token, score FROM suggestion", "suggestion"))
 def top_n_keys(spark, d):
     return suggestions(clean_scores(merge_subwords(R.pieces(spark, d))), 5).select("row_id", "rank", "token", "score")

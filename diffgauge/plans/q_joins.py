@@ -49,6 +49,20 @@ R.CTES["line_hit"] = (("token_score", "top_token"), """
   GROUP BY ALL""")
 
 
+R.CTES["hit_line"] = (("line_score", "line_hit"), """
+  SELECT dataset, changeId, fileName, lineNumber, groundTruth, coalesce(numTopK, 0) AS numTopK
+  FROM line_score LEFT JOIN line_hit USING (dataset, changeId, fileName, lineNumber)""")
+
+
+def hit_lines(spark, d):
+    """Every line with its number of top tokens, 0 without any; written once, as rankings read it twice."""
+    scored = stored_tokens(spark, d)
+    hits = sweep.line_hits(scored, top_tokens(scored))
+    key = [*FILE, "lineNumber"]
+    return materialize(R.scored_lines(spark, d).join(hits, key, "left").select(
+        *key, "groundTruth", F.coalesce("numTopK", F.lit(0)).alias("numTopK")))
+
+
 @query("D2_lines_with_counts", with_ctes("""
 SELECT fileName, lineNumber, groundTruth, coalesce(numTopK, 0) AS numTopK, coalesce(tokenCount, 0) AS tokenCount
 FROM line_score LEFT JOIN line_hit USING (dataset, changeId, fileName, lineNumber)""", "line_score", "line_hit"))

@@ -12,6 +12,7 @@ from diffgauge.operators.stats import mann_whitney, median_split, signed_rank, s
 from diffgauge.operators.topk import top_hits
 from diffgauge.plans import roles as R
 from diffgauge.plans.q_aggregates import COUNTS
+from diffgauge.plans.q_joins import hit_lines
 from diffgauge.plans.q_text import TOKEN_SCORES
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import FILE, with_ctes
@@ -116,6 +117,9 @@ def f1_guarded(spark, d):
     return R.routed(spark, d).select("row_id", "k", F.round(N.f1(r, p), 6).alias("f1"))
 
 
+R.CTES["top_hit_by_hits"] = (("hit_line",), """
+  SELECT dataset, changeId, fileName, CAST(sum(groundTruth) FILTER (WHERE r <= 10) AS BIGINT) AS top, CAST(sum(groundTruth) AS BIGINT) AS total_true FROM (
+    SELECT *, rank() OVER (PARTITION BY dataset, changeId, fileName ORDER BY numTopK DESC) AS r FROM hit_line) GROUP BY ALL""")
 R.CTES["top_hit"] = (("item_line",), """
   SELECT dataset, changeId, fileName, CAST(sum(groundTruth) FILTER (WHERE r <= 10) AS BIGINT) AS top, CAST(sum(groundTruth) AS BIGINT) AS total_true FROM (
     SELECT *, rank() OVER (PARTITION BY dataset, changeId, fileName ORDER BY ngramScore DESC) AS r FROM item_line) GROUP BY ALL""")
@@ -131,7 +135,23 @@ def top10_share(spark, d):
 SELECT coalesce(dataset, 'all') AS dataset, round(100 * (count(*) FILTER (WHERE top > 0))::DOUBLE / count(*), 6) AS top10_acc
 FROM top_hit GROUP BY GROUPING SETS ((dataset), ())""", "top_hit"))
 def top10_accuracy(spark, d):
-    hits = top_hits(R.item_lines(spark, d), FILE, "ngramScore", "groundTruth").select("dataset", "top")
+    return accuracy(top_hits(R.item_lines(spark, d), FILE, "ngramScore", "groundTruth"))
+
+
+@query("M10_top10_share_by_hits", with_ctes("""
+SELECT dataset, changeId, fileName, total_true, top, round(top::DOUBLE / nullif(total_true, 0), 6) AS top_per FROM top_hit_by_hits""", "top_hit_by_hits"))
+def top10_share_by_hits(spark, d):
+    return rounded(top_hits(hit_lines(spark, d), FILE, "numTopK", "groundTruth"), "top_per")
+
+
+@query("M11_top10_accuracy_by_hits", with_ctes("""
+SELECT coalesce(dataset, 'all') AS dataset, round(100 * (count(*) FILTER (WHERE top > 0))::DOUBLE / count(*), 6) AS top10_acc
+FROM top_hit_by_hits GROUP BY GROUPING SETS ((dataset), ())""", "top_hit_by_hits"))
+def top10_accuracy_by_hits(spark, d):
+    return accuracy(top_hits(hit_lines(spark, d), FILE, "numTopK", "groundTruth"))
+
+
+def accuracy(hits):
     acc = F.round(100 * F.avg((F.col("top") > 0).cast("double")), 6).alias("top10_acc")
     # per project and over all files in one aggregation
     return hits.rollup("dataset").agg(acc).select(F.coalesce("dataset", F.lit("all")).alias("dataset"), "top10_acc")

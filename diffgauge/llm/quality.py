@@ -3,7 +3,7 @@
 Every passage of ``PASSAGE`` words is encoded: statistics of its characters and words, then a learned dense
 layer. Gated attention weighs the passages of a document, and the weighted mean of their codes is scored.
 Only documents carry labels; the passage weights are learned from them. The fit runs on a bounded sample of
-labelled rows (``SAMPLE`` documents, ``BAG`` evenly spaced passages of each); scoring reads whole texts.
+labelled rows (``SAMPLE`` documents, all passages of each); scoring reads whole texts, too.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from diffgauge.llm.common import slices, texts_of
 
 PASSAGE = 100           # words
 SAMPLE = 4000           # labelled documents used for the fit
-BAG = 64                # passages of one document used for the fit
 FEATURES = 18
 CODE, GATE = 16, 8      # width of a passage code and of the attention gate
 EPOCHS, RATE, DECAY = 250, 0.02, 1e-4
@@ -162,8 +161,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE
         for batch in slices(batches):
             bags = []
             for text in texts_of(batch.column("text")):
-                bag = passages(text)
-                bags.append(bag[np.unique(np.linspace(0, len(bag) - 1, BAG).astype(int))].tobytes())
+                bags.append(passages(text).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"),
                                               pa.array(bags, pa.binary())], ["doc_id", "label", "features"])
 

@@ -181,6 +181,16 @@ def test_quality_odd_rows(spark, odd, none):
     assert {round(r["score"], 6) for r in quality.score(odd, blank).collect()} == {0.5}
 
 
+def test_quality_learns_from_all_passages(spark):
+    """A labelled document of any length enters the fit whole."""
+    text = " ".join(f"w{i}" for i in range(70 * quality.PASSAGE))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    bags = {r["doc_id"]: np.frombuffer(r["features"]).reshape(-1, quality.FEATURES)
+            for r in quality.sample(docs, labels, F.lit(True)).collect()}
+    assert bags.keys() == {1, 2} and np.array_equal(bags[1], quality.passages(text)) and len(bags[2]) == 1
+
+
 def test_pipeline(spark):
     """Each stage against a plain restatement over its own input."""
     docs, seen = table(spark, FOLDER, "documents"), {}

@@ -206,3 +206,17 @@ def test_forest_grows_as_deep_as_the_tree(spark):
     trees = L.random_forest(2, trees=3).fit(t).trees
     assert min(tree.depth for tree in trees) > 10
     assert inspect.signature(L.predict).parameters["depth"].default == L.random_forest(2).getMaxDepth() == 30
+
+
+def test_evaluation_orders_probabilities_by_ranges(spark, monkeypatch):
+    """The probabilities of one technique are cut into ranges; the area equals the count of ordered pairs."""
+    cuts, real = [], L.roc_auc
+    monkeypatch.setattr(L, "roc_auc", lambda *a, **k: (cuts.append(k["cuts"]), real(*a, **k))[1])
+    rnd = random.Random(1)
+    scores = [(i % 2, p) for i, p in enumerate([0.0, 1.0, 0.5, 0.5, *(rnd.random() for _ in range(196))])]
+    t = spark.createDataFrame([("a", "b", y, p, int(p > 0.5)) for y, p in scores],
+                              "Technique string, Datasets string, label int, prob double, prediction int")
+    got = [r for r in L.evaluate(t).collect() if "auc" in map(str, [str(x).lower() for x in r])]
+    pairs = [(p > q) + (p == q) / 2 for y, p in scores for z, q in scores if y == 1 and z == 0]
+    assert len(cuts[0]) > 1 and len(got) == 1
+    assert any(isinstance(x, float) and abs(x - sum(pairs) / len(pairs)) < 1e-9 for x in got[0])

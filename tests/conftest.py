@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "scripts")]
+sys.path[:0] = [ROOT, os.path.join(ROOT, "scripts"), os.path.join(ROOT, "tests")]
 
 from diffgauge.session import local_session  # noqa: E402
 
@@ -12,9 +12,3 @@ from diffgauge.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return local_session(8, shuffle_partitions=4, memory="8g")
-
-
-def rows(df, *order):
-    """Rows as plain tuples, sorted by the given columns (or by all)."""
-    keys = order or df.columns
-    return [tuple(r) for r in sorted(df.collect(), key=lambda r: tuple(str(r[k]) for k in keys))]

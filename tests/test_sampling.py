@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from diffgauge.operators import joins, models as L, ngrams, sampling as S, surrogate
 from diffgauge.operators.neighbours import nearest_neighbours
 from diffgauge.operators.substrings import substring_pairs

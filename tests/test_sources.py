@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from conftest import rows
+from helpers import rows
 from diffgauge import schemas
 from diffgauge.sources import readers, writers
 from diffgauge.session import materialize, scratch_dir

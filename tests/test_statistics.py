@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from diffgauge.operators import curves, ranks, stats, sweep
 from diffgauge.operators.epochs import early_stopping
 from diffgauge.operators.topk import score_levels, top_hits, top_with_ties

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from diffgauge.operators import tokens as T
 
 PIECES = "row_id long, pos int, piece string, score double"

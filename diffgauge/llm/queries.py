@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffgauge.llm import (dac, decontaminate, katz, licenses, ngram_join, packing, quality, resharding, secret_scan,
-                            topk)
+from diffgauge.llm import (dac, decontaminate, importance, katz, licenses, ngram_join, packing, quality, resharding,
+                            secret_scan, topk)
 from diffgauge.llm.common import remainder, table
 from diffgauge.llm.units import dropped_spaces, leading_spaces
 from diffgauge.session import scratch_dir, ship
@@ -108,3 +108,55 @@ def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op8_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = katz.score(table(spark, folder, "documents"), remainder(F.col("doc_id"), 5) == 1)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_bit_sliced_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    rows = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+# CRC-32 of a blob's hex digits: two steps a byte, the low half first. The 16 steps are fixed values.
+CRC_STEPS = """[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes."""
+    digits = f"hex(encode({text}))"
+    halves = (f"list_transform(range(1, 1 + length({digits})), lambda i: "
+              f"strpos('0123456789ABCDEF', substr({digits}, (CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END)::bigint, 1)) - 1)")
+    return (f"xor(4294967295, list_reduce({halves}, lambda c, x: "
+            f"xor(c >> 4, {CRC_STEPS}[1 + (xor(c, x) & 15)]), 4294967295::bigint))")
+
+
+ORACLES["op11_bit_sliced_resampling"] = f"""
+with texts as (select 'd' as side, row_number() over () as row, doc_id, text from documents
+               union all select 'b', row_number() over (), null, text from benchmark),
+     parts as (select side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+     runs as (select side, row, unnest(list_concat(w,
+                 list_transform(range(1, len(w)::bigint), lambda i: w[i] || ' ' || w[i + 1]),
+                 list_transform(range(1, len(w)::bigint - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f
+              from parts),
+     counted as (select side, row, f, count(*) as n from runs group by all),
+     hashed as (select f, {crc_sql("f")} % 10000 as b from (select distinct f from counted)),
+     placed as (select side, row, b, n from counted join hashed using (f)),
+     s as (select b, sum(n)::double as n from placed where side = 'd' group by b),
+     t as (select b, sum(n)::double as n from placed where side = 'b' group by b),
+     g as (select r.b, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((select coalesce(sum(n), 0) from s) + 10000))
+                    / ((coalesce(s.n, 0) + 1) * ((select coalesce(sum(n), 0) from t) + 10000))))::bigint as gain
+           from range(10000) r(b) left join s using (b) left join t using (b)),
+     weights as (select row, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight
+                 from placed join g using (b) where side = 'd' group by row),
+     scored as (select doc_id, len(w)::bigint as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                       coalesce(weight, 0) + floor(-1000 * ln(-ln((
+                         ('0x' || left(sha256('42:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double)
+                         / 4294967296)))::bigint as score
+                from parts left join weights using (row) where side = 'd'),
+     ordered as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) as r,
+                        count(*) filter (where n_words >= 20) over () as able from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and r <= able * 5 // 100 then r end as rank, n_words
+from ordered
+"""

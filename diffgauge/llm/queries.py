@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffgauge.llm import (dac, decontaminate, importance, katz, licenses, ngram_join, packing, quality, resharding,
-                            secret_scan, topk)
+from diffgauge.llm import (dac, decontaminate, importance, katz, licenses, ngram_join, packing, prefix_trie, quality,
+                            resharding, secret_scan, topk)
 from diffgauge.llm.common import remainder, table
 from diffgauge.llm.units import dropped_spaces, leading_spaces
 from diffgauge.session import scratch_dir, ship
@@ -160,3 +160,31 @@ with texts as (select 'd' as side, row_number() over () as row, doc_id, text fro
 select doc_id, n_features, weight, score, case when n_words >= 20 and r <= able * 5 // 100 then r end as rank, n_words
 from ordered
 """
+
+
+@query
+def op12_halving_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op12_halving_prefix_trie"] = f"""
+with t as (select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+                               order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as l
+           from conversations where conv_id is not null group by conv_id),
+     c as (select conv_id, conv_id - conv_id % 100 as base, l, {crc_sql("conv_id::varchar")} % 6 as h from t),
+     r as (select c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) as l
+           from c left join t b on b.conv_id = c.base),
+     m as (select conv_id, len(l) as n, unnest(range(0, 1 + len(l)::bigint)) as d, l from r),
+     p as (select d, l[1:d] as p, conv_id, n = d as ends from m),
+     g as (select d, p, min(conv_id) as conv_id, count(*) as n_convs,
+                  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+           from p group by d, p),
+     k as (select p[1:d - 1] as p, count(*) as n_children from g where d > 0 group by all),
+     v as (select g.*, coalesce(n_children, 0) as n_children, case when n_children is null then 1 else 0 end as leaf,
+                  case when d = 0 then 0 else (n_convs - 1) * length(p[d].t) end as saved from g left join k using (p)),
+     a as (select unnest(range(0, 1 + d)) as up, p, leaf, saved from v),
+     s as (select up as d, p[1:up] as p, sum(leaf) as n_leaves, sum(saved) as saved_tokens from a group by all)
+select v.conv_id, v.d as depth, u.conv_id as parent_conv_id, v.n_convs, v.n_children, s.n_leaves::bigint as n_leaves,
+       s.saved_tokens::bigint as saved_tokens, v.ends_sha256
+from v join s on v.d = s.d and v.p = s.p left join g u on u.d = v.d - 1 and u.p = v.p[1:v.d - 1]
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffgauge.llm import (dac, decontaminate, importance, katz, licenses, ngram_join, packing, prefix_trie, quality,
-                            resharding, secret_scan, topk)
+                            resharding, secret_scan, topk, toxicity)
 from diffgauge.llm.common import remainder, table
 from diffgauge.llm.units import dropped_spaces, leading_spaces
 from diffgauge.session import scratch_dir, ship
@@ -188,3 +188,12 @@ select v.conv_id, v.d as depth, u.conv_id as parent_conv_id, v.n_convs, v.n_chil
        s.saved_tokens::bigint as saved_tokens, v.ends_sha256
 from v join s on v.d = s.d and v.p = s.p left join g u on u.d = v.d - 1 and u.p = v.p[1:v.d - 1]
 """
+
+
+@query
+def op13_unlabelled_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), remainder(F.col("doc_id"), 4) != 2)
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                       (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"), "n_marks")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from diffgauge.functions import numbers as N
 from diffgauge.operators.neighbours import nearest_neighbours
 from diffgauge.operators.ranks import order_statistics
+from diffgauge.operators.sparse_neighbours import nearest_sparse
 from diffgauge.session import materialize
 
 DIGITS = 4
@@ -123,6 +124,44 @@ def undersample(df: DataFrame, label: str, key: Sequence[str], ratio: float = 0.
     return take_by_digest(df, label, key, quotas, seed).where("taken").drop("taken")
 
 
+def smote_copies(few: DataFrame, label: str, count: Mapping, missing: int, seed: int) -> DataFrame:
+    """(base, x, copy): ``missing`` copies dealt evenly over the rows of the smaller class, the remainder by digest.
+
+    ``few``: its rows as (label, base, x); ``count``: the class and its number of rows.
+    """
+    (small, n), = count.items()
+    share, rest = divmod(missing, n)
+    dealt = take_by_digest(few, label, ["base"], {small: rest}, seed, "_extra")
+    return (dealt.withColumn("_n", F.lit(share) + F.col("_extra").cast("int")).where("_n > 0")
+            .select("base", "x", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy")))
+
+
+def smote_sparse(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 2, minority=None) -> DataFrame:
+    """``smote`` on sparse rows: (base, copy, neighbour, u, indices, values), the same points as on dense ones.
+
+    Neighbours come from ``nearest_sparse``; a new row has the columns of its two parents.
+    """
+    counts = class_counts(df, label)
+    small = minority if minority is not None else min(counts, key=counts.get)
+    missing = max(counts.values()) - counts[small]
+    own = df.where(F.col(label) == F.lit(small))
+    few = own.select(label, F.col(key).alias("base"), F.map_from_arrays("indices", "values").alias("x"))
+    copies = smote_copies(few, label, {small: counts[small]}, missing, seed)
+    k = max(min(k, counts[small] - 1), 0)
+    if k == 0:
+        pairs = copies.withColumn("neighbour", F.col("base")).withColumn("u", F.lit(0.0)).withColumn("_nx", F.col("x"))
+    else:
+        near = nearest_sparse(own, own, key, k, exclude_self=True)
+        picked = copies.withColumn("rank", (N.digest_number(N.digest(["base", "copy"], seed, "n")) % k + 1).cast("int"))
+        pairs = (picked.join(near.select(F.col("query").alias("base"), "rank", "neighbour"), ["base", "rank"])
+                 .join(few.select(F.col("base").alias("neighbour"), F.col("x").alias("_nx")), "neighbour")
+                 .withColumn("u", N.unit_hash(["base", "copy"], seed, "u")))
+    zero = F.lit(0.0)
+    mixed = F.map_zip_with("x", "_nx", lambda i, a, b: F.coalesce(a, zero) + F.col("u") * (F.coalesce(b, zero) - F.coalesce(a, zero)))
+    return pairs.select("base", "copy", "neighbour", "u", F.array_sort(F.map_entries(mixed)).alias("_e")).select(
+        "base", "copy", "neighbour", "u", F.col("_e.key").alias("indices"), F.col("_e.value").alias("values"))
+
+
 def smote(df: DataFrame, label: str, key: str, features: str, k: int = 10, seed: int = 2,
           minority=None) -> DataFrame:
     """Synthetic minority rows that bring the two classes to 1:1.
@@ -136,10 +175,7 @@ def smote(df: DataFrame, label: str, key: str, features: str, k: int = 10, seed:
     missing = max(counts.values()) - counts[small]
     few = df.where(F.col(label) == F.lit(small)).select(label, F.col(key).alias("base"),
                                                         F.col(features).cast("array<double>").alias("x"))
-    share, rest = divmod(missing, counts[small])
-    dealt = take_by_digest(few, label, ["base"], {small: rest}, seed, "_extra")
-    copies = (dealt.withColumn("_n", F.lit(share) + F.col("_extra").cast("int")).where("_n > 0")
-              .select("base", "x", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy")))
+    copies = smote_copies(few, label, {small: counts[small]}, missing, seed)
     k = max(min(k, counts[small] - 1), 0)
     if k == 0:
         return (copies.withColumn("neighbour", F.col("base")).withColumn("u", F.lit(0.0))

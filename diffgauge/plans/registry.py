@@ -30,6 +30,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def load() -> tuple[dict[str, Plan], dict[str, str]]:
-    from diffgauge.plans import (q_aggregates, q_changes, q_features, q_joins,  # noqa: F401
+    from diffgauge.plans import (q_aggregates, q_chain, q_changes, q_features, q_joins,  # noqa: F401
                                  q_metrics, q_text)
     return PLANS, ORACLES

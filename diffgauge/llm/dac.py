@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffgauge.llm.common import part_bases, partition_id, texts_of
+from diffgauge.llm.common import part_bases, partition_id, slices, texts_of
 from diffgauge.llm.units import encoder
 
 CHUNK_BITS = 8
@@ -113,9 +113,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, units: Callable[[str
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, _SEGMENT_TYPES)],
                                               [f.split()[0] for f in SEGMENT.split(", ")])
         held = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-                code = tool.encode([text])[0] + end
+        for batch in slices(batches, 128):
+            for doc_id, code in zip(batch.column("doc_id").to_pylist(), tool.encode(texts_of(batch.column("text")))):
+                code += end
                 ids.append(code)
                 doc_ids.append(doc_id)
                 held += len(code) // 4

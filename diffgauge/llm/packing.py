@@ -28,7 +28,7 @@ def encoded(docs: DataFrame, tokenizer: str, units: Callable[[str], list[str]],
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, tool = partition_id(), 0, encoder(tokenizer, units)
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             codes = [c + end for c in tool.encode(texts_of(batch.column("text")))]
             counts = np.array([len(c) // 4 for c in codes], np.int64)
             first = before + np.cumsum(counts) - counts

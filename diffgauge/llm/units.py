@@ -14,9 +14,10 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_UNITS = 1_200_000      # per Python worker; the memory is given back when it is full
+CACHED_UNITS = 1_400_000      # per Python worker; the memory is given back when it is full
 LONGEST_CACHED = 64         # characters
-TEXTS_AT_ONCE, UNITS_AT_ONCE = 128, 4096
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 21      # texts whose new units are learned together
+UNITS_AT_ONCE = 4096
 
 _PLAIN = re.compile(r" ?\S+")
 _MARKS = ".,;:!?%#$&*|"
@@ -37,32 +38,57 @@ def leading_spaces(text: str) -> list[str]:
 
 
 class UnitEncoder:
-    """``between`` is white space that keeps units apart when many new ones are encoded in one call."""
+    """``between`` is white space that keeps units apart when many new ones are encoded in one call.
+
+    A text that holds the string of one of the tokenizer's special tokens is encoded whole, as the library does.
+    """
 
     def __init__(self, path: str, units: Callable[[str], list[str]]):
+        self.path, self.library = path, None
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True     # lowered units may look like a special token that the text lacks
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units, self.between = units, "\n"
+        # the id of white space between units, where the tokenizer gives it one
+        ids = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.mark = ids[0] if len(ids) == 1 else None
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            lists = [self.units(t) for t in texts[at:at + TEXTS_AT_ONCE]]
-            new = set().union(*lists).difference(self.known)
-            if len(self.known) + len(new) > CACHED_UNITS:
-                self.known.clear()
-                new = set().union(*lists)
-            self._learn(new)
-            out += [b"".join(map(self.known.__getitem__, units)) for units in lists]
-            for u in new:
-                if len(u) > LONGEST_CACHED:
-                    self.known.pop(u, None)
+        out, at = [], 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and stop - at < TEXTS_AT_ONCE and size + len(texts[stop]) <= CHARS_AT_ONCE:
+                size += len(texts[stop])
+                stop += 1
+            out += self._encode(texts[at:stop])
+            at = stop
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        lists = [[] if i in whole else self.units(t) for i, t in enumerate(texts)]
+        new = set().union(*lists).difference(self.known)
+        if len(self.known) + len(new) > CACHED_UNITS:
+            self.known.clear()
+            new = set().union(*lists)
+        self._learn(new)
+        if whole and self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        out = [self._ids(self.library, t) if i in whole else b"".join(map(self.known.__getitem__, lists[i]))
+               for i, t in enumerate(texts)]
+        for u in new:
+            if len(u) > LONGEST_CACHED:
+                self.known.pop(u, None)
         return out
 
+    @staticmethod
+    def _ids(tokenizer: Tokenizer, text: str) -> bytes:
+        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, new: set[str]) -> None:
-        """Plain units (one word, perhaps with a space before) in joint calls, cut by their offsets; others alone."""
+        """Plain units (one word, perhaps with a space before) in joint calls; others alone."""
         # letters with marks behind them are two units: no splitter joins the two, so one word is encoded once
         marked = {u: c for u in new if (c := u.rstrip(_MARKS)) != u and c.removeprefix(" ").lower().isalpha()}
         if marked:
@@ -75,18 +101,22 @@ class UnitEncoder:
             if len(u) <= LONGEST_CACHED and _PLAIN.fullmatch(u):
                 plain.append(u)
             else:
-                self.known[u] = np.asarray(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
+                self.known[u] = self._ids(self.tokenizer, u)
         for at in range(0, len(plain), UNITS_AT_ONCE):
             own = plain[at:at + UNITS_AT_ONCE]
             joint = self.tokenizer.encode(self.between + self.between.join(own), add_special_tokens=False)
             ids = np.asarray(joint.ids, "<u4")
-            begins = np.fromiter((o[0] for o in joint.offsets), np.int64, len(ids))
-            lengths = np.fromiter(map(len, own), np.int64, len(own))
-            first = np.cumsum(lengths + 1) - lengths        # where each unit begins in the joint text
-            left = np.searchsorted(begins, first).tolist()
-            right = np.searchsorted(begins, first + lengths).tolist()
+            if self.mark is not None and np.count_nonzero(ids == self.mark) == len(own):
+                left = np.flatnonzero(ids == self.mark) + 1
+                right = np.append(left[1:] - 1, len(ids))
+            else:       # cut by offsets
+                begins = np.fromiter((o[0] for o in joint.offsets), np.int64, len(ids))
+                lengths = np.fromiter(map(len, own), np.int64, len(own))
+                first = np.cumsum(lengths + 1) - lengths        # where each unit begins in the joint text
+                left = np.searchsorted(begins, first)
+                right = np.searchsorted(begins, first + lengths)
             raw = ids.tobytes()
-            for u, i, j in zip(own, left, right):
+            for u, i, j in zip(own, left.tolist(), right.tolist()):
                 self.known[u] = raw[4 * i:4 * j]
 
 

@@ -20,7 +20,6 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 
 def whole(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: np.asarray(t.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
@@ -37,6 +36,17 @@ def test_units_equal_whole_texts(path, units):
         assert encode([text or ""])[0] == one(text).tobytes()
 
 
+def test_special_strings_are_the_librarys():
+    """Ids by the library alone, stated as values; joint learning of many units changes nothing."""
+    text = "ab <|endoftext|> cd"
+    for path, units, ids in ((WORD, dropped_spaces, [3937, 49407, 4480]), (BYTE, leading_spaces, [397, 220, 50256, 22927])):
+        tool, one = UnitEncoder(path, units), whole(path)
+        assert np.frombuffer(tool.encode([text])[0], "<u4").tolist() == ids
+        texts = [text, "<|endoftext|>", "plain <|endoftext", "x<|startoftext|>y", "<|ENDOFTEXT|>", " ", text * 50] + [
+            "word%d <| end of |> text" % i for i in range(900)]
+        assert tool.encode(texts) == [one(t).tobytes() for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2 ** 32 - 1) | st.integers(0, 300), min_size=1, max_size=1500), st.data())
 def test_codes_round_trip(ids, data):

@@ -113,7 +113,7 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
-STORED = "doc_id long, text string, size long, text_hash long, shard int, block int"
+STORED = "doc_id long, text string, size long, text_hash long, copy long, shard int, block int"
 
 
 def write_shards(rows: DataFrame, path: str) -> DataFrame:
@@ -124,9 +124,12 @@ def write_shards(rows: DataFrame, path: str) -> DataFrame:
 
 
 def lay_out(docs: DataFrame, shard: Column) -> DataFrame:
-    """A sharded table: ``shard`` by the given expression, ``block`` the bit length of the row's size."""
+    """A sharded table: ``shard`` by the given expression, ``block`` the bit length of the row's size.
+
+    ``copy`` is the row's place in the input, so rows equal in id and text can be told apart.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       shard.cast("int").alias("shard"))
+                       shard.cast("int").alias("shard"), F.monotonically_increasing_id().alias("copy"))
     rows = rows.withColumn("size", size_of("text")).withColumn("text_hash", F.xxhash64("text")).withColumn(
         "block", F.length(F.bin("size")).cast("int"))
     return write_shards(rows, scratch_dir(docs.sparkSession))
@@ -136,8 +139,8 @@ def reshard(old: DataFrame, shards: int, cost: Cost = lambda i, j: int(i != j))
     """Move a sharded table (``lay_out``) to ``shards`` shards of nearly equal bytes.
 
     Returns the new table, read from the untouched old blocks and the rewritten ones, and the solved
-    transfers. Null texts have size 8. Rows that are equal in id and text stay together; every other cut is
-    possible. An empty table stays empty. Only one number per old shard and one key per transfer reach the
+    transfers. Null texts have size 8. A cut can fall between any two rows, also between equal ones. An empty
+    table stays empty. Only one number per old shard and one key per transfer reach the
     driver.
     """
     spark = old.sparkSession
@@ -149,10 +152,10 @@ def reshard(old: DataFrame, shards: int, cost: Cost = lambda i, j: int(i != j))
         targets = sorted((j for k, j in plan if k == i), key=lambda j: (j != i, j))     # what stays comes first
         ranges[i] = (np.cumsum([plan[i, j] for j in targets]).tolist(), targets)
 
-    order = F.struct((-F.col("size")).alias("size"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "text_hash")
+    order = F.struct((-F.col("size")).alias("size"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "text_hash", "copy")
     slim = old.select("shard", order.alias("key"), "size")
     placed = running(slim.select("shard", "key.*", F.col("size").alias("bytes")), "shard",
-                     ["size", "doc_id", "text_hash"], F.col("bytes"))
+                     ["size", "doc_id", "text_hash", "copy"], F.col("bytes"))
 
     def targets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +166,7 @@ def reshard(old: DataFrame, shards: int, cost: Cost = lambda i, j: int(i != j))
                                              [*batch.schema.names, "target"])
 
     last = placed.mapInArrow(targets_of, f"{_ddl(placed)}, target int").groupBy("shard", "target").agg(
-        F.max(F.struct("size", "doc_id", "text_hash")).alias("key"))
+        F.max(F.struct("size", "doc_id", "text_hash", "copy")).alias("key"))
     cuts: dict[int, list[tuple]] = {}
     for r in last.collect():                # a key per transfer
         cuts.setdefault(r["shard"], []).append((tuple(r["key"]), r["target"]))
@@ -174,7 +177,7 @@ def reshard(old: DataFrame, shards: int, cost: Cost = lambda i, j: int(i != j))
     affected = F.broadcast(store(moved.groupBy("old_shard", "block").agg(
         F.max(F.col("target") != F.col("old_shard")).alias("hit")).where("hit").select("old_shard", "block")))
     again = moved.join(affected, ["old_shard", "block"]).select(
-        "doc_id", "text", "size", "text_hash", F.col("target").alias("shard"), "block")
+        "doc_id", "text", "size", "text_hash", "copy", F.col("target").alias("shard"), "block")
     rewritten = write_shards(again, scratch_dir(spark))
     untouched = old.join(affected.withColumnRenamed("old_shard", "shard"), ["shard", "block"], "left_anti")
     names = [f.split()[0] for f in STORED.split(", ")]
@@ -186,9 +189,8 @@ def _target(cuts: dict[int, list[tuple]], key: Column) -> Column:
     out = F.col("shard")
     for i, own in cuts.items():
         inner = F.lit(own[-1][1])
-        for (size, doc_id, text_hash), target in reversed(own[:-1]):
-            cut = F.struct(F.lit(size).cast("long").alias("size"), F.lit(doc_id).cast("long").alias("doc_id"),
-                           F.lit(text_hash).cast("long").alias("text_hash"))
+        for values, target in reversed(own[:-1]):
+            cut = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("size", "doc_id", "text_hash", "copy"), values)])
             inner = F.when(key <= cut, F.lit(target)).otherwise(inner)
         out = F.when(F.col("shard") == i, inner).otherwise(out)
     return out.cast("int")
@@ -197,6 +199,6 @@ def _target(cuts: dict[int, list[tuple]], key: Column) -> Column:
 def slots(table: DataFrame) -> DataFrame:
     """The rows without their texts, numbered from 0 in each shard by id and text."""
     slim = table.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-                        "text_hash", "shard")
-    return running(slim, "shard", ["doc_id", "text_hash"], F.lit(1)).withColumnRenamed("before", "slot").drop(
-        "value", "text_hash")
+                        "text_hash", "copy", "shard")
+    return running(slim, "shard", ["doc_id", "text_hash", "copy"], F.lit(1)).withColumnRenamed("before", "slot").drop(
+        "value", "text_hash", "copy")

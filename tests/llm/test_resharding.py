@@ -74,4 +74,22 @@ def test_odd_rows(odd, none):
     assert Counter((r["doc_id"], r["text_crc32"]) for r in rows) == want
     for s in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    longest = max(r["size"] for r in rows)
+    assert max(sizes.values()) <= sum(sizes.values()) / 3 + 2 * longest
     assert shards_of(none, 3)[2] == []
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    """Half of all rows are equal in id and text; bytes stay near equal all the same."""
+    rows = [(7, "the same text " * 40)] * 600 + [(i, f"{i} " * (i % 300)) for i in range(600)]
+    _, _, got = shards_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 24)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 24 and sum(sizes.values()) == sum(len(t) + 8 for _, t in rows)
+    assert max(sizes.values()) - min(sizes.values()) < 4 * max(r["size"] for r in got)
+    for s in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))

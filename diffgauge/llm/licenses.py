@@ -52,7 +52,49 @@ TEMPLATES = {
     "mit-text": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
         "documentation files the software to deal in the software without restriction including without limitation "
-        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
+        "permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice <<o>>including the next paragraph<</o>> shall be included in all "
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind "
+        "express or implied including but not limited to the warranties of merchantability fitness for a particular "
+        "purpose and noninfringement in no event shall the <<v:[a-z]+:6>> be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+        "software or the use or other dealings in the software",
+    ],
+    "isc-text": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software "
+        "is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether "
+        "in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+    ],
+    "bsd-text": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that "
+        "the following conditions are met <<o>>1<</o>> redistributions of source code must retain the above copyright "
+        "notice this list of conditions and the following disclaimer <<o>>2<</o>> redistributions in binary form must "
+        "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+        "and or other materials provided with the distribution <<o>><<o>>3<</o>> neither the name of "
+        "<<v:[^ ]+:8>> nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission<</o>> this software is provided by the <<v:[^ ]+:6>> as is "
+        "and any express or implied warranties including but not limited to the implied warranties of merchantability "
+        "and fitness for a particular purpose are disclaimed in no event shall the <<v:[^ ]+:6>> be liable for any "
+        "direct indirect incidental special exemplary or consequential damages including but not limited to procurement "
+        "of substitute goods or services loss of use data or profits or business interruption however caused and on any "
+        "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in "
+        "any way out of the use of this software even if advised of the possibility of such damage",
+    ],
+    "apache-header": [
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with "
+        "the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required "
+        "by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+        "basis without warranties or conditions of any kind either express or implied see the license for the specific "
+        "language governing permissions and limitations under the license",
+    ],
+    "mpl-header": [
+        "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at <<o>>http<</o>> <<o>>https<</o>> mozilla org mpl 2.0",
     ],
 }
 
@@ -100,6 +142,11 @@ class Automaton:
                     todo.append(s)
         return seen
 
+    def required(self) -> list[str]:
+        """Literal words of every match: no skip passes over their step."""
+        return [w for s, own in sorted(self.literal.items()) for w in own
+                if not any(a <= s < b for a, ends in self.skips.items() for b in ends)]
+
     def first_words(self) -> tuple[set[str], bool]:
         """Literal words that can begin a match, and whether an expression can."""
         states = self._closed({0})
@@ -136,12 +183,8 @@ class Scanner:
                 for w in () if free else literal:
                     self.by_first[w].append((label, a))
         # every template holds one of these words in its mandatory part, so a text without them has no match
-        self.anchors = [self._rarest(t) for texts in templates.values() for t in texts]
-
-    @staticmethod
-    def _rarest(template: str) -> str:
-        bare = re.sub(r"<<v:[^>]*>>", " ", re.sub(r"<<o>>(?:(?!<<o>>).)*?<</o>>", " ", template))
-        return max(WORD.findall(bare.translate(LOWER)), key=lambda w: (w in _TELLING, len(w)))
+        self.anchors = [max(Automaton(t).required(), key=lambda w: (w in _TELLING, len(w)))
+                        for texts in templates.values() for t in texts]
 
     def spans(self, words: list[str], found: set[str]) -> list[tuple[str, int, int]]:
         if found.isdisjoint(self.anchors):
@@ -159,7 +202,7 @@ class Scanner:
 
 
 # words that running prose hardly uses; only a choice of where to look first
-_TELLING = ("apache", "creative", "cc", "gnu", "mit", "sublicense")
+_TELLING = ("apache", "creative", "cc", "gnu", "mit", "sublicense", "mozilla", "redistributions", "tortious")
 
 
 def places(words: list[str], word: str) -> Iterator[int]:

@@ -38,6 +38,40 @@ def test_licenses(spark, odd, none):
         assert r["labels"] == "" and r["first_word"] is None
 
 
+def test_full_wordings():
+    """Replaceable parts may vary, mandatory wording may not; a text that goes on differently is not accepted."""
+    mit = licenses.TEMPLATES["mit-text"][0]
+    texts = {"mit-text": mit.replace("<<o>>including the next paragraph<</o>>", "").replace("<<v:[a-z]+:6>>", "authors or copyright holders"),
+             "bsd-text": licenses.TEMPLATES["bsd-text"][0].replace("<<o>>", "").replace("<</o>>", "").replace(
+                 "<<v:[^ ]+:8>>", "the copyright holder").replace("<<v:[^ ]+:6>>", "copyright holders and contributors"),
+             "isc-text": licenses.TEMPLATES["isc-text"][0]}
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+
+    def labels(text):
+        ws = licenses.WORD.findall(text)
+        return {s[0] for s in scanner.spans(ws, set(ws))}
+    for label, text in texts.items():
+        assert labels("x y " + text + " z") == {label}
+    begin = mit[:mit.index(" and to permit persons")]
+    assert labels(begin + " for money only") == set()
+    three = texts["bsd-text"]
+    two = three[:three.index("3 neither")] + three[three.index("this software is provided"):]
+    assert labels(two) == {"bsd-text"} and labels(two.replace("must retain", "may drop")) == set()
+
+
+TEMPLATE_WORDS = "aa bb cccccccc dd ee 1 x".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(TEMPLATE_WORDS), max_size=14), st.sampled_from([
+    "<<o>>aa <<o>>bb<</o>> cccccccc<</o>> dd ee", "aa <<o>>bb <<v:[a-z]+:2>><</o>> dd", "<<v:[0-9]>> aa <<o>>cccccccc<</o>> ee",
+    "dd <<o>>aa <<o>>bb <<o>>cccccccc<</o>><</o>><</o>> ee"]))
+def test_scanner_equals_the_automaton_from_every_start(ws, template):
+    a = licenses.Automaton(template)
+    want = {("t", i, end) for i in range(len(ws)) if (end := a.match(ws, i)) is not None and end > i}
+    assert set(licenses.Scanner({"t": [template]}).spans(ws, set(ws))) == want
+
+
 words = st.lists(st.sampled_from("cc by mit license gnu general public apache x".split()), max_size=40)
 
 

@@ -103,16 +103,15 @@ class Index:
         self.by_block = Postings(maxima, len(self.terms))
         self.by_item = Postings(essential, len(self.terms))
 
-    def hits(self, texts: list[str]) -> list[tuple[int, int, float, float, float, int]]:
+    def hits(self, docs: list[list[str]]) -> list[tuple[int, int, float, float, float, int]]:
         """Verified (text, item, score, question overlap, answer overlap, first word), the best passage of each.
 
-        Passages are windows of two strides, one stride apart; a stride holds the longest item, so every
-        item lies whole in some passage.
+        ``docs``: the words of some texts. Passages are windows of two strides, one stride apart; a stride
+        holds the longest item of the index, so every item lies whole in some passage.
         """
         if not self.items:
             return []
         s, get = self.stride, self.terms.get
-        docs = [words_of(t) for t in texts]
         # windows of all texts in one row: a text of n words has the windows 0 .. (n - 1) // s
         first = np.cumsum([0] + [-(-len(d) // s) for d in docs])
         sizes = np.array([len(d) for d in docs])
@@ -162,20 +161,25 @@ class Index:
                      for p in self.parts[i])
 
 
-def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> list[Index]:
-    """Indexes over the distinct items; several where the items' texts take more than ``most`` bytes.
+def stride_of(n_words: int) -> int:
+    """Windows suit the item: its length class, the next power of two, 32 at least."""
+    return max(32, 1 << (n_words - 1).bit_length())
 
-    Document frequencies, item count and mean length are counted by Spark over the whole benchmark, so a
-    score does not depend on the number of indexes. Null and wordless items are left out.
+
+def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[list[Index]]:
+    """The indexes of one pass over the documents after another; the items of a pass take about ``most`` bytes.
+
+    A pass has one index for each length class of its items, so a long item does not widen the windows of the
+    others. Document frequencies, item count and mean length are counted by Spark over the whole benchmark, so a
+    score does not depend on the number of passes. Null and wordless items are left out. One pass at a time is
+    held by the driver.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
                              ).distinct().where(F.col("text").isNotNull())
-    spark = benchmark.sparkSession
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     shards = -(-size // most)
-    out = []
     if not shards:
-        return out
+        return
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,27 +190,34 @@ def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> list[Index]:
 
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
     counted = items.select("text", "shard").mapInArrow(words, "terms array<string>, n long, shard int").where("n > 0")
-    total = counted.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    total = counted.agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
     if not total["items"]:
-        return out
+        return
     in_shard = counted.select("shard", F.explode("terms").alias("term"))
     df = in_shard.groupBy("term").agg(F.count("*").alias("df"))
     for k in range(shards):     # each holds at most about ``most`` bytes of text
         own = [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).select("item_id", "text").collect()]
         own = sorted(((i, t) for i, t in own if words_of(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if not own:
+            continue
         terms = in_shard.where(F.col("shard") == k).select("term").distinct()
         counts = {r["term"]: r["df"] for r in df.join(terms, "term").collect()}
-        out.append(Index(own, counts, total["items"], total["mean"], max(total["longest"], 32)))
-    return out
+        classes = defaultdict(list)
+        for item in own:
+            classes[stride_of(len(words_of(item[1])))].append(item)
+        yield [Index(classes[s], counts, total["items"], total["mean"], s) for s in sorted(classes)]
 
 
 TEXTS_AT_ONCE = 64
 
 
-def _found(index: Index, texts: list[str]) -> Iterator[tuple]:
+def _found(own: list[Index], texts: list[str]) -> Iterator[tuple]:
+    """(text, index, item, ...) of all hits of one pass; words are cut once for all its indexes."""
     for at in range(0, len(texts), TEXTS_AT_ONCE):
-        for d, *hit in index.hits(texts[at:at + TEXTS_AT_ONCE]):
-            yield at + d, *hit
+        docs = [words_of(t) for t in texts[at:at + TEXTS_AT_ONCE]]
+        for index in own:
+            for d, *hit in index.hits(docs):
+                yield at + d, index, *hit
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -214,25 +225,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Result: ``doc_id, item_id, score, question_overlap, answer_overlap, first_word, n_words``. Null and
     empty texts hold nothing; a null id stays null; repeated rows give a row each; an empty benchmark gives
-    none. The indexes are bounded by ``INDEX_BYTES`` and travel with the tasks; documents are not shuffled.
+    none. The items of a pass are bounded by ``INDEX_BYTES`` and travel with the tasks; documents are not shuffled.
     """
     result = ("doc_id long, item_id long, score double, question_overlap double, answer_overlap double, "
               "first_word long, n_words long")
     names = [f.split()[0] for f in result.split(", ")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def of(index: Index) -> DataFrame:
+    def of(own: list[Index]) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[d], index.items[i][0], score, q, a, at, len(index.words[i]))
-                        for d, i, score, q, a, at in _found(index, texts_of(batch.column("text")))]
+                        for d, index, i, score, q, a, at in _found(own, texts_of(batch.column("text")))]
                 columns = list(zip(*rows)) or [()] * 7
                 types = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
         return texts.mapInArrow(search, result)
 
-    found = [of(index) for index in indexes(benchmark)]
+    found = [of(own) for own in indexes(benchmark)]
     out = found[0] if found else docs.sparkSession.createDataFrame([], result)
     for more in found[1:]:
         out = out.unionByName(more)
@@ -242,10 +253,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that hold no benchmark item, with all their columns."""
     fields = docs.schema
-    for index in indexes(benchmark):
-        def kept(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    for own in indexes(benchmark):
+        def kept(batches: Iterator[pa.RecordBatch], own: list[Index] = own) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = {d for d, *_ in _found(index, texts_of(batch.column("text")))}
+                hit = {d for d, *_ in _found(own, texts_of(batch.column("text")))}
                 yield batch.filter(pa.array([d not in hit for d in range(batch.num_rows)], pa.bool_()))
         docs = docs.mapInArrow(kept, fields)
     return docs

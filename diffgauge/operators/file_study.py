@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from diffgauge.operators import models as L
 from diffgauge.operators.features import terms_long
-from diffgauge.operators.forest import explain_by_forest, forest_nodes
+from diffgauge.operators.forest import explain_by_forest, explain_words_by_forest, forest_nodes
 from diffgauge.operators.neighbours import knn_vote
 from diffgauge.operators.sampling import class_counts, smote_sparse
 from diffgauge.operators.sparse_neighbours import nearest_sparse
@@ -123,3 +123,15 @@ def explain_true_positives(s: Study, seed: int = 2, trees: int = 200, depth: int
     scores = explain_by_forest(s.test.join(hits, s.key, "left_semi"), moments, nodes, s.key, samples, seed)
     weights = materialize(scores.join(s.index, "index").select(s.key, F.col("term").alias("token"), F.col("score").alias("weight")))
     return Explained(predictions, nodes, weights)
+
+
+WORD = r"([\p{L}\p{N}_]{2,})"
+
+
+def explain_texts(rows: DataFrame, s: Study, nodes: DataFrame, text: str, samples: int = 10_000, features: int = 20,
+                  seed: int = 2) -> DataFrame:
+    """(key, token, score) for whole texts by a fitted forest; words keep their case, columns are those of their lower form."""
+    own = rows.select(s.key, F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), 1)).alias("token"))
+    counted = own.groupBy(s.key, "token").agg(F.count(F.lit(1)).alias("n")).withColumn("term", F.lower("token"))
+    return explain_words_by_forest(counted.join(s.index.select("term", "index"), "term", "left"), nodes, s.key, samples,
+                                   features, seed)

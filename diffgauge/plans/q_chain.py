@@ -1,19 +1,26 @@
-"""The file study on sparse rows (K6, L3, L6, L8), and the chain from a forest to explained lines and sweeps."""
+"""The file study on sparse rows (K6, L3, L6, L8), the chains from a forest to the sweeps and to the token evaluation,
+and queries over whole turns and all turns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from diffgauge.functions import nested as NS
 from diffgauge.functions import words as W
 from diffgauge.operators import attribution as K, features as FT, file_study as S, models as L, sweep, vocabulary as V
-from diffgauge.operators.sampling import chronological_split, class_counts
+from diffgauge.operators import tokens as TK
+from diffgauge.operators.forest import forest_nodes
+from diffgauge.operators.sampling import chronological_split, class_counts, holdout
 from diffgauge.operators.sparse_neighbours import nearest_sparse
 from diffgauge.operators.stats import signed_rank
 from diffgauge.plans import roles as R
 from diffgauge.plans.q_metrics import AVGS, FINAL_RATES, rounded
+from diffgauge.plans.q_text import TOKEN_SCORES, diff_xml
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import with_ctes
-from diffgauge.session import materialize
+from diffgauge.operators.topk import top_exact
+from diffgauge.functions import text as X
+from diffgauge.session import materialize, scratch_dir
 from diffgauge.sources.readers import table
 
 NUMERIC = ["deletions", "additions", "changed_line"]
@@ -211,3 +218,99 @@ def n4_forest(spark, d):
                       for m in ("recall", "far", "d2h")])
     long = rates.select(F.explode(pairs).alias("p")).select("p.*")
     return signed_rank(long, "app", "base", ["measure"])
+
+
+# --- a text surrogate into the token evaluation -----------------------------------------------
+
+def text_stages(spark, d):
+    """Stored tables from a forest over the turns to routed suggestions, made once per session for the same rows.
+
+    A turn's label is its speaker's side; held-out turns of the positive side are explained (K2), their best
+    words suggested, and routed (J6) by the forest's own prediction and the whole turn's length.
+    """
+    pairs = R.pairs(spark, d).join(table(spark, d, "conversations", ["conv_id", "turn", "role"]), ["conv_id", "turn"])
+    rows = materialize(pairs.withColumn("label", (F.col("role") != "user").cast("int")))
+    key = (spark.sparkContext.applicationId, "text", S.fingerprint(rows))
+    if key not in _STAGES:
+        files = materialize(holdout(rows.select("row_id", "label", "before_code"), "label", ["row_id"]))
+        s = S.study(files, "row_id", "before_code")
+        model = S.fit_forest(s, trees=50)
+        path = scratch_dir(spark)
+        model.write().save(path)
+        nodes = materialize(forest_nodes(spark, path))
+        predictions = materialize(L.scored(model.transform(s.vectors(s.test)), "row_id"))
+        asked = rows.join(predictions.where("label = 1").select("row_id", "prediction"), "row_id")
+        scores = materialize(S.explain_texts(asked, s, nodes, "before_code"))
+        best = top_exact(scores, ["row_id"], [F.col("score").desc(), F.col("token")], 5)
+        rows_in = asked.select("row_id", "before_code", "after_code", X.tokens_per_line("before_code").alias("n_tokens"),
+                               F.col("prediction").alias("y_pred"))
+        changed = materialize(TK.changed_tokens(asked))
+        routed = materialize(TK.route_rows(rows_in, best.select("row_id", "rank", "token"), changed, more_than_n=7))
+        _STAGES[key] = {"predictions": predictions, "scores": scores, "changed": changed, "rows": rows_in, "routed": routed}
+    return _STAGES[key]
+
+
+@query("K2_forest_text_surrogate")
+def forest_text_surrogate(spark, d):
+    return text_stages(spark, d)["scores"]
+
+
+@query("J6_routing_of_text_surrogate")
+def routing_of_text(spark, d):
+    return text_stages(spark, d)["routed"].select("row_id", "k", "n_common", "n_suggested", "n_changed", "outcome")
+
+
+@query("M7_token_scores_of_text_surrogate")
+def scores_of_text(spark, d):
+    out = TK.token_scores_at_k(text_stages(spark, d)["routed"])
+    return rounded(out.select("k", "common", "changed", "suggested", "recall", "precision", "f1"), "recall", "precision", "f1")
+
+
+# --- whole turns, all turns -------------------------------------------------------------------
+
+R.CTES["routed_whole"] = (R.CTES["routed"][0], R.CTES["routed"][1].replace(
+    "len(string_split(string_split(p.before_code, chr(10))[1], ' ')) - 1", "len(string_split(p.before_code, ' ')) - 1"))
+WHOLE_SCORES = TOKEN_SCORES.replace("FROM routed", "FROM routed_whole")
+
+
+@query("J6_outcome_routing_by_whole_turn", with_ctes("""
+SELECT row_id, k, n_common, n_suggested, n_changed, outcome, CASE WHEN outcome = 'too_short' THEN 'FN' ELSE outcome END AS published FROM routed_whole""", "routed_whole"))
+def routing_by_whole_turn(spark, d):
+    return R.routed(spark, d, whole=True).select(
+        "row_id", "k", "n_common", F.col("n_suggested").cast("long").alias("n_suggested"), F.col("n_changed").cast("long").alias("n_changed"),
+        "outcome", TK.published_outcome().alias("published"))
+
+
+@query("M7_token_scores_by_whole_turn", with_ctes(f"""
+SELECT k, common, changed, suggested, round(recall, 6) AS recall, round(precision, 6) AS precision,
+       round(2 * recall * precision / nullif(recall + precision, 0), 6) AS f1 FROM ({WHOLE_SCORES})""", "routed_whole"))
+def scores_by_whole_turn(spark, d):
+    out = TK.token_scores_at_k(R.routed(spark, d, whole=True))
+    return rounded(out.select("k", "common", "changed", "suggested", "recall", "precision", "f1"), "recall", "precision", "f1")
+
+
+@query("G7_venn_counts_by_whole_turn", with_ctes(f"""
+SELECT k, changed - common AS changed_only, suggested - common AS suggested_only, common FROM ({WHOLE_SCORES})""", "routed_whole"))
+def venn_by_whole_turn(spark, d):
+    return TK.venn_counts(TK.token_scores_at_k(R.routed(spark, d, whole=True)))
+
+
+@query("J5_xml_changed_tokens_of_all_turns", with_ctes("""
+SELECT DISTINCT row_id, regexp_replace(token, '[0-9]+', 'NUM', 'g') AS token FROM (SELECT row_id, unnest(gone) AS token FROM xml_word)
+WHERE NOT regexp_matches(token, '[[:punct:]]')""", "xml_word"))
+def xml_tokens_of_all(spark, d):
+    return TK.xml_changed_tokens(diff_xml(spark, d, whole=True))
+
+
+@query("B20_search_key_of_all_turns", with_ctes("""
+SELECT row_id, CAST(len(gone) + len(kept) + len(added) AS INTEGER) AS n_names,
+       array_to_string(list_concat(gone, kept, added), ' ') AS names FROM xml_word""", "xml_word"))
+def search_key_of_all(spark, d):
+    xml = diff_xml(spark, d, whole=True).withColumn("f", NS.search_key("xml", "name"))
+    return xml.select("row_id", F.size("f").alias("n_names"), F.array_join("f", " ").alias("names"))
+
+
+@query("B21_remove_key_of_all_turns", with_ctes("""
+SELECT row_id, array_to_string(list_concat(gone, added), ' ') AS names FROM xml_word""", "xml_word"))
+def remove_key_of_all(spark, d):
+    return diff_xml(spark, d, whole=True).select("row_id", F.array_join(NS.texts_without("xml", "diff:common"), " ").alias("names"))

@@ -362,15 +362,18 @@ def _tags(lines, name):
     return F.array_join(body, "")
 
 
-def diff_xml(spark, d):
-    """row_id, xml: the old lines as deleted names, kept words as common names."""
+def diff_xml(spark, d, whole=False):
+    """row_id, xml: the old lines as deleted names, kept words as common names.
+
+    One turn in seven is left broken on purpose, for the queries that sort broken rows out; ``whole`` breaks none.
+    """
     p = R.pairs(spark, d)
     old, new = F.split("before_code", r"\s+"), F.split("after_code", r"\s+")
     words = p.select("row_id", (F.expr(R.TURN_NUMBER) % 7 == 3).alias("broken"), old.alias("o"), new.alias("n"))
     gone = F.filter("o", lambda x: (x != "") & ~F.array_contains(F.col("n"), x))
     kept = F.filter("o", lambda x: (x != "") & F.array_contains(F.col("n"), x))
     added = F.filter("n", lambda x: (x != "") & ~F.array_contains(F.col("o"), x))
-    tail = F.when(F.col("broken"), "</unit").otherwise("</unit>")
+    tail = F.lit("</unit>") if whole else F.when(F.col("broken"), "</unit").otherwise("</unit>")
     return words.select("row_id", F.concat(
         F.lit('<unit xmlns:diff="urn:d"><diff:delete>'), _tags(gone, "name"),
         F.lit("<diff:common>"), _tags(kept, "name"), F.lit("</diff:common></diff:delete><diff:insert>"),

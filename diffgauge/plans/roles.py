@@ -306,12 +306,15 @@ CTES["changed_token"] = (("pair",), """
   WHERE s > 0""")
 
 
-def routed(spark: SparkSession, d: str, more_than_n: int = 7) -> DataFrame:
-    """The token evaluation from pieces and pairs to one outcome per (row, k)."""
+def routed(spark: SparkSession, d: str, more_than_n: int = 7, whole: bool = False) -> DataFrame:
+    """The token evaluation from pieces and pairs to one outcome per (row, k).
+
+    The length that sets short turns aside is that of the first line, the narrow form, or of the ``whole`` turn.
+    """
     from diffgauge.operators import tokens as T
     p = pairs(spark, d)
     rows = p.select("row_id", "before_code", "after_code",
-                    X.tokens_per_line(F.element_at(F.split("before_code", "\n"), 1)).alias("n_tokens"),
+                    X.tokens_per_line("before_code" if whole else F.element_at(F.split("before_code", "\n"), 1)).alias("n_tokens"),
                     (F.col("turn") % 5 != 0).cast("int").alias("y_pred"))
     best = T.suggestions(T.clean_scores(T.merge_subwords(pieces(spark, d))), 5)
     return T.route_rows(rows, best, T.changed_tokens(p), more_than_n=more_than_n)

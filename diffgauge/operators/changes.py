@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from diffgauge.functions import text as X
-from diffgauge.operators.substrings import substring_pairs
+from diffgauge.operators.substrings import found_in, needle_lists
+from diffgauge.session import materialize
 
 DIFF_KEYS = ("change_id", "file_dir", "base_patch")
 
@@ -65,16 +66,14 @@ def chunk_sides(chosen: DataFrame) -> DataFrame:
 def locate(rows: DataFrame, sides: DataFrame, row: str = "row_id") -> DataFrame:
     """(row, chunk, side, lines, new_lines, block): every side of every chunk of
     the row's diff that holds the row's text; one row may be found many times.
-
-    Equal texts of one file are searched once.
     """
-    keyed = sides.withColumn("_side_id", F.struct(*DIFF_KEYS, "chunk", "side"))
-    needles = (rows.select(*DIFF_KEYS, "needle").distinct()
-               .withColumn("_needle_id", F.struct(*DIFF_KEYS, "needle")))
-    pairs = substring_pairs(needles, keyed, DIFF_KEYS, "_needle_id", "needle", "_side_id", "block")
-    flat = pairs.select("_needle_id.*", F.col("_side_id.chunk").alias("chunk"), F.col("_side_id.side").alias("side"))
-    return (rows.select(row, *DIFF_KEYS, "needle").join(flat, [*DIFF_KEYS, "needle"], "inner")
-            .join(sides, [*DIFF_KEYS, "chunk", "side"], "inner"))
+    return found_texts(rows, sides).join(rows.select(row, *DIFF_KEYS, "needle"), [*DIFF_KEYS, "needle"])
+
+
+def found_texts(rows: DataFrame, sides: DataFrame) -> DataFrame:
+    """``sides`` once per text of their diff that they hold (column ``needle``); equal texts of a file are searched once."""
+    texts = rows.select(*DIFF_KEYS, "needle").distinct()
+    return found_in(sides, needle_lists(texts, DIFF_KEYS, ["needle"], "needle"), DIFF_KEYS, "block")
 
 
 def context_after(lines: Column, new_lines: Column, needle: Column, wrap_first: bool = False) -> dict[str, Column]:
@@ -138,20 +137,23 @@ def classify(raw: DataFrame, diffs: DataFrame, row: str = "row_id", max_ahead: i
     out = out.unionByName(shaped(aside.select(*keep, reason.alias("_why")), none.cast("int"), none.cast("int"),
                                  F.col("raw_code"), none, F.col("_why")))
 
-    live = wanted.where(searchable)
-    found = locate(live, chunk_sides(next_diffs(diffs, max_ahead)), row)
+    live = materialize(wanted.where(searchable).select(*keep, "needle", "base_patch"))
+    found = found_texts(live, chunk_sides(next_diffs(diffs, max_ahead)))
     ctx = context_after(F.col("lines"), F.col("new_lines"), F.col("needle"), wrap_first)
     is_old, is_new = F.col("side") == "a", F.col("side").isin("b", "ab")
     broken = is_old & ctx["after"].isNull()
+    # what a text finds is the same for all its rows: the diff's lines go no further than here
+    places = found.select(*DIFF_KEYS, "needle", "chunk", "side", broken.alias("_broken"),
+                          F.when(is_old, ctx["old_line"]).alias("_before"), F.when(is_old, ctx["after"]).alias("_after"))
     same_chunk = Window.partitionBy(row, "chunk")
-    hits = (found.select(
-        F.col(row), "chunk", "side", broken.alias("_broken"),
-        F.when(is_old, ctx["old_line"]).alias("_before"), F.when(is_old, ctx["after"]).alias("_after"))
+    hits = materialize(
+        places.join(live.select(row, *DIFF_KEYS, "needle"), [*DIFF_KEYS, "needle"])
+        .select(row, "chunk", "side", "_broken", "_before", "_after")
         .withColumn("_stop", F.bool_or("_broken").over(same_chunk))
         .where(~(F.col("_stop") & (F.col("side") == "b"))))
     flags = hits.groupBy(row).agg(F.bool_or(is_new).alias("_any_new"),
                                   F.bool_or(is_old & ~F.col("_broken")).alias("_good_old"))
-    body = live.select(*keep)
+    body = live.drop("needle", "base_patch")
     each = body.join(hits, row, "inner")
     lost = F.col("_broken") | ~(is_old | is_new)
     out = out.unionByName(shaped(

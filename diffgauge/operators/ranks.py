@@ -14,6 +14,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from diffgauge.operators.numbering import numbered
+
 _RANGE = "_range"
 
 
@@ -167,16 +169,8 @@ def medians(df: DataFrame, value: str, groups: Sequence[str] = (), out: str = "m
 
 def number_rows(df: DataFrame, order: str, groups: Sequence[str] = (), out: str = "number",
                 cuts: Sequence[float] | None = None, ties: Sequence[str] = ()) -> DataFrame:
-    """1-based consecutive numbers per group in the order of a numeric key."""
-    groups = list(groups)
-    if cuts is None:
-        cuts = cut_points(df, order)
-    ranged = with_range(df, order, cuts)
-    totals = ranged.groupBy(*groups, _RANGE).agg(F.count(F.lit(1)).alias("_c"))
-    offsets = totals.select(*groups, _RANGE, F.coalesce(
-        F.sum("_c").over(_before(groups, F.col(_RANGE))), F.lit(0)).alias("_start"))
-    piece = Window.partitionBy(*groups, _RANGE).orderBy(order, *ties)
-    return (ranged.withColumn("_n", F.row_number().over(piece))
-            .join(offsets, [*groups, _RANGE], "inner")
-            .withColumn(out, F.col("_n") + F.col("_start"))
-            .drop("_n", "_start", _RANGE))
+    """1-based consecutive numbers per group in the order of a key and then of ``ties``.
+
+    Rows are written once in range partitions of all keys, see ``numbered``; ``cuts`` is not needed any more.
+    """
+    return numbered(df, [order, *ties], groups, out)

@@ -1,55 +1,41 @@
 """Exact substring join: which needle occurs in which text of the same group.
 
-Pairing every needle with every text of its group grows with the square of the
-group. Instead a text is cut into aligned blocks of q characters and a needle
-into its first q overlapping windows of q characters: a needle of at least
-2q-1 characters always covers one whole aligned block of any text it occurs in,
-so an equi join on (group, q, block) loses nothing. Long needles take a long q,
-short ones a short q down to single characters. Candidates are id pairs only and
-are checked against the full texts afterwards.
+The needles of a group are gathered into lists of a bounded number, by hash, and a text meets the lists of its
+group once. One pass over the text's row tries all needles of a list and only what occurs leaves it, so there
+is no row per pair and none per piece of a text. A group of any size has as many lists as it needs; its texts
+spread over tasks like any skewed side of a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-BLOCKS = (16, 8, 4, 2, 1)
+NEEDLES = 256       # about so many needles in a list
 
 
-def _needle_block(length: Column) -> Column:
-    """The largest block size q with 2q-1 <= length."""
-    out = F.lit(0)
-    for q in sorted(BLOCKS):
-        out = F.when(length >= 2 * q - 1, F.lit(q)).otherwise(out)
-    return out
+def needle_lists(needles: DataFrame, groups: Sequence[str], columns: Sequence[str], needle: str,
+                 most: int = NEEDLES) -> DataFrame:
+    """(groups, _needles): the non-empty needles of each group in lists of about ``most``, with the given columns."""
+    groups = list(groups)
+    own = needles.where(F.length(needle) > 0).select(*groups, F.struct(*columns).alias("_c"), F.col(needle).alias("_n"))
+    lists = own.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / most).alias("_lists"))
+    dealt = own.join(lists, groups).withColumn("_list", F.pmod(F.xxhash64("_n", "_c"), F.col("_lists")))
+    return dealt.groupBy(*groups, "_list").agg(F.collect_list(F.struct("_n", "_c")).alias("_needles")).drop("_list")
+
+
+def found_in(texts: DataFrame, lists: DataFrame, groups: Sequence[str], text: str) -> DataFrame:
+    """The rows of ``texts`` once per needle of their group that occurs in them, with the needle's columns."""
+    hits = F.filter("_needles", lambda x: F.contains(F.col(text), x["_n"]))
+    rows = texts.where(F.length(text) > 0).join(lists, list(groups)).withColumn("_hits", hits).drop("_needles")
+    return rows.withColumn("_hit", F.explode("_hits")).drop("_hits").select(
+        *texts.columns, "_hit._c.*")
 
 
 def substring_pairs(needles: DataFrame, texts: DataFrame, groups: Sequence[str], needle_id: str,
                     needle: str, text_id: str, text: str) -> DataFrame:
     """(needle_id, text_id) for every non-empty needle and every text of its group
     that contains it. Both ids identify a row of their side."""
-    groups = list(groups)
-    n = needles.where(F.length(needle) > 0).select(*groups, needle_id, F.col(needle).alias("_n"))
-    # the blanks around a line are common to most lines and make poor blocks
-    core = F.when(F.trim("_n") == "", F.col("_n")).otherwise(F.trim("_n"))
-    n_probe = (n.withColumn("_core", core).withColumn("_q", _needle_block(F.length("_core")))
-               .withColumn("_block", F.explode(F.array_distinct(F.transform(
-                   F.sequence(F.lit(1), F.least(F.col("_q"), F.length("_core") - F.col("_q") + 1)),
-                   lambda i: F.substring(F.col("_core"), i, F.col("_q"))))))
-               .select(*groups, needle_id, "_q", "_block"))
-    t = texts.where(F.length(text) > 0).select(*groups, text_id, F.col(text).alias("_t"))
-
-    def blocks(q: int) -> Column:
-        # distinct on the plain strings: on structs it would compare all pairs
-        cut = F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(f"(?s).{{{q}}}"), 0))
-        return F.transform(cut, lambda b: F.struct(F.lit(q).alias("q"), b.alias("b")))
-    cuts = [blocks(q) for q in BLOCKS]
-    t_probe = (t.select(*groups, text_id, F.explode(F.concat(*cuts)).alias("_c"))
-               .select(*groups, text_id, F.col("_c.q").alias("_q"), F.col("_c.b").alias("_block")))
-    pairs = n_probe.join(t_probe, [*groups, "_q", "_block"], "inner").select(needle_id, text_id).distinct()
-    checked = (pairs.join(n.select(needle_id, "_n"), needle_id, "inner")
-               .join(t.select(text_id, "_t"), text_id, "inner")
-               .where(F.contains("_t", "_n")))
-    return checked.select(needle_id, text_id)
+    lists = needle_lists(needles, groups, [needle_id], needle)
+    return found_in(texts.select(*groups, text_id, text), lists, groups, text).select(needle_id, text_id).distinct()

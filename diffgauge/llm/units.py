@@ -14,9 +14,9 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_UNITS = 1_400_000      # per Python worker; the memory is given back when it is full
+CACHED_UNITS = 1_300_000      # per Python worker; a dictionary of this size has not grown its table once more
 LONGEST_CACHED = 64         # characters
-TEXTS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 21      # texts whose new units are learned together
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 20      # texts whose new units are learned together
 UNITS_AT_ONCE = 4096
 
 _PLAIN = re.compile(r" ?\S+")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from diffgauge.operators.joins import with_scalars
 from diffgauge.operators.ranks import (HIGH_MIDDLE, LOW_MIDDLE, medians, order_statistics,
@@ -103,12 +105,46 @@ def _p_values(z: Column) -> list[Column]:
             normal_tail(z).alias("p_greater"), normal_tail(-z).alias("p_less")]
 
 
+EXACT_BELOW = 50    # fixed value: both samples must be smaller for the exact rank-sum distribution
+
+
+def rank_sum_counts(n1: int, n2: int) -> np.ndarray:
+    """How many of the C(n1 + n2, n1) orders of two samples without ties have U = 0, 1, ..., n1 * n2.
+
+    Ranks join one after another: a sample of i members with pair sum u either leaves out the next rank or
+    takes it, which adds the number of others before it.
+    """
+    ways = np.zeros((n1 + 1, n1 * n2 + 1))
+    ways[0, 0] = 1.0
+    for rank in range(n1 + n2):
+        for i in range(min(rank + 1, n1), 0, -1):
+            others = rank - (i - 1)         # members of the other sample below this rank
+            if 0 <= others <= n2:
+                ways[i, others:] += ways[i - 1, :ways.shape[1] - others]
+    return ways[n1]
+
+
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def _exact_tails(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.DataFrame:
+    """P(U <= u) and P(U >= u) without ties; one small table per pair of sample sizes."""
+    tails = {}
+    low, high = [], []
+    for a, b, x in zip(n1, n2, u):
+        if (a, b) not in tails:
+            ways = rank_sum_counts(int(a), int(b))
+            tails[a, b] = np.cumsum(ways) / ways.sum(), np.cumsum(ways[::-1])[::-1] / ways.sum()
+        low.append(tails[a, b][0][int(round(x))])
+        high.append(tails[a, b][1][int(round(x))])
+    return pd.DataFrame({"low": low, "high": high})
+
+
 def mann_whitney(df: DataFrame, value: str, side: str, groups: Sequence[str] = (),
-                 continuity: bool = True, cuts: Sequence[float] | None = None) -> DataFrame:
+                 continuity: bool = True, cuts: Sequence[float] | None = None, exact: bool = True) -> DataFrame:
     """Rank-sum test of rows with ``side`` true (first sample) against the others.
 
-    W is U of the first sample; normal approximation with tie correction and, by
-    default, continuity correction.
+    W is U of the first sample. As the usual test has it, p-values are exact where both samples have fewer than
+    ``EXACT_BELOW`` members and no value repeats, else by the normal approximation with tie correction and, by
+    default, continuity correction; ``method`` says which. ``z`` is the approximation's in any case.
     """
     groups = list(groups)
     first = F.col(side).cast("long")
@@ -127,12 +163,21 @@ def mann_whitney(df: DataFrame, value: str, side: str, groups: Sequence[str] = (
     # one-sided corrections move towards the centre from each side
     up = F.try_divide(centre - (0.5 if continuity else 0.0), F.sqrt(var))
     down = F.try_divide(centre + (0.5 if continuity else 0.0), F.sqrt(var))
+    small = (n1 > 0) & (n2 > 0) & (n1 < EXACT_BELOW) & (n2 < EXACT_BELOW) & (F.col("_ties") == 0) if exact else F.lit(False)
     out = agg.select(*groups, "n1", n2.cast("long").alias("n2"), u.alias("w"),
-                     F.try_divide(centre - shift, F.sqrt(var)).alias("z"), up.alias("_up"), down.alias("_down"))
-    return out.select(*groups, "n1", "n2", "w", "z",
-                      F.least(2 * normal_tail(F.abs(F.col("z"))), F.lit(1.0)).alias("p_two_sided"),
-                      normal_tail(F.col("_up")).alias("p_greater"),
-                      normal_tail(-F.col("_down")).alias("p_less"))
+                     F.try_divide(centre - shift, F.sqrt(var)).alias("z"), up.alias("_up"), down.alias("_down"),
+                     F.when(small, "exact").otherwise("normal").alias("method"))
+    if exact:       # one row per group meets the exact distribution
+        is_exact = F.col("method") == "exact"
+        counted = _exact_tails(*[F.when(is_exact, F.col(c)).otherwise(0).alias(c) for c in ("n1", "n2", "w")])
+        out = out.withColumn("_t", counted).withColumn("_low", F.when(is_exact, F.col("_t.low"))).withColumn(
+            "_high", F.when(is_exact, F.col("_t.high")))
+    else:
+        out = out.withColumn("_low", F.lit(None).cast("double")).withColumn("_high", F.lit(None).cast("double"))
+    both = F.coalesce(2 * F.least("_low", "_high"), 2 * normal_tail(F.abs(F.col("z"))))
+    return out.select(*groups, "n1", "n2", "w", "z", F.least(both, F.lit(1.0)).alias("p_two_sided"),
+                      F.coalesce("_high", normal_tail(F.col("_up"))).alias("p_greater"),
+                      F.coalesce("_low", normal_tail(-F.col("_down"))).alias("p_less"), "method")
 
 
 def signed_rank(df: DataFrame, value: str, baseline: str, groups: Sequence[str] = (),

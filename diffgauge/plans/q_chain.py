@@ -12,15 +12,16 @@ from diffgauge.operators import tokens as TK
 from diffgauge.operators.forest import forest_nodes
 from diffgauge.operators.sampling import chronological_split, class_counts, holdout
 from diffgauge.operators.sparse_neighbours import nearest_sparse
-from diffgauge.operators.stats import signed_rank
+from diffgauge.operators.stats import mann_whitney, median_split, signed_rank
 from diffgauge.plans import roles as R
-from diffgauge.plans.q_metrics import AVGS, FINAL_RATES, rounded
+from diffgauge.plans.q_metrics import AVGS, FINAL_RATES, _signed_sql, rounded
 from diffgauge.plans.q_text import TOKEN_SCORES, diff_xml
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import with_ctes
 from diffgauge.operators.topk import top_exact
 from diffgauge.functions import text as X
 from diffgauge.session import materialize, scratch_dir
+from diffgauge.sources import readers, writers
 from diffgauge.sources.readers import table
 
 NUMERIC = ["deletions", "additions", "changed_line"]
@@ -295,6 +296,25 @@ def venn_by_whole_turn(spark, d):
     return TK.venn_counts(TK.token_scores_at_k(R.routed(spark, d, whole=True)))
 
 
+@query("A12_read_log_folder", with_ctes("""
+SELECT k, outcome, row_number() OVER (PARTITION BY k, outcome ORDER BY split_part(row_id, ':', 1)::BIGINT, split_part(row_id, ':', 2)::BIGINT) AS log_number,
+       before_code AS before, after_code AS after, array_to_string(changed, '|') AS changed, array_to_string(suggested, '|') AS suggestion
+FROM routed_whole WHERE outcome IN ('positive', 'negative')""", "routed_whole"))
+def read_log_folder(spark, d):
+    """The numbered records (A11) as a folder of log files, one per record, read back as whole files by their paths."""
+    part = F.split("row_id", ":")
+    rows = R.routed(spark, d, whole=True).withColumns({"conv_id": part[0].cast("long"), "turn": part[1].cast("long")})
+    records = writers.numbered_records(materialize(rows), "conv_id", ["turn"])
+    path = scratch_dir(spark)
+    records.select("k", "outcome", "log_number", F.col("log").alias("value")).write.partitionBy("k", "outcome", "log_number").text(path)
+    logs = readers.logs(spark, path)
+
+    def named(key):
+        return F.regexp_extract("path", f"{key}=([^/]+)/", 1)
+    return logs.select(named("k").cast("int").alias("k"), named("outcome").alias("outcome"), named("log_number").cast("long").alias("log_number"),
+                       "before", "after", F.array_join("changed", "|").alias("changed"), F.array_join("suggestion", "|").alias("suggestion"))
+
+
 @query("J5_xml_changed_tokens_of_all_turns", with_ctes("""
 SELECT DISTINCT row_id, regexp_replace(token, '[0-9]+', 'NUM', 'g') AS token FROM (SELECT row_id, unnest(gone) AS token FROM xml_word)
 WHERE NOT regexp_matches(token, '[[:punct:]]')""", "xml_word"))
@@ -314,3 +334,75 @@ def search_key_of_all(spark, d):
 SELECT row_id, array_to_string(list_concat(gone, added), ' ') AS names FROM xml_word""", "xml_word"))
 def remove_key_of_all(spark, d):
     return diff_xml(spark, d, whole=True).select("row_id", F.array_join(NS.texts_without("xml", "diff:common"), " ").alias("names"))
+
+
+# --- p-values of the rank tests -----------------------------------------------------------------
+
+def tail_sql(z: str) -> str:
+    """P(Z > z) as in ``normal_tail``; the coefficients are fixed values of a published fit of erfc."""
+    t = f"(1 / (1 + 0.5::DOUBLE * abs({z}) / sqrt(2)))"
+    coefficients = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    poly = f"({coefficients[-1]})::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        poly = f"(({c})::DOUBLE + {t} * {poly})"
+    erfc = f"({t} * exp(-({z}) * ({z}) / 2 + {poly}))"
+    return f"(CASE WHEN {z} >= 0 THEN {erfc} / 2 ELSE 1 - {erfc} / 2 END)"
+
+
+def rank_test_sql(source: str, group: str, value: str, side: str) -> str:
+    """n1, n2, w, z and the two one-sided z per group, by the normal approximation."""
+    return f"""
+  SELECT g, n1, n2, w, (w - m - sign(w - m) * 0.5::DOUBLE) / s AS z, (w - m - 0.5::DOUBLE) / s AS up, (w - m + 0.5::DOUBLE) / s AS down, ties FROM (
+    SELECT *, n1 * n2 / 2.0::DOUBLE AS m, sqrt(n1 * n2 / 12.0::DOUBLE * ((n + 1) - ties / (n::DOUBLE * (n - 1)))) AS s FROM (
+      SELECT g, count(*) FILTER (WHERE side) AS n1, count(*) FILTER (WHERE NOT side) AS n2, count(*) AS n,
+        sum(CASE WHEN side THEN r ELSE 0 END) - (count(*) FILTER (WHERE side)) * (count(*) FILTER (WHERE side) + 1) / 2.0::DOUBLE AS w,
+        sum(c::DOUBLE * c - 1) AS ties
+      FROM (SELECT g, side, count(*) OVER (PARTITION BY g, v) AS c,
+                   rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0::DOUBLE AS r
+            FROM (SELECT {group} AS g, {value} AS v, {side} AS side FROM {source})) GROUP BY g))"""
+
+
+@query("N5_mann_whitney_p_values", with_ctes(f"""
+SELECT g AS dataset, n1, n2, w, round(least(2 * {tail_sql('abs(z)')}, 1), 6) AS p_two_sided, round({tail_sql('up')}, 6) AS p_greater,
+       round({tail_sql('(-down)')}, 6) AS p_less, 'normal' AS method FROM ({rank_test_sql('sized', 'dataset', 'waiting', 'is_large')})""", "sized"))
+def rank_sum_p_values(spark, d):
+    marked = median_split(R.timing(spark, d), "size", ["dataset"], cuts=[])
+    out = mann_whitney(marked, "waiting", "is_large", ["dataset"])
+    return rounded(out.select("dataset", "n1", "n2", "w", "p_two_sided", "p_greater", "p_less", "method"), "p_two_sided", "p_greater", "p_less")
+
+
+# orders of one customer by status: samples of a few rows whose prices do not repeat, so the exact rule decides
+R.CTES["small_sample"] = ((), """
+  SELECT o_custkey AS g, o_totalprice AS v, o_orderstatus = 'F' AS side FROM orders""")
+R.CTES["small_rank"] = (("small_sample",), """
+  SELECT g, side, rank() OVER (PARTITION BY g ORDER BY v) AS r, count(*) OVER (PARTITION BY g, v) AS c, count(*) OVER (PARTITION BY g) AS n,
+         count(*) FILTER (WHERE side) OVER (PARTITION BY g) AS n1 FROM small_sample""")
+
+
+@query("N5_mann_whitney_exact", with_ctes("""
+, sizes AS (SELECT DISTINCT CAST(n1 AS INTEGER) AS n1, CAST(n - n1 AS INTEGER) AS n2 FROM small_rank WHERE n1 > 0 AND n1 < n AND n <= 12),
+ subset AS (SELECT n1, n2, n1 * n2 AS top, unnest(range(0, (1 << (n1 + n2))::BIGINT)) AS mask FROM sizes),
+ draw AS (SELECT n1, n2, list_sum(list_transform(range(0, n1 + n2), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) - n1 * (n1 + 1) / 2 AS u
+          FROM subset WHERE bit_count(mask) = n1),
+ freq AS (SELECT n1, n2, CAST(u AS BIGINT) AS u, count(*) AS c FROM draw GROUP BY ALL),
+ asked AS (SELECT g, CAST(max(n1) AS INTEGER) AS n1, CAST(max(n) - max(n1) AS INTEGER) AS n2, CAST(sum(CASE WHEN side THEN r ELSE 0 END) - max(n1) * (max(n1) + 1) / 2 AS BIGINT) AS w
+           FROM small_rank GROUP BY g HAVING max(c) = 1 AND max(n1) > 0 AND max(n1) < max(n) AND max(n) <= 12)
+SELECT g AS customer, a.n1::BIGINT AS n1, a.n2::BIGINT AS n2, a.w::DOUBLE AS w,
+       round(least(2 * least(sum(c) FILTER (WHERE u <= w), sum(c) FILTER (WHERE u >= w))::DOUBLE / sum(c), 1), 9) AS p_two_sided,
+       round((sum(c) FILTER (WHERE u >= w))::DOUBLE / sum(c), 9) AS p_greater, round((sum(c) FILTER (WHERE u <= w))::DOUBLE / sum(c), 9) AS p_less
+FROM asked a JOIN freq f USING (n1, n2) GROUP BY ALL""", "small_rank").replace("\n\n,", ",").replace("\n,", ","))
+def exact_rank_sum(spark, d):
+    """The exact tests of customers with at most twelve orders; the SQL draws every subset, which is why it stops there."""
+    o = table(spark, d, "orders", ["o_custkey", "o_totalprice", "o_orderstatus"]).withColumn("side", F.col("o_orderstatus") == "F")
+    out = mann_whitney(o, "o_totalprice", "side", ["o_custkey"]).where("method = 'exact' and n1 + n2 <= 12")
+    return rounded(out.select(F.col("o_custkey").alias("customer"), "n1", "n2", "w", "p_two_sided", "p_greater", "p_less"),
+                   "p_two_sided", "p_greater", "p_less", digits=9)
+
+
+@query("N4_signed_rank_p_values", f"""
+SELECT n, n_used, w_plus, round(least(2 * {tail_sql('abs(z)')}, 1), 6) AS p_two_sided, round({tail_sql('z')}, 6) AS p_greater, round({tail_sql('(-z)')}, 6) AS p_less
+FROM ({{signed}})""".replace("{signed}", _signed_sql("o_totalprice", "150000.0::DOUBLE", "orders", 15)))
+def signed_rank_p_values(spark, d):
+    o = table(spark, d, "orders", ["o_totalprice"]).withColumn("baseline", F.lit(150000.0))
+    out = signed_rank(o, "o_totalprice", "baseline")
+    return rounded(out.select("n", "n_used", "w_plus", "p_two_sided", "p_greater", "p_less"), "p_two_sided", "p_greater", "p_less")

@@ -212,3 +212,61 @@ def test_chain_on_stored_tables(spark):
     cols = [*key, "tp", "fn", "fp", "tn"]
     a, b = (x[cols].sort_values(key).reset_index(drop=True).astype(str) for x in (got, want))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_text_surrogate_of_a_forest(spark, forest):
+    """The word whose column decides is the strongest; weights equal the same regression in one piece."""
+    from diffgauge.operators.forest import _masks, explain_words_by_forest
+    from diffgauge.functions import numbers as N
+    rows, df, model, nodes = forest
+    texts = [(1, [("Three", 3, 2.0), ("three", 3, 1.0), ("other", 9, 1.0), ("unknown", None, 1.0), ("zero", 0, 5.0)]),
+             (2, [("five", 5, 1.0), ("ten", 10, 1.0), ("eleven", 11, 2.0)]), (3, [("unknown", None, 3.0)])]
+    words = spark.createDataFrame([(i, *w) for i, ws in texts for w in ws], "row long, token string, index int, n double").repartition(3)
+    got = {}
+    for r in explain_words_by_forest(words, nodes, "row", samples=3000).collect():
+        got.setdefault(r["row"], {})[r["token"]] = r["score"]
+    again = {(r["row"], r["token"]): r["score"] for r in explain_words_by_forest(words, nodes, "row", samples=3000, most=60).collect()}
+    assert all(again[i, t] == pytest.approx(v, abs=1e-9) for i, ws in got.items() for t, v in ws.items())
+    assert set(got[1]) == {"Three", "three", "other", "unknown", "zero"} and abs(got[3]["unknown"]) < 1e-9
+    assert max(got[2], key=got[2].get) == "five" and min(got[1]["Three"], got[1]["three"]) > got[1]["unknown"]
+    trees = Trees.of(nodes.toPandas())
+    own = sorted(texts[1][1])
+    seed = int(spark.range(2, 3).select(F.col("id").alias("row")).select(N.digest_number(N.digest(["row"], 2))).first()[0])
+    mask = np.concatenate(list(_masks(seed, 3, 3000)))
+    p = trees.votes(mask * np.array([w[2] for w in own]), np.array([w[1] for w in own])) / 15 \
+        if [w[1] for w in own] == sorted(w[1] for w in own) else None
+    if p is None:       # columns in ascending order
+        order = np.argsort([w[1] for w in own])
+        p = trees.votes((mask * np.array([w[2] for w in own]))[:, order], np.array([w[1] for w in own])[order]) / 15
+    w = np.sqrt(np.exp(-(((1 - np.sqrt(mask.sum(1) / 3)) * 100) ** 2) / 25.0 ** 2))
+    c = mask - (mask * w[:, None]).sum(0) / w.sum()
+    slopes = np.linalg.solve(c.T @ (c * w[:, None]) + np.eye(3), c.T @ (w * (p - (p * w).sum() / w.sum())))
+    assert np.allclose(slopes, [got[2][w[0]] for w in own], atol=1e-8)
+
+
+def test_text_chain_on_stored_tables(spark):
+    """Routing and scores of the explained turns equal SQL over the stored suggestions and changed tokens."""
+    from diffgauge.plans import q_chain
+    from diffgauge.plans.registry import load
+    folder = "/root/testdata/sf0.001"
+    stages = q_chain.text_stages(spark, folder)
+    con = duckdb.connect()
+    for name in ("scores", "changed", "rows"):
+        con.register(name, stages[name].toPandas())
+    want = con.execute("""
+      with suggestion as (select row_id, token, row_number() over (partition by row_id order by score desc, token) as rank from scores),
+      hit as (select s.row_id, s.rank, count(c.token) as h from suggestion s left join changed c
+              on c.row_id = s.row_id and contains(c.token, s.token) where s.rank <= 5 group by all),
+      routed as (select r.row_id, k, n_tokens, y_pred,
+          coalesce((select sum(h) from hit where hit.row_id = r.row_id and hit.rank <= k), 0)::bigint as n_common,
+          (select count(*) from suggestion s where s.row_id = r.row_id and s.rank <= k) as n_suggested,
+          (select count(*) from changed c where c.row_id = r.row_id) as n_changed from rows r, (select unnest([1, 3, 5]) as k))
+      select row_id, k, n_common, n_suggested, n_changed,
+        case when y_pred <> 1 then 'FN' when n_tokens < 7 then 'too_short' when n_common > 0 then 'positive' else 'negative' end as outcome
+      from routed order by row_id, k""").fetchall()
+    got = load()[0]["J6_routing_of_text_surrogate"](spark, folder).orderBy("row_id", "k").collect()
+    assert [tuple(r) for r in got] == want and len(got)
+    scores = {r["k"]: r for r in load()[0]["M7_token_scores_of_text_surrogate"](spark, folder).collect()}
+    for k in (1, 3, 5):
+        used = [r for r in want if r[1] == k and r[5] in ("positive", "negative")]
+        assert scores[k]["common"] == sum(r[2] for r in used) and scores[k]["changed"] == sum(r[4] for r in used)

@@ -216,3 +216,31 @@ def test_early_stopping(spark):
     t = spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, test_loss double")
     got = rows(early_stopping(t, patience=5).select("epoch", "improved"))
     assert got == [(0, True), (1, True), (2, False), (3, True), (4, False), (5, False), (6, False), (7, False), (8, False)]
+
+
+def test_exact_rank_sum_by_enumeration():
+    from itertools import combinations
+    for n1, n2 in ((1, 1), (1, 4), (3, 3), (4, 5), (6, 2)):
+        want = np.zeros(n1 * n2 + 1)
+        for own in combinations(range(n1 + n2), n1):
+            want[sum(own) - n1 * (n1 - 1) // 2] += 1
+        assert np.array_equal(stats.rank_sum_counts(n1, n2), want)
+    assert stats.rank_sum_counts(49, 49).sum() == pytest.approx(math.comb(98, 49), rel=1e-12)
+
+
+def test_rank_sum_is_exact_where_small_and_untied(spark):
+    """Exact, tied, one-sided empty, and too large a sample: the documented rule decides."""
+    rows = [("exact", float(v), v in (1, 2, 5)) for v in range(1, 9)]
+    rows += [("tied", float(v % 6), v < 3) for v in range(8)]
+    rows += [("one side", float(v), True) for v in range(4)]
+    rows += [("large", float(v), v % 2 == 0) for v in range(120)]
+    df = spark.createDataFrame(rows, "g string, v double, side boolean").repartition(3)
+    got = {r["g"]: r for r in stats.mann_whitney(df, "v", "side", ["g"]).collect()}
+    assert {g: r["method"] for g, r in got.items()} == {"exact": "exact", "tied": "normal", "one side": "normal", "large": "normal"}
+    # 3 against 5 with ranks 1, 2 and 5: U = 2; four of 56 orders give U <= 2
+    r = got["exact"]
+    assert r["w"] == 2 and r["p_less"] == pytest.approx(4 / 56) and r["p_two_sided"] == pytest.approx(8 / 56)
+    assert r["p_greater"] == pytest.approx(1 - 2 / 56)
+    plain = {r["g"]: r for r in stats.mann_whitney(df, "v", "side", ["g"], exact=False).collect()}
+    assert plain["large"]["p_two_sided"] == got["large"]["p_two_sided"] and plain["exact"]["method"] == "normal"
+    assert abs(plain["exact"]["p_two_sided"] - r["p_two_sided"]) < 0.05

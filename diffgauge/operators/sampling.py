@@ -49,7 +49,8 @@ def take_by_digest(df: DataFrame, label: str, key: Sequence[str], quotas: Mappin
     """Mark, per class, exactly ``quota`` rows: those with the smallest digests.
 
     ``quotas`` maps a class to its quota (none = 0) or computes it from the class
-    size, and is cut to it; ``key`` identifies a row. The last digest taken is
+    size, and is cut to it; ``key`` identifies a row, and rows of one key on both sides of a quota are an error.
+    The last digest taken is
     found in two scans: the first counts the ranges of digests, the second
     orders only the range the quota ends in. The cut digests are a table of one
     row per class: a few become an expression, any number is joined to the rows.
@@ -67,8 +68,12 @@ def take_by_digest(df: DataFrame, label: str, key: Sequence[str], quotas: Mappin
     nth = F.row_number().over(Window.partitionBy("_class").orderBy("_digest", *key))
     cuts = materialize(
         hashed.join(_small(materialize(edges)), F.col(label).eqNullSafe(F.col("_class")) & (F.col("_head") == F.col("_edge")))
-        .withColumn("_n", nth).where(F.col("_n") == F.col("_left")).select("_class", F.col("_digest").alias("_cut")))
-    digest, n_classes = N.digest(key, seed), cuts.count()
+        .withColumn("_n", nth).withColumn("_last", F.max("_n").over(Window.partitionBy("_class", "_digest")))
+        .where(F.col("_n") == F.col("_left")).select("_class", F.col("_digest").alias("_cut"), (F.col("_last") > F.col("_left")).alias("_over")))
+    found = cuts.agg(F.count(F.lit(1)).alias("n"), F.max("_over").alias("over")).first()
+    if found["over"]:
+        raise ValueError(f"{list(key)} does not identify a row: rows of one key lie on both sides of a quota")
+    digest, n_classes, cuts = N.digest(key, seed), found["n"], cuts.drop("_over")
     if n_classes <= FEW_CLASSES:        # the cuts are part of the expression: rows are marked where they lie
         cut = F.lit("")
         for r in cuts.collect():

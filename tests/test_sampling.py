@@ -220,3 +220,12 @@ def test_evaluation_orders_probabilities_by_ranges(spark, monkeypatch):
     pairs = [(p > q) + (p == q) / 2 for y, p in scores for z, q in scores if y == 1 and z == 0]
     assert len(cuts[0]) > 1 and len(got) == 1
     assert any(isinstance(x, float) and abs(x - sum(pairs) / len(pairs)) < 1e-9 for x in got[0])
+
+
+def test_a_repeated_key_cannot_break_a_quota(spark):
+    """105 rows, 7 to a key, quota 11: no set of whole keys has 11 rows, so the hold-out refuses."""
+    df = spark.createDataFrame([(i // 7, 1) for i in range(105)], "k long, label int")
+    with pytest.raises(ValueError, match="does not identify a row"):
+        S.holdout(df, "label", ["k"])
+    unique = df.withColumn("id", F.monotonically_increasing_id())
+    assert S.holdout(unique, "label", ["k", "id"]).where("split = 'test'").count() == 11

@@ -97,7 +97,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, factor: float = 256.0) -
 
     Columns read: ``vec_id``, ``embedding``. Rows with a null id, a null vector or a null or non-finite
     component take no part; vectors meet only vectors of their own length. Candidates with the query's own id
-    are left out; a query row that repeats is answered once, repeated candidates count each. Result:
+    are left out; a query row that repeats is answered once, repeated candidates count each; query rows of one id
+    with different vectors share one list, the k highest scores that any of them reaches. Result:
     ``query_id, rank, vec_id, score``. Every block of queries meets every block of candidates once, as a row
     of an equi join on the dimension, the query block's number and a group of candidate blocks, so the meetings
     of one dimension spread over many keys; a task returns k rows per query and block.

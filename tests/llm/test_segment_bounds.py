@@ -49,3 +49,14 @@ def test_query_equals_sql(spark):
     for name, sql in ORACLES.items():
         text, ok, _ = compare(QUERIES[name], sql, spark, connect(folder), folder)
         assert ok, f"{name}: {text}"
+
+
+def test_queries_of_one_id_share_a_list(spark):
+    """Two vectors under one query id: the k best of both together; equal query rows change nothing."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (50, [0.0, 2.0])] + [(i, [i / 8, 1 - i / 8]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 3).orderBy("rank").collect()]
+    scale = lambda v: [int(256 * x // 1) for x in v]
+    found = sorted(((sum(a * b for a, b in zip(scale(q), scale(v))), -i) for q in ([1.0, 0.0], [0.0, 2.0])
+                    for i, v in rows if i != 50), reverse=True)[:3]
+    assert got == [(n + 1, -i, s) for n, (s, i) in enumerate(found)]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from diffgauge.functions import text as X
-from diffgauge.operators.joins import salted_lookup
+from diffgauge.operators.joins import measured_lookup
 
 FILE = ("changeId", "fileName")
 
@@ -29,14 +29,14 @@ def token_scores(lines: DataFrame, attribution: DataFrame, on: Sequence[str], co
                  weight: str = "weight", out: str = "limeScore", hot: Sequence[int] | None = None) -> DataFrame:
     """Score of every token of every line, 0 for tokens without attribution."""
     tokens = explode_tokens(lines, code)
-    return (salted_lookup(tokens, attribution, on, hot=hot)
+    return (measured_lookup(tokens, attribution, on, hot=hot)
             .withColumn(out, F.coalesce(F.col(weight), F.lit(0.0))).drop(weight))
 
 
 def commented_lines(lines: DataFrame, files: DataFrame, label: str = "label") -> DataFrame:
     """Positive lines whose file is a positive (training) file."""
     wanted = files.where(F.col(label) == 1).select(*FILE).distinct()
-    return lines.where(F.col(label) == 1).join(wanted, list(FILE), "left_semi")
+    return measured_lookup(lines.where(F.col(label) == 1), wanted, list(FILE), "left_semi")
 
 
 def length_distribution(lines: DataFrame, code: str = "code") -> DataFrame:
@@ -50,5 +50,5 @@ def length_distribution(lines: DataFrame, code: str = "code") -> DataFrame:
 def with_length_score(lines: DataFrame, distribution: DataFrame, code: str = "code") -> DataFrame:
     """Length score of every line, 0 for lengths never seen."""
     sized = lines.withColumn("length", X.words_per_line(code))
-    return (salted_lookup(sized, distribution, ["length"])
+    return (measured_lookup(sized, distribution, ["length"])
             .withColumn("length_score", F.coalesce("length_score", F.lit(0.0))))

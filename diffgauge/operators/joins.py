@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from diffgauge.session import materialize
 
 HOT_SHARE = 0.01
+MOST_ROWS, MOST_BYTES = 500_000, 32 << 20       # a lookup beyond either is not broadcast
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -21,6 +24,31 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list
     return list(found[0] or [])
 
 
+def is_small(stored: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether a stored table lies below both bounds. The rows are counted first, from the files' footers;
+    only a table within them is read for the bytes of its texts. Columns are numbers and strings."""
+    n = stored.count()
+    if n > most_rows:
+        return False
+    texts = [f.name for f in stored.schema.fields if isinstance(f.dataType, T.StringType)]
+    fixed = 8 * n * (len(stored.columns) - len(texts))
+    wide = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0).cast("long")))
+    return fixed + (stored.select(wide).first()[0] or 0 if texts else 0) <= most_bytes
+
+
+def measured_lookup(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",
+                    hot: Sequence[int] | None = None, **bounds: int) -> DataFrame:
+    """Join facts to a lookup with one row per key, whose size is measured before the plan is made.
+
+    The lookup is written once. Below the bounds it is broadcast, so the facts are neither shuffled nor
+    gathered by key; beyond them they are, with known hot keys spread. Both ways return the same rows.
+    """
+    stored = materialize(lookup)
+    if is_small(stored, **bounds):
+        return facts.join(F.broadcast(stored), list(on), how)
+    return salted_lookup(facts, stored, on, how, hot)
+
+
 def salted_lookup(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",
                   hot: Sequence[int] | None = None, salts: int | None = None) -> DataFrame:
     """Join facts to a lookup with one row per key.

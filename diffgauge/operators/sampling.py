@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diffgauge.functions import numbers as N
+from diffgauge.operators.joins import measured_lookup
 from diffgauge.operators.neighbours import nearest_neighbours
 from diffgauge.operators.ranks import order_statistics
 from diffgauge.operators.sparse_neighbours import nearest_sparse
@@ -114,7 +115,7 @@ def chronological_split(df: DataFrame, order: str, change: str, bias: int | None
     crossing = (df.groupBy(change).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
                 .where((F.col("_lo") <= F.lit(edge["edge"])) & (F.col("_hi") > F.lit(edge["edge"])))
                 .select(change, F.lit(True).alias("_cross")))
-    return (df.join(crossing, change, "left")
+    return (measured_lookup(df, crossing, [change])
             .withColumn(out, F.when(early | F.col("_cross"), "train").otherwise("test"))
             .drop("_cross"))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from diffgauge.operators.joins import with_scalars
+from diffgauge.operators.joins import measured_lookup, with_scalars
 from diffgauge.operators.ranks import (HIGH_MIDDLE, LOW_MIDDLE, medians, order_statistics,
                                        running_totals, top_share)
 
@@ -82,7 +82,8 @@ def median_split(df: DataFrame, size: str, groups: Sequence[str], out: str = "is
                  cuts: Sequence[float] | None = None) -> DataFrame:
     """Mark rows at or above their group's median size."""
     mid = medians(df, size, groups, "_median", cuts).drop("n")
-    return _join(df, mid, groups).withColumn(out, F.col(size) >= F.col("_median")).drop("_median")
+    marked = measured_lookup(df, mid, groups, "inner") if groups else with_scalars(df, mid)
+    return marked.withColumn(out, F.col(size) >= F.col("_median")).drop("_median")
 
 
 def normal_tail(z: Column) -> Column:

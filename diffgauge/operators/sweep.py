@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from diffgauge.functions import numbers as N
 from diffgauge.operators import confusion as C
+from diffgauge.operators.joins import measured_lookup
 from diffgauge.operators.ranks import order_statistics, LOW_MIDDLE, HIGH_MIDDLE, unit_cuts
 from diffgauge.operators.topk import score_levels
 
@@ -89,10 +90,18 @@ def top_k_sweep_by_file(lines: DataFrame, tokens: DataFrame, line_key: str = "li
     when its best token score reaches the file's cut for k. Tokens therefore
     reduce to one number per line and the token table is never joined to itself.
     """
-    ks = sorted(ks)
-    best = tokens.where(F.col(score) > 0).groupBy(*groups, line_key).agg(F.max(score).alias("_best"))
-    cuts = top_k_cuts(tokens, token, score, groups, ks)
+    positive = tokens.where(F.col(score) > 0)
+    best = positive.groupBy(*groups, line_key).agg(F.max(score).alias("_best"))
     scored = lines.select(*groups, line_key, truth).join(best, [*groups, line_key], "left")
+    return top_k_sweep_of_lines(scored, top_k_cuts(positive, token, score, groups, sorted(ks)), truth, groups, ks, out)
+
+
+def top_k_sweep_of_lines(scored: DataFrame, cuts: DataFrame, truth: str = "groundTruth",
+                         groups: Sequence[str] = FILE_KEYS, ks: Sequence[int] = TOP_K_STEPS,
+                         out: str = "k") -> DataFrame:
+    """The sweep of ``top_k_sweep_by_file`` from lines with their best score (``_best``) and the files' cuts,
+    one for each of the ascending ``ks``."""
+    ks = sorted(ks)
     folded = scored.groupBy(*groups, "_best").agg(*_counts(truth))
     reached = F.filter(F.col("cuts"), lambda c: c <= F.col("_best"))
     missed = F.lit(len(ks)) - F.when(F.col("_best").isNull() | F.col("cuts").isNull(), 0) \
@@ -129,16 +138,28 @@ def final_comparison(lines: DataFrame, tokens: DataFrame, k: int, threshold: flo
                      score: str = "limeScore", truth: str = "groundTruth",
                      line_score: str = "ngramScore") -> DataFrame:
     """Per file: both approaches at their best setting, with all rates."""
+    scored = lines_with_best(lines.select(*groups, line_key, truth, line_score), tokens, groups, line_key, score)
+    cuts = top_k_cuts(tokens, "token", score, groups, [max(k, 1)])
+    return final_comparison_of_lines(scored, cuts, k, threshold, [max(k, 1)], groups, truth, line_score)
+
+
+def lines_with_best(lines: DataFrame, tokens: DataFrame, groups: Sequence[str] = FILE_KEYS,
+                    line_key: str = "lineNumber", score: str = "limeScore") -> DataFrame:
+    """The lines with their best positive token score (``_best``) and their number of tokens, null without any."""
     best = tokens.groupBy(*groups, line_key).agg(
         F.max(F.when(F.col(score) > 0, F.col(score))).alias("_best"),
         F.count(F.lit(1)).alias("token_count"))
-    scored = (lines.select(*groups, line_key, truth, line_score)
-              .join(best, [*groups, line_key], "left"))
+    return lines.join(best, [*groups, line_key], "left")
+
+
+def final_comparison_of_lines(scored: DataFrame, cuts: DataFrame, k: int, threshold: float,
+                              ks: Sequence[int] = TOP_K_STEPS, groups: Sequence[str] = FILE_KEYS,
+                              truth: str = "groundTruth", line_score: str = "ngramScore") -> DataFrame:
+    """``final_comparison`` from ``lines_with_best`` and the files' cuts for the ascending ``ks``, ``k`` among them."""
     # one row per (file, best token score) before the cuts are joined
     folded = (scored.groupBy(*groups, "_best", (F.col(line_score) > threshold).alias("_n"))
               .agg(*_counts(truth), F.sum("token_count").alias("tokens")))
-    cuts = top_k_cuts(tokens, "token", score, groups, [max(k, 1)])
-    cut = F.col("cuts")[0] if k > 0 else F.lit(None).cast("double")
+    cut = F.col("cuts")[sorted(ks).index(k)] if k > 0 else F.lit(None).cast("double")
     hit = F.coalesce(F.col("_best") >= cut, F.lit(False))
     joined = folded.join(cuts, list(groups), "left")
 
@@ -154,6 +175,15 @@ def final_comparison(lines: DataFrame, tokens: DataFrame, k: int, threshold: flo
     return C.with_detection_rates(C.with_detection_rates(out, "topk_"), "ngram_")
 
 
+def marked_tokens(tokens: DataFrame, k: int = 10, groups: Sequence[str] = FILE_KEYS, token: str = "token",
+                  score: str = "limeScore", out: str = "is_top") -> DataFrame:
+    """The tokens with a flag for the top k of their file. The score belongs to (file, token), so a token is among
+    them exactly when its score reaches the file's cut: one number per file meets the tokens, not a token table."""
+    cuts = top_k_cuts(tokens, token, score, groups, [k]).select(*groups, F.col("cuts")[0].alias("_cut"))
+    return (measured_lookup(tokens, cuts, groups)
+            .withColumn(out, F.coalesce(F.col(score) >= F.col("_cut"), F.lit(False))).drop("_cut"))
+
+
 def line_hits(tokens: DataFrame, top_tokens: DataFrame, groups: Sequence[str] = FILE_KEYS,
               line_key: str = "lineNumber", token: str = "token") -> DataFrame:
     """(groups, line, numTopK): how many tokens of a line are top tokens."""

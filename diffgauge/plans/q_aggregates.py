@@ -15,7 +15,8 @@ from diffgauge.operators.tokens import clean_scores, merge_subwords, suggestions
 from diffgauge.operators.epochs import early_stopping
 from diffgauge.operators.topk import arg_min as first_by, top_with_ties
 from diffgauge.plans import roles as R
-from diffgauge.plans.q_joins import COMMENTED, hit_lines, labelled_lines, stored_tokens, top_tokens, train_files
+from diffgauge.plans.q_joins import (COMMENTED, hit_lines, hits_by_line, labelled_lines, stored_tokens,
+                                     top_tokens, train_files)
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import FILE, with_ctes
 from diffgauge.sources.readers import table
@@ -48,8 +49,7 @@ def group_counts(spark, d):
 
 @query("E4_top_tokens_per_line", with_ctes("SELECT fileName, lineNumber, numTopK FROM line_hit", "line_hit"))
 def top_per_line(spark, d):
-    scored = stored_tokens(spark, d)
-    return sweep.line_hits(scored, top_tokens(scored)).select("fileName", "lineNumber", "numTopK")
+    return hits_by_line(stored_tokens(spark, d)).select("fileName", "lineNumber", "numTopK")
 
 
 LENGTHS = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diffgauge.operators import attribution as K, changes as J, ngrams, sweep, tokens as TK
+from diffgauge.operators.joins import measured_lookup
 from diffgauge.operators.neighbours import nearest_neighbours
 from diffgauge.operators.topk import top_with_ties
 from diffgauge.plans import roles as R
@@ -38,9 +39,13 @@ SELECT fileName, lineNumber, token, t.limeScore IS NOT NULL AS is_top
 FROM token_score s LEFT JOIN top_token t USING (dataset, changeId, fileName, token)""", "token_score", "top_token"))
 def mark_top(spark, d):
     scored = stored_tokens(spark, d)
-    top = top_tokens(scored).select(*FILE, "token", F.lit(True).alias("is_top"))
-    return (scored.join(top, [*FILE, "token"], "left")
-            .select("fileName", "lineNumber", "token", F.col("is_top").isNotNull().alias("is_top")))
+    return sweep.marked_tokens(scored).select("fileName", "lineNumber", "token", "is_top")
+
+
+def hits_by_line(scored):
+    """Every line with a token: its number of top tokens and of all tokens, counted in one pass."""
+    return sweep.marked_tokens(scored).groupBy(*FILE, "lineNumber").agg(
+        F.count_if("is_top").alias("numTopK"), F.count(F.lit(1)).alias("tokenCount"))
 
 
 R.CTES["line_hit"] = (("token_score", "top_token"), """
@@ -56,8 +61,7 @@ R.CTES["hit_line"] = (("line_score", "line_hit"), """
 
 def hit_lines(spark, d):
     """Every line with its number of top tokens, 0 without any; written once, as rankings read it twice."""
-    scored = stored_tokens(spark, d)
-    hits = sweep.line_hits(scored, top_tokens(scored))
+    hits = hits_by_line(stored_tokens(spark, d))
     key = [*FILE, "lineNumber"]
     return materialize(R.scored_lines(spark, d).join(hits, key, "left").select(
         *key, "groundTruth", F.coalesce("numTopK", F.lit(0)).alias("numTopK")))
@@ -67,11 +71,8 @@ def hit_lines(spark, d):
 SELECT fileName, lineNumber, groundTruth, coalesce(numTopK, 0) AS numTopK, coalesce(tokenCount, 0) AS tokenCount
 FROM line_score LEFT JOIN line_hit USING (dataset, changeId, fileName, lineNumber)""", "line_score", "line_hit"))
 def lines_with_counts(spark, d):
-    scored = stored_tokens(spark, d)
-    hits = sweep.line_hits(scored, top_tokens(scored))
-    sizes = scored.groupBy(*FILE, "lineNumber").agg(F.count(F.lit(1)).alias("tokenCount"))
-    key = [*FILE, "lineNumber"]
-    return (R.scored_lines(spark, d).join(hits, key, "left").join(sizes, key, "left")
+    hits = hits_by_line(stored_tokens(spark, d))
+    return (R.scored_lines(spark, d).join(hits, [*FILE, "lineNumber"], "left")
             .select("fileName", "lineNumber", "groundTruth", F.coalesce("numTopK", F.lit(0)).alias("numTopK"),
                     F.coalesce("tokenCount", F.lit(0)).alias("tokenCount")))
 
@@ -93,7 +94,7 @@ WHERE fileName IN (SELECT row_id FROM prediction WHERE label = 1 AND prob > 0.5)
 def lines_of_predicted(spark, d):
     p = R.predictions(spark, d).where((F.col("label") == 1) & (F.col("prob") > 0.5))
     files = p.select(F.col("row_id").alias("fileName")).distinct()
-    return R.code_lines(spark, d).join(files, "fileName", "left_semi").select("fileName", "lineNumber")
+    return measured_lookup(R.code_lines(spark, d), files, ["fileName"], "left_semi").select("fileName", "lineNumber")
 
 
 R.CTES["labelled_line"] = (("code_line",), """

@@ -264,13 +264,17 @@ FINAL_RATES = [f"{a}_{m}" for a in ("topk", "ngram") for m in ("recall", "far",
 
 
 def final_rates(spark, d):
-    """Both sweeps pick their best setting; the two settings are all that comes
-    to the driver. The token table is reused three times and written once."""
+    """Both sweeps pick their best setting; the two settings are all that comes to the driver.
+
+    The tokens are written once and read twice: for the best score per line and for the cuts per file. Both
+    results are written, and the sweeps and the comparison work on them alone.
+    """
     tokens = materialize(R.scored_tokens(spark, d))
-    lines = R.scored_lines(spark, d)
-    k = sweep.best_setting(sweep.sweep_summary(sweep.top_k_sweep_by_file(lines, tokens), "k"), "k").first()["k"]
+    lines = materialize(sweep.lines_with_best(R.scored_lines(spark, d), tokens))
+    cuts = materialize(sweep.top_k_cuts(tokens, "token", "limeScore", FILE, sweep.TOP_K_STEPS))
+    k = sweep.best_setting(sweep.sweep_summary(sweep.top_k_sweep_of_lines(lines, cuts), "k"), "k").first()["k"]
     t = sweep.best_setting(sweep.sweep_summary(sweep.score_sweep_by_file(lines), "threshold"), "threshold").first()["threshold"]
-    return sweep.final_comparison(lines, tokens, k, t)
+    return sweep.final_comparison_of_lines(lines, cuts, k, t)
 
 
 @query("N3_final_comparison", with_ctes(

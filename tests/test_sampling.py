@@ -75,6 +75,21 @@ def test_hot_keys_and_salted_lookup(spark):
     assert rows(plain.select("id", "k", "v")) == rows(salted.select("id", "k", "v"))
 
 
+def test_measured_lookup_broadcasts_only_below_its_bounds(spark):
+    facts = spark.createDataFrame([(i, f"k{i % 7}" if i % 5 else None) for i in range(60)], "id long, k string")
+    lookup = spark.createDataFrame([(f"k{i}", "v" * i) for i in range(0, 9, 2)], "k string, v string")
+    want = rows(facts.join(lookup, "k", "left").select("id", "k", "v"))
+    ways = {"small": {}, "many rows": {"most_rows": 4}, "wide rows": {"most_bytes": 25}}
+    for name, bounds in ways.items():
+        df = joins.measured_lookup(facts, lookup, ["k"], **bounds)
+        assert rows(df.select("id", "k", "v")) == want
+        assert ("BroadcastHashJoin" in df._jdf.queryExecution().sparkPlan().toString()) == (name == "small")
+    assert joins.is_small(lookup, 5, 30) and not joins.is_small(lookup, 5, 29)      # 10 bytes of keys, 20 of values
+    assert joins.is_small(spark.range(0), 0, 0) and joins.is_small(lookup.where("k is null"))
+    semi = joins.measured_lookup(facts, lookup.select("k"), ["k"], "left_semi")
+    assert rows(semi) == rows(facts.join(lookup, "k", "left_semi"))
+
+
 def test_adaptive_execution_splits_a_hot_join_key(spark):
     names = ["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
              "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold",

@@ -2,6 +2,7 @@
 
 import pytest
 
+from diffgauge.operators import sweep
 from diffgauge.plans.registry import load
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,3 +26,19 @@ def test_top_lines_by_hits(spark, plans):
     assert share == {f: (sum(w[3] for w in want if w[0] == f), sum(x[2] for x in by_file[f])) for f in by_file}
     acc = {r["dataset"]: r["top10_acc"] for r in plans["M11_top10_accuracy_by_hits"](spark, FOLDER).collect()}
     assert acc["all"] == round(100 * sum(top > 0 for top, _ in share.values()) / len(share), 6)
+
+
+def test_marked_tokens_equal_the_joined_top_tokens(spark):
+    """Ties at the cut, files of few tokens, no positive score, null score, a repeated token."""
+    data = [("d", 1, 1, line, f"t{(line * 7 + j) % 9}", [3.0, 2.0, 2.0, 1.0, 0.0, -1.0, 0.5, 2.0, None][(line * 7 + j) % 9])
+            for line in range(6) for j in range(4)]
+    data += [("d", 1, 2, 1, "only", 0.25), ("d", 1, 3, 1, "none", 0.0), ("d", 1, 3, 2, "below", -2.0)]
+    tokens = spark.createDataFrame(data, "dataset string, changeId int, fileName int, lineNumber int, token string, limeScore double")
+    for k in (1, 2, 3, 10):
+        got = {tuple(r) for r in sweep.marked_tokens(tokens, k).where("is_top").select("fileName", "lineNumber", "token").collect()}
+        want = set()
+        for file in (1, 2, 3):
+            score = {t: s for _, _, f, _, t, s in data if f == file and s is not None and s > 0}
+            top = {t for t, s in score.items() if sum(o > s for o in score.values()) < k}
+            want |= {(f, n, t) for _, _, f, n, t, _ in data if f == file and t in top}
+        assert got == want and sweep.marked_tokens(tokens, k).count() == len(data)

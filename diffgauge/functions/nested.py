@@ -39,6 +39,23 @@ def texts_without(xml, key: str) -> Column:
     return F.xpath(_col(xml), F.lit(f"//text()[not(ancestor::{_named(key)})]"))
 
 
+# a JSON list item that is no list: a text in quotes, or a bare number, truth value or null
+_ITEM = r'''("(?:[^"\\]|\\.)*+"|[^\s\[\],"]++)'''
+
+
+def flatten_all(json) -> Column:
+    """The items of a JSON list of lists of any depth, uneven or not, as texts in their order.
+
+    Items stand in a list's text in the order in which flattening visits them, so one scan for whatever is no
+    bracket and no comma flattens all levels at once; the items alone are then read as one plain list. Empty
+    lists leave nothing, null items stay null, numbers and truth values become their text; a single item that is
+    no list becomes a list of one. Items are texts, numbers, truth values and nulls; an object is broken up and
+    yields null, as does every text that is no such list.
+    """
+    items = F.regexp_extract_all(_col(json), F.lit(_ITEM), 1)
+    return F.from_json(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")), "array<string>")
+
+
 def flatten_levels(c, levels: int) -> Column:
     """Flatten ``levels`` known levels of nesting."""
     out = _col(c)

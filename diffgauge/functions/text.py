@@ -12,7 +12,9 @@ END_MARK = "</s>"
 WORD_START = "Ġ"
 LOG_SEPARATOR = "#################################"
 
-ANY_SPACE = r"\s+"
+# The blanks at which words of any script are split, as a character class
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+ANY_SPACE = BLANK + "+"
 PURE_PUNCT = r"^\p{Punct}*$"
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
@@ -66,7 +68,8 @@ def drop_placeholder(c) -> Column:
 
 
 def mask_digits(c) -> Column:
-    return F.regexp_replace(_col(c), r"\d+", NUMBER_WORD)
+    """Runs of decimal digits of any script as one word."""
+    return F.regexp_replace(_col(c), r"\p{Nd}+", NUMBER_WORD)
 
 
 def tokens_per_line(c, minus_one: bool = True) -> Column:
@@ -76,7 +79,7 @@ def tokens_per_line(c, minus_one: bool = True) -> Column:
 
 
 def strip_space(c) -> Column:
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), f"^{ANY_SPACE}|{ANY_SPACE}$", "")
 
 
 def words_per_line(c) -> Column:

@@ -33,7 +33,7 @@ def csv_scan(spark, d):
 def csv_projection(spark, d):
     path = scratch_dir(spark)
     writers.csv(table(spark, d, "conversations", TALK.names), path)
-    return readers.csv(spark, path, TALK, ["conv_id", "role"])
+    return readers.csv(spark, path, TALK, ["conv_id", "role"])      # the texts beside them hold newlines
 
 
 @query("A3_headerless_csv", "SELECT event_id AS line_id, value AS entropy FROM events")
@@ -49,7 +49,7 @@ def rows_by_position(spark, d):
     path = scratch_dir(spark)
     raw = R.review_raw(spark, d).select("row_id", "label", "change_id", "raw_code", "ref")
     writers.csv(raw, path)
-    back = readers.csv(spark, path, raw.schema)
+    back = readers.csv(spark, path, raw.schema, newlines=False)     # a line of code each
     # an empty field reads back as null
     return back.withColumn("raw_code", F.coalesce("raw_code", F.lit("")))
 
@@ -82,6 +82,19 @@ def range_buckets(spark, d):
                     small["lo"].alias("small_lo"), small["hi"].alias("small_hi"))
 
 
+@query("A6_diffs_of_asked_changes", """
+SELECT o_orderkey AS change_num, o_custkey, CAST(floor((o_orderkey - 1)::DOUBLE / 200) * 200 + 1 AS BIGINT) AS small_lo
+FROM orders WHERE o_orderkey >= 1 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49 AND l_tax = 0 AND l_discount = 0)""")
+def diffs_of_asked(spark, d):
+    """All orders under their range buckets; those that big lines without tax and discount name, from the buckets they lie in."""
+    path = scratch_dir(spark)
+    writers.diffs_by_range(table(spark, d, "orders", ["o_orderkey", "o_custkey"]).withColumnRenamed("o_orderkey", "change_num"), path)
+    asked = table(spark, d, "lineitem", ["l_orderkey", "l_quantity", "l_tax", "l_discount"]).where(
+        (F.col("l_quantity") >= 49) & (F.col("l_tax") == 0) & (F.col("l_discount") == 0))
+    return readers.diffs_of(spark, path, asked.select(F.col("l_orderkey").alias("change_num"))).select(
+        "change_num", "o_custkey", "small_lo")
+
+
 @query("A7_nested_diff_json", with_ctes("""
 SELECT change_id, CAST(base_patch AS INTEGER) AS base_patch, CAST(chunk AS INTEGER) AS chunk, side, len(lines) AS n_lines, block
 FROM diff_side""", "diff_side"))
@@ -98,7 +111,7 @@ def csv_append(spark, d):
     o = table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
     writers.csv(o.where(F.col("o_orderstatus") == "F"), path)
     writers.csv(o.where(F.col("o_orderstatus") != "F"), path)
-    return readers.csv(spark, path, o.schema)
+    return readers.csv(spark, path, o.schema, newlines=False)
 
 
 @query("A9_unquoted_csv", """
@@ -417,6 +430,27 @@ def flatten_lists(spark, d):
                                                    F.array_join(flat, "|").alias("flat"))
 
 
+def uneven_lists(spark, d):
+    """conv_id, turn, depth, nested: the words of a turn as a JSON list, its i-th line i % 6 levels deeper than a flat one."""
+    def line(words, i):
+        more = (i % 6).cast("int")
+        return F.concat(F.repeat(F.lit("["), more), F.to_json(F.split(words, " ")), F.repeat(F.lit("]"), more))
+    lines = F.transform(F.split("text", "\n"), line)
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", (F.least(F.size(lines), F.lit(6)) + 1).alias("depth"),
+        F.concat(F.lit("["), F.array_join(lines, ", "), F.lit("]")).alias("nested"))
+
+
+@query("B22_flatten_any_depth", """
+SELECT conv_id, turn, CAST(least(len(lines), 6) + 1 AS INTEGER) AS depth, len(flatten(list_transform(lines, lambda l: string_split(l, ' ')))) AS n,
+       array_to_string(flatten(list_transform(lines, lambda l: string_split(l, ' '))), '|') AS flat
+FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations)""")
+def flatten_any_depth(spark, d):
+    flat = S.flatten_all("nested")
+    return uneven_lists(spark, d).select("conv_id", "turn", "depth", F.size(flat).cast("long").alias("n"),
+                                         F.array_join(flat, "|").alias("flat"))
+
+
 # the factor table has a fixed number of levels (nations), whatever the data size
 @query("B23_factor_recode", """
 SELECT c_custkey, n_name AS factor, n_regionkey AS ord FROM customer JOIN nation ON c_nationkey = n_nationkey""")

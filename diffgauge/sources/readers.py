@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from diffgauge import schemas
-from diffgauge.functions.text import LOG_SEPARATOR, unquoted_items
+from diffgauge.functions.text import LOG_SEPARATOR, range_bucket, unquoted_items
+from diffgauge.operators.joins import measured_lookup
+from diffgauge.session import materialize
+
+BIG_STEP, SMALL_STEP = 10_000, 200      # fixed values: range buckets of change numbers
+BUCKETS = ("big_lo", "big_hi", "small_lo", "small_hi")
 
 
 def table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -16,11 +21,16 @@ def table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] |
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None,
-        header: bool = True) -> DataFrame:
+        header: bool = True, newlines: bool = True) -> DataFrame:
     """CSV whose fields may hold quotes and newlines. Without a header the schema
-    names the columns by position."""
-    df = (spark.read.schema(schema).option("header", header).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').csv(path))
+    names the columns by position.
+
+    A quoted newline can be told from a row's end only from the file's start, so such a file is read by one task.
+    With ``newlines=False`` the caller declares that no field holds one, and files are cut into splits; rows then
+    end in a newline alone, as the writers end them, and a carriage return is part of its field.
+    """
+    options = {"header": header, "quote": '"', "escape": '"'} | ({"multiLine": True} if newlines else {"lineSep": "\n"})
+    df = spark.read.schema(schema).options(**options).csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -53,6 +63,32 @@ def parse_diff(body) -> Column:
     return F.from_json(body, shape)["content"]
 
 
+MOST_BUCKETS = 200_000      # bucket folders asked for that may be broadcast: 16 bytes each
+
+
+def diffs_of(spark: SparkSession, path: str, asked: DataFrame, number: str = "change_num") -> DataFrame:
+    """The bucketed diffs of the change numbers in ``asked``, read from their bucket folders only.
+
+    The asked numbers fold to their buckets, far fewer than there are changes. As partition columns these meet
+    the scan before it lists its files: Spark sends the broadcast buckets there as a pruning filter, and no file of
+    another bucket is opened. Beyond the bound the buckets are not broadcast and every folder is read.
+    """
+    numbers = materialize(asked.where(F.col(number) >= 1).select(number).distinct())
+    # change numbers start at 1; Spark prunes by a side only where it sees a condition on it
+    big, small = range_bucket(number, BIG_STEP), range_bucket(number, SMALL_STEP)
+    buckets = numbers.where(F.col(number) >= 1).select(big["lo"].alias("big_lo"), small["lo"].alias("small_lo")).distinct()
+    few = buckets.count() <= MOST_BUCKETS
+    inside = spark.read.schema(bucket_schema(spark, path)).parquet(path).join(
+        F.broadcast(buckets) if few else buckets, ["big_lo", "small_lo"], "left_semi")
+    return measured_lookup(inside, numbers, [number], "left_semi")
+
+
+def bucket_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The stored columns with the bucket columns as longs, as they were written."""
+    found = spark.read.parquet(path).schema
+    return T.StructType([T.StructField(f.name, T.LongType() if f.name in BUCKETS else f.dataType) for f in found])
+
+
 def bucketed_diffs(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """Diffs stored under range buckets of their change number; the bounds prune
     whole buckets before any file is opened."""
@@ -82,8 +118,8 @@ def logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def entropies(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless two-column file: line_id, entropy."""
-    return csv(spark, path, schemas.ENTROPY, header=False)
+    """Headerless two-column file of numbers: line_id, entropy."""
+    return csv(spark, path, schemas.ENTROPY, header=False, newlines=False)
 
 
 def by_line_id(lines: DataFrame, scores: DataFrame, key: str = "line_id") -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+import re
 from urllib.parse import quote
 
 from pyspark.sql import functions as F
@@ -67,3 +69,33 @@ def test_xml(spark):
     assert list(one(spark, S.search_key("x", "name"), x=xml)) == ["oldName", "kept", "newName"]
     assert list(one(spark, S.texts_without("x", "diff:common"), x=xml)) == ["oldName", "newName"]
     assert one(spark, S.is_wellformed("x"), x="<a><b></a>") is False
+
+
+def test_lists_of_any_depth(spark):
+    """Depth 1 to 6 and uneven, against a plain recursion; marks inside texts, empty lists, nulls, no list at all."""
+    def flat(v):
+        return [y for x in v for y in flat(x)] if isinstance(v, list) else [v]
+    inner = ["a, b", "[c]", 'say "d"', "back\\slash\\", "", " e ", "line\nbreak", "\u00e9\u4e16"]
+    values = [inner]
+    for i in range(5):
+        values.append([values[-1], [], f"level {i}", [[None, str(i)]]])
+    for v in [*values, [], [[], [[]]], ["x"]]:
+        assert one(spark, S.flatten_all("j"), j=json.dumps(v)) == flat(v)
+        assert one(spark, S.flatten_all("j"), j=json.dumps(v, ensure_ascii=False, indent=1)) == flat(v)
+    assert one(spark, S.flatten_all("j"), j="[1, [2.5, [true]], null]") == ["1", "2.5", "true", None]
+    assert one(spark, S.flatten_all("j"), j='"alone"') == ["alone"]
+    assert one(spark, S.flatten_all(F.lit(None).cast("string"))) is None
+    long = [["w"] * 50000, [["v"] * 50000]]
+    assert len(one(spark, S.flatten_all("j"), j=json.dumps(long))) == 100000
+    marks = '\n"\\' * 100000          # one item of escapes only
+    assert one(spark, S.flatten_all("j"), j=json.dumps([[[marks]], ["end"]])) == [marks, "end"]
+
+
+def test_blanks_and_digits_of_any_script(spark):
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    for line in ("".join(f"w{b}" for b in blanks), "\u3000lead\u00a0mid trail\u2003", "\u00a0 \u2028", "zero\u200bwidth stays"):
+        assert one(spark, X.words_per_line("c"), c=line) == len(line.split())
+        assert list(one(spark, X.line_words("c"), c=line)) == line.split()
+        assert one(spark, X.strip_space("c"), c=line) == line.strip()
+    for line in ("a1b22", "\u0663\u0664 x", "\uff11\uff12", "\u00b2 no digit"):
+        assert one(spark, X.mask_digits("c"), c=line) == re.sub(r"\d+", "NUM", line)

@@ -45,6 +45,60 @@ def test_range_buckets_prune_folders(spark):
     assert "small_hi" in filters and "big_lo" in filters
 
 
+def test_asked_changes_open_their_buckets_only(spark):
+    path = scratch_dir(spark)
+    stored = spark.range(1, 30001, 50).select(F.col("id").alias("change_num"), F.concat(F.lit("d"), "id").alias("diff"))
+    writers.diffs_by_range(stored.unionByName(stored.limit(3)), path)
+    asked = spark.createDataFrame([(1,), (1,), (51,), (10051,), (29951,), (7,), (99999999,), (None,), (-5,)], "change_num long")
+    got = readers.diffs_of(spark, path, asked)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(r["change_num"] for r in got.collect()) == [1, 1, 51, 51, 10051, 29951]
+    every = len(spark.read.parquet(path).inputFiles())
+    assert every >= 150 and any(0 < n < every / 10 for n in read_files(got)), (every, read_files(got))
+    assert readers.diffs_of(spark, path, asked.where("change_num = 7")).count() == 0
+    assert readers.diffs_of(spark, path, asked.limit(0)).count() == 0
+
+
+def read_files(df):
+    """Numbers of files the scans of an executed plan opened."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        metric = node.metrics().get("numFiles")
+        if metric.isDefined():
+            found.append(metric.get().value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+    return found
+
+
+def test_csv_without_newlines_is_cut_into_splits(spark):
+    path = scratch_dir(spark)
+    flat = spark.range(0, 20000, 1, 1).select("id", F.concat(F.lit('say "x", '), "id").alias("code"))
+    writers.csv(flat, path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64KB")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1KB")
+        cut, whole = (readers.csv(spark, path, SCHEMA, newlines=n) for n in (False, True))
+        tasks = [df.select(F.spark_partition_id().alias("p")).distinct().count() for df in (cut, whole)]
+        assert tasks[0] > 4 and tasks[1] == 1
+        assert rows(cut) == rows(whole) == rows(flat)
+        path = scratch_dir(spark)
+        odd = [(1, "carriage\rreturn"), (2, 'say "hi", x'), (3, "end\r"), (4, "back\\slash;"), (5, "    indented  "), (6, "\ttab")]
+        writers.csv(spark.createDataFrame(odd, SCHEMA), path)
+        assert rows(readers.csv(spark, path, SCHEMA, newlines=False)) == odd
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_records_number_and_parse_back(spark):
     routed = spark.createDataFrame(
         [(i, 1 + 2 * (i % 2), "positive" if i % 3 else "negative", f"b{i}\nq", "after [x]", ["it's", 'q"', "a, b"], ["s"] if i else [])

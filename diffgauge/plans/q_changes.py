@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from diffgauge.operators import changes as J, sampling as S, tokens as TK
+from diffgauge.operators import changes as J, models as L, sampling as S, tokens as TK
 from diffgauge.operators.neighbours import nearest_neighbours
 from diffgauge.plans import roles as R
 from diffgauge.plans.q_text import classified_sql, diff_xml
@@ -74,6 +75,34 @@ def smote(spark, d):
                       F.round(add(lambda v: v), 6).alias("total"), F.round(add(lambda v: v * v), 6).alias("square"))
 
 
+@query("I4_undersample_then_smote", """
+WITH few AS (SELECT vec_id AS base, embedding::DOUBLE[] AS x FROM embeddings WHERE label = 0),
+ many AS (SELECT x FROM (SELECT embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY md5(vec_id || ':2')) AS r FROM embeddings WHERE label <> 0)
+          WHERE r <= 2 * (SELECT count(*) FROM few)),
+ size AS (SELECT (SELECT count(*) FROM few) AS n1, (SELECT count(*) FROM many) AS n0, (SELECT least(100, count(*) - 1) FROM few) AS k),
+ near AS (SELECT base, neighbour, nx, rank FROM (
+   SELECT a.base, b.base AS neighbour, b.x AS nx, row_number() OVER (PARTITION BY a.base ORDER BY round(list_distance(a.x, b.x), 9), b.base) AS rank
+   FROM few a JOIN few b ON a.base <> b.base), size WHERE rank <= k),
+ dealt AS (SELECT base, x, k, (n0 - n1) // n1 + CASE WHEN row_number() OVER (ORDER BY md5(base || ':2')) <= (n0 - n1) % n1 THEN 1 ELSE 0 END AS copies FROM few, size),
+ copy AS (SELECT base, x, k, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM dealt),
+ pick AS (SELECT *, ('0x' || substr(md5(base || ':' || copy || ':2n'), 1, 8))::BIGINT % k + 1 AS rank,
+                 ('0x' || substr(md5(base || ':' || copy || ':2u'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM copy),
+ every AS (SELECT 0 AS label, x FROM many UNION ALL SELECT 1, x FROM few UNION ALL
+           SELECT 1, list_transform(range(1, 65), lambda i: x[i] + u * (nx[i] - x[i])) FROM pick JOIN near USING (base, rank))
+SELECT label, round(list_sum(x), 6) AS total, round(list_sum(list_transform(x, lambda v: v * v)), 6) AS square,
+       round((SELECT count(*) FROM every)::DOUBLE / (2 * count(*) OVER (PARTITION BY label)), 9) AS weight FROM every""")
+def undersample_then_smote(spark, d):
+    """The balancing of the line model: the larger class cut to twice the smaller, SMOTE with 100 neighbours up to
+    1:1, then balanced weights; one row per training row."""
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("label"),
+                                             array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    x = vector_to_array("features")
+    add = lambda f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v))
+    return L.under_then_oversampled(e, "vec_id", k=100).select(
+        "label", F.round(add(lambda v: v), 6).alias("total"), F.round(add(lambda v: v * v), 6).alias("square"),
+        F.round("weight", 9).alias("weight"))
+
+
 @query("I5_balanced_weights", """
 SELECT o_orderstatus, n, round(t::DOUBLE / (3 * n), 9) AS weight FROM (
   SELECT o_orderstatus, count(*) AS n, sum(count(*)) OVER () AS t FROM orders GROUP BY o_orderstatus)""")

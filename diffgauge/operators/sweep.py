@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diffgauge.functions import numbers as N
 from diffgauge.operators import confusion as C
@@ -24,20 +24,25 @@ def _per_setting(levels: DataFrame, groups: Sequence[str], first_hit: str, setti
     """(groups, out, tp, fn, fp, tn) from counts per (groups, first_hit).
 
     ``first_hit`` is the index of the first setting that predicts the line (or
-    the number of settings when none does): at most len(settings)+1 rows per
-    group are expanded to the settings.
+    the number of settings when none does). Running totals over a group's at most
+    len(settings)+1 counters are made first and expanded last, so no row per
+    (group, setting) is shuffled or hashed.
     """
     n = len(settings)
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))
-                               for i, s in enumerate(settings)]))
-    per = levels.select(*groups, first_hit, "pos", "neg", grid.alias("g"))
-    hit = F.col(first_hit) <= F.col("g.i")
-    zero = F.lit(0)
-    return (per.groupBy(*groups, F.col("g.s").alias(out))
-            .agg(F.sum(F.when(hit, F.col("pos")).otherwise(zero)).alias("tp"),
-                 F.sum(F.when(hit, zero).otherwise(F.col("pos"))).alias("fn"),
-                 F.sum(F.when(hit, F.col("neg")).otherwise(zero)).alias("fp"),
-                 F.sum(F.when(hit, zero).otherwise(F.col("neg"))).alias("tn")))
+    file = Window.partitionBy(*groups)
+    order = file.orderBy(first_hit)
+    seen = order.rowsBetween(Window.unboundedPreceding, 0)
+    after = F.least(F.coalesce(F.lead(first_hit).over(order), F.lit(n)), F.lit(n))
+    start = F.when(F.row_number().over(order) == 1, F.lit(0)).otherwise(F.col(first_hit))
+    steps = levels.select(
+        *groups, first_hit, start.alias("_start"), after.alias("_after"),
+        *[F.sum(c).over(seen).alias(f"_{c}") for c in ("pos", "neg")], *[F.sum(c).over(file).alias(c) for c in ("pos", "neg")])
+    # a counter answers for the settings up to the next one, a file's first also for those before it
+    per = steps.withColumn("_i", F.explode(F.when(F.col("_start") < F.col("_after"), F.sequence("_start", F.col("_after") - 1))))
+    zero = F.lit(0).cast("long")
+    tp, fp = (F.when(F.col(first_hit) <= F.col("_i"), F.col(c)).otherwise(zero) for c in ("_pos", "_neg"))
+    return per.select(*groups, F.get(F.array(*[F.lit(s) for s in settings]), "_i").alias(out),
+                      tp.alias("tp"), (F.col("pos") - tp).alias("fn"), fp.alias("fp"), (F.col("neg") - fp).alias("tn"))
 
 
 def _counts(truth: str) -> list[Column]:

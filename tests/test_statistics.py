@@ -200,6 +200,20 @@ def test_score_sweep_and_final(spark):
         assert [r[f"ngram_{m}"] for m in ("tp", "fp")] == [got[f, best["threshold"]][m] for m in ("tp", "fp")]
 
 
+def test_settings_are_expanded_after_the_last_shuffle(spark):
+    data = [(None, 0.05, 1), (None, 0.25, 0), ("a", -1.0, 1), ("a", None, 0), ("b", 9.0, 1)]
+    df = spark.createDataFrame(data, "f string, s double, y int")
+    by_file = sweep.score_sweep_by_file(df, "s", "y", ["f"], [0.0, 0.1, 0.2])
+    want = {(f, t, sum(g == f and y == 1 and s is not None and s > t for g, s, y in data),
+             sum(g == f and y == 1 and not (s is not None and s > t) for g, s, y in data),
+             sum(g == f and y == 0 and s is not None and s > t for g, s, y in data),
+             sum(g == f and y == 0 and not (s is not None and s > t) for g, s, y in data))
+            for f in (None, "a", "b") for t in (0.0, 0.1, 0.2)}
+    assert {tuple(r) for r in by_file.collect()} == want and by_file.count() == 9
+    plan = by_file._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")      # the plan's text starts at its end
+
+
 def test_ties_stay_and_one_value_does_not_flood(spark):
     t = spark.createDataFrame([("a", 1.0, 1)] * 50 + [("a", 2.0, 0), ("b", 3.0, 1)], "g string, s double, y int")
     assert top_with_ties(t, ["g"], "s", 1).count() == 2

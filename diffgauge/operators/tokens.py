@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diffgauge.functions import numbers as N, text as X
@@ -86,7 +86,7 @@ def changed_tokens(pairs: DataFrame, row: str = "row_id", before: str = "before_
     texts = pairs.select(row, X.unescape_newlines(before).alias("_x"), X.unescape_newlines(after).alias("_y"))
     if mode == "lcs":
         deleted = texts.select(row, X.plain_words("_x").alias("x"), X.plain_words("_y").alias("y")) \
-            .mapInPandas(_lcs_deleted(row), schema=f"{row} {dict(pairs.dtypes)[row]}, token string")
+            .mapInArrow(_lcs_deleted(row), schema=f"{row} {dict(pairs.dtypes)[row]}, token string")
     else:
         signed = F.concat(
             F.transform(X.plain_words("_x"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("s"))),
@@ -104,16 +104,22 @@ def changed_tokens(pairs: DataFrame, row: str = "row_id", before: str = "before_
             .where("token <> ''").distinct())
 
 
+LCS_ROWS = 128      # pairs whose words are Python objects at the same time
+
+
 def _lcs_deleted(row: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens = [], []
-            for rid, x, y in zip(batch[row], batch["x"], batch["y"]):
-                for t in lcs_deletions(list(x), list(y) if y is not None else []):
-                    ids.append(rid)
-                    tokens.append(t)
-            if ids:
-                yield pd.DataFrame({row: pd.Series(ids, dtype=batch[row].dtype), "token": tokens})
+            kind = batch.schema.field(row).type
+            for at in range(0, batch.num_rows, LCS_ROWS):
+                ids, tokens = [], []
+                part = batch.slice(at, LCS_ROWS)
+                for rid, x, y in zip(*(part.column(c).to_pylist() for c in (row, "x", "y"))):
+                    for t in lcs_deletions(list(x), list(y) if y is not None else []):
+                        ids.append(rid)
+                        tokens.append(t)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(tokens, pa.string())], names=[row, "token"])
     return run
 
 

@@ -94,3 +94,14 @@ def test_xml_tokens(spark):
     t = spark.createDataFrame([(1, xml), (2, "<unit><broken>")], "row_id long, xml string")
     assert rows(T.xml_changed_tokens(t)) == [(1, "oldNUM")]
     assert rows(T.broken_xml(t).select("row_id")) == [(2,)]
+
+
+def test_words_of_few_pairs_are_held_at_once():
+    import pyarrow as pa
+    from diffgauge.operators import tokens as T
+    n = 3 * T.LCS_ROWS + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([["a", "b"]] * n), pa.array([["b"], None] * (n // 2) + [["b"]])],
+                                       names=["r", "x", "y"])
+    out = list(T._lcs_deleted("r")(iter([batch])))
+    assert [len(set(b["r"].to_pylist())) for b in out] == [T.LCS_ROWS] * 3 + [1]
+    assert [t for b in out for t in b["token"].to_pylist()] == ["a", "a", "b"] * (n // 2) + ["a"]

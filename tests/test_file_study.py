@@ -270,3 +270,51 @@ def test_text_chain_on_stored_tables(spark):
     for k in (1, 3, 5):
         used = [r for r in want if r[1] == k and r[5] in ("positive", "negative")]
         assert scores[k]["common"] == sum(r[2] for r in used) and scores[k]["changed"] == sum(r[4] for r in used)
+
+
+def test_regression_is_fitted_on_vectors_without_attributes(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from diffgauge.operators import features as FT, models as L
+    data = [(i % 2, f"word{i % 3} common other{i % 2} again" + " more" * (i % 4), float(i % 5)) for i in range(40)]
+    train = spark.createDataFrame(data, "label int, code string, n double")
+    stages, fitted = FT.feature_pipeline("code", ["n"]), []
+    want = Pipeline(stages=[*stages.getStages(), L.logistic(len(data))]).fit(train)
+    own = L.logistic
+
+    def spied(*args, **options):
+        lr = own(*args, **options)
+
+        class Spy:
+            def fit(self, df):
+                fitted.append(df.schema["features"].metadata)
+                return lr.fit(df)
+        return Spy()
+    monkeypatch.setattr(L, "logistic", spied)
+    model = L.text_model(train, stages)
+    assert fitted == [{}]
+    a, b = (dict(zip([*m.stages[1].vocabulary, "n"], m.stages[-1].coefficients)) for m in (model, want))  # equal terms in any order
+    assert a == pytest.approx(b, abs=1e-6)
+    assert "ml_attr" not in FT.plain_vectors(stages.fit(train).transform(train)).schema["features"].metadata
+
+
+def test_word_masks_take_off_the_smallest_draws():
+    from diffgauge.operators.surrogate import word_masks
+    for words in (1, 2, 7):
+        mask, rng = word_masks(np.random.default_rng(3), words, 50), np.random.default_rng(3)
+        off = rng.integers(1, words + 1, size=50)
+        order = rng.random((50, words)).argsort(axis=1).argsort(axis=1)
+        assert np.array_equal(mask, (order >= off[:, None]).astype(float))
+
+
+def test_trees_walked_together_equal_one_by_one():
+    from diffgauge.operators import forest
+    rng = np.random.default_rng(5)
+    cells = [(t, i, f, th, l, r, p) for t in range(9) for i, f, th, l, r, p in (
+        (0, int(rng.integers(4)), float(rng.random()), 1, 2, .5), (1, -1, 0., -1, -1, float(rng.random())),
+        (2, int(rng.integers(4)), float(rng.random()), 3, 4, .5), (3, -1, 0., -1, -1, float(rng.random())), (4, -1, 0., -1, -1, float(rng.random())))]
+    cells.append((9, 0, -1, 0., -1, -1, 0.25))
+    nodes = pd.DataFrame(cells, columns=["tree", "node", "feature", "threshold", "left", "right", "prob"])
+    trees, x = forest.Trees.of(nodes), rng.random((30, 4))
+    one = sum(forest.Trees.of(nodes[nodes["tree"] == t]).votes(x, np.arange(4)) for t in range(10))
+    assert np.allclose(trees.votes(x, np.arange(4)), one)
+    assert trees._walk(np.column_stack([x, np.zeros(30)]), np.array([*trees.features, 4])).shape == (10, 30)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F, types as T
 
 from helpers import rows
 from diffgauge import schemas
+from diffgauge.functions import text as X
 from diffgauge.sources import readers, writers
 from diffgauge.session import materialize, scratch_dir
 
@@ -118,6 +119,21 @@ def test_records_number_and_parse_back(spark):
     assert back["b0\nq"]["suggestion"] == []
 
 
+def test_log_folder_is_written_and_read_by_many_files_a_task(spark):
+    """One file per record, written by several tasks; read back, files share a task instead of a few in each."""
+    data = [(1 + i % 3, "positive", i, f"b{i}", f"b{i}\n{X.LOG_SEPARATOR}\na\nchanged_token:['x']\nsuggestion:['y']") for i in range(200)]
+    records = spark.createDataFrame(data, "k int, outcome string, log_number long, before string, log string").coalesce(1)
+    path = scratch_dir(spark)
+    writers.logs(records, path)
+    files = [r["p"] for r in spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("p")).collect()]
+    assert len(set(files)) == 200
+    assert len({p.rsplit("/part-")[1][:5] for p in files}) > 1
+    logs = readers.logs(spark, path)
+    assert logs.rdd.getNumPartitions() <= 8
+    assert sorted(r["before"] for r in logs.collect()) == sorted(d[3] for d in data)
+
+
 def test_outcomes_keep_every_row(spark):
     path = scratch_dir(spark)
     t = spark.range(10).withColumn("outcome", F.when(F.col("id") > 6, "no_match").otherwise("ok"))

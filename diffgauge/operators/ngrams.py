@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffgauge.functions import text as X
-from diffgauge.operators.joins import hot_keys, salted_lookup
+from diffgauge.operators.joins import hot_keys, is_small, salted_lookup
 from diffgauge.session import materialize
 
 PAD = "<s>"
@@ -45,18 +45,39 @@ def corpus_without(corpus: DataFrame, test: DataFrame, text: str = "text") -> Da
     return corpus.select(text).distinct().join(seen, text, "left_anti")
 
 
+def gram_parts(order: int, shortest: int = 0) -> list[Column]:
+    """(kind, gram) of an n-gram ``g``: its endings with ``shortest`` words in front at least, and the contexts."""
+    parts = [F.struct(F.lit("g").alias("kind"), F.array_join(F.slice("g", order - j, j + 1), " ").alias("gram"))
+             for j in range(shortest, order)]
+    return parts + [F.struct(F.lit(f"h{j}").alias("kind"), F.array_join(F.slice("g", order - j, j), " ").alias("gram"))
+                    for j in range(1, order)]
+
+
 def gram_counts(train: DataFrame, text: str, order: int) -> DataFrame:
     """(gram, c): counts of the word sequences of length 1..order ending at each
     word, and of the contexts in front of it (kind 'g' and 'h')."""
     grams = exploded_grams(train, text, order).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    parts = [F.struct(F.lit("g").alias("kind"), F.array_join(F.slice("g", order - j, j + 1), " ").alias("gram"))
-             for j in range(order)]
-    parts += [F.struct(F.lit(f"h{j}").alias("kind"), F.array_join(F.slice("g", order - j, j), " ").alias("gram"))
-              for j in range(1, order)]
-    return (grams.select("c", F.explode(F.array(*parts)).alias("p"))
+    return (grams.select("c", F.explode(F.array(*gram_parts(order))).alias("p"))
             .groupBy("p.kind", "p.gram").agg(F.sum("c").alias("c")))
 
 
+def asked_counts(train: DataFrame, text: str, order: int, wanted: DataFrame) -> DataFrame:
+    """``gram_counts`` of all single words and of the longer sequences and contexts of the ``wanted`` n-grams only.
+
+    The wanted ones are measured: below the bounds of a broadcast they stay where the words are and only what they
+    meet is counted, so no n-gram that nobody asks for is shuffled. Beyond them all n-grams are counted.
+    """
+    asked = materialize(wanted.select(F.explode(F.array(*gram_parts(order, 1))).alias("p")).select("p.kind", "p.gram").distinct())
+    if not is_small(asked):
+        return gram_counts(train, text, order)
+    stored = materialize(train.select(text))        # read for the words and for the sequences
+    words = (stored.select(F.explode(X.line_words(text)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+             .select(F.lit("g").alias("kind"), "gram", "c"))
+    longer = (exploded_grams(stored, text, order).select(F.explode(F.array(*gram_parts(order, 1))).alias("p"))
+              .select("p.kind", "p.gram").join(F.broadcast(asked), ["kind", "gram"], "left_semi"))
+    return words.unionByName(longer.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("c")))
+
+
 def gram_entropies(counts: DataFrame, wanted: DataFrame, order: int, weight: float) -> DataFrame:
     """(gram array g, bits) for every wanted full n-gram.
 
@@ -84,11 +105,12 @@ def gram_entropies(counts: DataFrame, wanted: DataFrame, order: int, weight: flo
 def line_entropy(train: DataFrame, test: DataFrame, line_id: str = "line_id", text: str = "text",
                  order: int = 3, weight: float = 0.5) -> DataFrame:
     """(line_id, entropy) of every test line; null for a line without words."""
-    # read twice below, so written once
-    counts = materialize(gram_counts(train, text, order))
     texts = test.select(text).distinct()
     grams = exploded_grams(texts, text, order, [text]).groupBy(text, "g").agg(F.count(F.lit(1)).alias("n"))
-    bits = gram_entropies(counts, grams.select("g").distinct(), order, weight)
+    wanted = grams.select("g").distinct()
+    # read twice below, so written once
+    counts = materialize(asked_counts(train, text, order, wanted))
+    bits = gram_entropies(counts, wanted, order, weight)
     scored = (salted_lookup(grams, bits, ["g"], "inner").groupBy(text)
               .agg((F.sum(F.col("bits") * F.col("n")) / F.sum("n")).alias("entropy")))
     rows = test.select(line_id, text)

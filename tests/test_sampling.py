@@ -122,6 +122,17 @@ def test_substring_pairs_against_brute_force(spark):
     assert got == {(i, j) for g, i, x in needles for h, j, y in texts if g == h and x and x in y}
 
 
+def test_only_asked_sequences_are_counted(spark):
+    """The counts of wanted n-grams are those of all n-grams; other sequences and contexts are not counted at all."""
+    train = spark.createDataFrame([("a b c a b",), ("a c <s> b",), ("x y z",), ("",), (None,)], "text string")
+    wanted = ngrams.exploded_grams(spark.createDataFrame([("a b q",), ("b",)], "text string"), "text", 3).select("g").distinct()
+    whole = {(r["kind"], r["gram"]): r["c"] for r in ngrams.gram_counts(train, "text", 3).collect()}
+    got = {(r["kind"], r["gram"]): r["c"] for r in ngrams.asked_counts(train, "text", 3, wanted).collect()}
+    asked = {(r["kind"], r["gram"]) for r in wanted.select(F.explode(F.array(*ngrams.gram_parts(3))).alias("p")).select("p.*").collect()}
+    assert got == {k: c for k, c in whole.items() if k in asked or k[0] == "g" and " " not in k[1]}
+    assert ("g", "x y") not in got and got["g", "x"] == 1 and got["g", "a b"] == 2
+
+
 def test_line_entropy_by_hand(spark):
     train = spark.createDataFrame([("a b",), ("a c",)], "text string")
     test = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "z"), (4, " ")], "line_id long, text string")

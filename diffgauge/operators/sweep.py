@@ -189,6 +189,72 @@ def marked_tokens(tokens: DataFrame, k: int = 10, groups: Sequence[str] = FILE_K
             .withColumn(out, F.coalesce(F.col(score) >= F.col("_cut"), F.lit(False))).drop("_cut"))
 
 
+# --- top tokens of files whose lines hold their own tokens ---------------------------------------------------
+
+def top_levels(tokens: DataFrame, k: int, groups: Sequence[str] = FILE_KEYS, token: str = "token",
+               score: str = "limeScore", out: str = "tops") -> DataFrame:
+    """(groups, tops, top): the score levels of a file that its first k ranks touch, ties kept, best first: each with its
+    score, the number of tokens ``above`` it and its distinct tokens; ``top``: the tokens of all levels.
+    Only positive scores take part.
+
+    ``tokens`` holds whole files' tokens, not lines'. They are shuffled once, to their file, and of the levels
+    that meet in a task the best k only; what a file gathers is at most its own distinct words.
+    """
+    level = F.dense_rank().over(Window.partitionBy(*groups).orderBy(F.col(score).desc()))
+    own = tokens.where(F.col(score) > 0).select(*groups, token, score).withColumn("_level", level).where(F.col("_level") <= k)
+    levels = own.groupBy(*groups, score).agg(F.collect_set(token).alias("_tokens"))
+    before = Window.partitionBy(*groups).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = levels.withColumn("_above", F.coalesce(F.sum(F.size("_tokens")).over(before), F.lit(0)))
+    level = F.struct(F.col(score).alias("score"), F.col("_above").alias("above"), F.col("_tokens").alias("tokens"))
+    found = placed.where(F.col("_above") < k).groupBy(*groups).agg(F.sort_array(F.collect_list(level), asc=False).alias(out))
+    return found.withColumn("top", F.flatten(F.transform(out, lambda v: v["tokens"])))
+
+
+def cuts_of_levels(tops: DataFrame, ks: Sequence[int], groups: Sequence[str] = FILE_KEYS, levels: str = "tops") -> DataFrame:
+    """``top_k_cuts`` out of ``top_levels`` for at least the greatest of ``ks``."""
+    def cut(k):
+        return F.array_min(F.transform(F.filter(levels, lambda v: v["above"] < k), lambda v: v["score"]))
+    return tops.select(*groups, F.array(*[cut(k) for k in ks]).alias("cuts"))
+
+
+def with_held(lines: DataFrame, tokens: str = "tokens", top: str = "top", out: str = "held") -> DataFrame:
+    """The top tokens of its file that a line holds; null where the file has none."""
+    return lines.withColumn(out, F.array_intersect(tokens, top))
+
+
+def marked_lines(lines: DataFrame, tokens: str = "tokens", held: str = "held", out: str = "is_top") -> DataFrame:
+    """``marked_tokens`` for lines with their distinct tokens (``with_held``): a row per token, nothing shuffled."""
+    keep = [c for c in lines.columns if c not in (tokens, held)]
+    none = F.array().cast("array<string>")
+
+    def flagged(found, flag):
+        return F.transform(found, lambda t: F.struct(t.alias("token"), F.lit(flag).alias(out)))
+    marks = F.concat(flagged(F.coalesce(held, none), True), flagged(F.array_except(tokens, F.coalesce(held, none)), False))
+    return lines.select(*keep, F.explode(marks).alias("_m")).select(*keep, "_m.token", f"_m.{out}")
+
+
+def line_top_counts(tokens: str = "tokens", held: str = "held") -> tuple[Column, Column]:
+    """How many of a line's tokens are top tokens of its file, and how many it has."""
+    return (F.coalesce(F.size(held), F.lit(0)).cast("long").alias("numTopK"), F.size(tokens).cast("long").alias("tokenCount"))
+
+
+def best_of_line(held: str = "held", levels: str = "tops") -> Column:
+    """The best score among the top tokens a line holds, null without any. Levels are tried, k of them at most."""
+    best = F.array_max(F.transform(F.filter(levels, lambda v: F.arrays_overlap(v["tokens"], F.col(held))), lambda v: v["score"]))
+    return F.when(F.size(held) > 0, best)
+
+
+def joined_lines(lines: DataFrame, values: Sequence[tuple[str, str]], groups: Sequence[str] = FILE_KEYS,
+                 line_key: str = "lineNumber") -> DataFrame:
+    """Every line with the total over all lines of its key, as if totals by key were joined to the lines: files may come
+    twice, and a key that holds a null meets nothing. ``values``: (column, aggregate function)."""
+    same = Window.partitionBy(*groups, line_key)
+    known = F.lit(True)
+    for c in (*groups, line_key):
+        known = known & F.col(c).isNotNull()
+    return lines.withColumns({c: F.when(known, getattr(F, how)(c).over(same)) for c, how in values})
+
+
 def line_hits(tokens: DataFrame, top_tokens: DataFrame, groups: Sequence[str] = FILE_KEYS,
               line_key: str = "lineNumber", token: str = "token") -> DataFrame:
     """(groups, line, numTopK): how many tokens of a line are top tokens."""

@@ -42,3 +42,31 @@ def test_marked_tokens_equal_the_joined_top_tokens(spark):
             top = {t for t, s in score.items() if sum(o > s for o in score.values()) < k}
             want |= {(f, n, t) for _, _, f, n, t, _ in data if f == file and t in top}
         assert got == want and sweep.marked_tokens(tokens, k).count() == len(data)
+
+
+def test_levels_of_files_mark_lines_as_the_token_table_does(spark):
+    """Files scored as a whole and lines that meet their levels: ties at the cut, repeated files, a null in a file's key."""
+    weight = {f"t{i}": [3.0, 2.0, 2.0, 1.0, 0.0, -1.0, 0.5, 2.0, None][i] for i in range(9)}
+    texts = [("d", 1, f, [[f"t{(n * 7 + j * f) % 9}" for j in range(4)] for n in range(6)]) for f in (1, 2, 2, 3)]
+    texts += [("d", 1, 4, [["only"], [], ["t5"]]), (None, 1, 5, [["t0"], ["t1"]])]
+    lines = [(d, c, f, n, sorted(set(words))) for d, c, f, text in texts for n, words in enumerate(text)]
+    kinds = "dataset string, changeId int, fileName int, "
+    table = spark.createDataFrame([(d, c, f, n, t, weight.get(t)) for d, c, f, n, words in lines for t in words],
+                                  kinds + "lineNumber int, token string, limeScore double")
+    rows = spark.createDataFrame(lines, kinds + "lineNumber int, tokens array<string>")
+    for k in (1, 2, 3, 10):
+        tops = sweep.top_levels(table.drop("lineNumber"), k)
+        held = sweep.with_held(rows.join(tops, list(sweep.FILE_KEYS), "left"))
+        key = ["dataset", "fileName", "lineNumber"]
+        want = sorted(map(str, sweep.marked_tokens(table, k).select(*key, "token", "is_top").collect()))
+        assert sorted(map(str, sweep.marked_lines(held.drop("tops", "top")).select(*key, "token", "is_top").collect())) == want
+        cuts = {(r["dataset"], r["fileName"]): r["cuts"] for r in sweep.top_k_cuts(table, "token", "limeScore", sweep.FILE_KEYS, [0, k]).collect()}
+        assert {(r["dataset"], r["fileName"]): r["cuts"] for r in sweep.cuts_of_levels(tops, [0, k]).collect()} == cuts
+        counted = held.select(*sweep.FILE_KEYS, "lineNumber", *sweep.line_top_counts(), sweep.best_of_line().alias("_best"))
+        got = sweep.joined_lines(counted, [("numTopK", "sum"), ("_best", "max")]).collect()
+        top = {(r["dataset"], r["fileName"]): {t for v in r["tops"] for t in v["tokens"]} for r in tops.collect() if r["dataset"]}
+        assert len(got) == len(lines)
+        for r in got:
+            same = [w for d, _, f, n, w in lines if (d, f, n) == (r["dataset"], r["fileName"], r["lineNumber"]) and d]
+            found = [t for w in same for t in w if t in top.get((r["dataset"], r["fileName"]), ())]
+            assert (r["numTopK"] or 0) == len(found) and r["_best"] == max((weight[t] for t in found), default=None)

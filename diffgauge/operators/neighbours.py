@@ -17,6 +17,8 @@ from diffgauge.functions import numbers as N
 
 DECIMALS = 9        # distances are compared after rounding, ties go to the smaller id
 MAX_PIVOTS = 128
+BLOCK_ROWS, LONG_BLOCK_ROWS = 2048, 8192        # every block that meets another receives it once; long ones suit short vectors
+ROWS_AT_ONCE = 512      # queries of a block measured together
 
 
 def _matrix(series) -> np.ndarray:
@@ -59,7 +61,10 @@ def k_nearest(a: np.ndarray, b: np.ndarray, k: int, barred: np.ndarray | None =
 
 def _assign(points: DataFrame, key: str, vec: str, pivots: np.ndarray) -> DataFrame:
     key_type = points.schema[key].dataType
-    schema = T.StructType([T.StructField("id", key_type), T.StructField("v", T.ArrayType(T.DoubleType())),
+    # floats travel as floats and are widened where they are measured
+    single = getattr(points.schema[vec].dataType, "elementType", None) == T.FloatType()
+    kind = T.ArrayType(T.FloatType() if single else T.DoubleType())
+    schema = T.StructType([T.StructField("id", key_type), T.StructField("v", kind),
                            T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
 
     def nearest(batches):
@@ -69,7 +74,7 @@ def _assign(points: DataFrame, key: str, vec: str, pivots: np.ndarray) -> DataFr
                 batch["cell"] = d.argmin(1).astype("int32")
                 batch["far"] = d.min(1)
                 yield batch
-    return points.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")) \
+    return points.select(F.col(key).alias("id"), F.col(vec).cast(kind).alias("v")) \
         .mapInPandas(nearest, schema)
 
 
@@ -98,13 +103,13 @@ def _needed(pivots: np.ndarray, queries: dict, refs: dict, k: int) -> dict[int,
 
 def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, vec: str, k: int,
                        exclude_self: bool = False, pivots: int | None = None,
-                       block_rows: int = 2048, seed: int = 7) -> DataFrame:
+                       block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
     """(query, rank, neighbour, distance) with rank 1..k by (distance, id)."""
     n_refs = refs.count()
     if n_refs == 0 or k <= 0:
         t = refs.schema[key].dataType.simpleString()
         return queries.sparkSession.createDataFrame([], f"query {t}, rank int, neighbour {t}, distance double")
-    pivots = min(MAX_PIVOTS, pivots or max(1, n_refs // block_rows))
+    pivots = min(MAX_PIVOTS, pivots or max(1, n_refs // min(BLOCK_ROWS, block_rows)))
     chosen = (refs.withColumn("_d", N.digest([key], seed)).orderBy("_d", key).limit(pivots)
               .select(F.col(vec).cast("array<double>").alias("v")).collect())
     centre = np.unique(np.array([r["v"] for r in chosen], dtype=np.float64), axis=0)
@@ -145,7 +150,9 @@ def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, vec: str,
         ids = right["id"].to_numpy()
         own = left["id"].to_numpy()
         barred = own[:, None] == ids[None, :] if exclude_self else None     # ids ascend: ties keep the smaller
-        found = k_nearest(_matrix(left["v"]), _matrix(right["v"]), k, barred)
+        a, b = _matrix(left["v"]), _matrix(right["v"])
+        found = [x for i in range(0, len(a), ROWS_AT_ONCE)
+                 for x in k_nearest(a[i:i + ROWS_AT_ONCE], b, k, None if barred is None else barred[i:i + ROWS_AT_ONCE])]
         return pd.DataFrame({"query": np.repeat(own, [len(at) for at, _ in found]),
                              "neighbour": ids[np.concatenate([at for at, _ in found])],
                              "distance": np.concatenate([d for _, d in found])})

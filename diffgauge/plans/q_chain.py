@@ -10,6 +10,7 @@ from diffgauge.functions import words as W
 from diffgauge.operators import attribution as K, features as FT, file_study as S, models as L, sweep, vocabulary as V
 from diffgauge.operators import tokens as TK
 from diffgauge.operators.forest import forest_nodes
+from diffgauge.operators.joins import measured_lookup
 from diffgauge.operators.sampling import chronological_split, class_counts, holdout
 from diffgauge.operators.sparse_neighbours import nearest_sparse
 from diffgauge.operators.stats import mann_whitney, median_split, signed_rank
@@ -79,10 +80,12 @@ FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def numeric_of_all(spark, d):
     """The numeric columns behind the terms of every document's sparse row; the label is null where none is given."""
     from diffgauge.functions import text as X
-    docs = table(spark, d, "documents", ["doc_id", "text", "n_chars"]).join(table(spark, d, "labels", ["doc_id", "quality"]), "doc_id", "left")
+    # two numbers a row: below the bound the texts stay where they are
+    docs = measured_lookup(table(spark, d, "documents", ["doc_id", "text", "n_chars"]), table(spark, d, "labels", ["doc_id", "quality"]), ["doc_id"], most_rows=2_000_000)
     rows = materialize(docs.select("doc_id", (1 - F.col("quality")).alias("label"), "text", F.size(F.split("text", "\n")).alias("deletions"),
                                    X.words_per_line("text").alias("additions"), F.col("n_chars").alias("changed_line")))
-    terms = materialize(FT.terms_long(rows, "doc_id", "text"))
+    # a text is shorter than its terms, so it is shuffled to its key before it is cut into them
+    terms = materialize(FT.terms_long(rows.select("doc_id", "text").repartition("doc_id"), "doc_id", "text"))
     sparse = V.sparse_rows(rows, terms, V.term_index(terms, rows.count()), "doc_id", NUMERIC)
     return sparse.select("doc_id", "label", F.aggregate(F.slice("values", -3, 3), F.lit(0.0), lambda a, v: a + v).cast("long").alias("numeric_sum"))
 

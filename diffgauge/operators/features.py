@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer, VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame, functions as F
 
 # word characters, two at least: letters, digits and underscore of any script
@@ -44,6 +44,16 @@ def feature_pipeline(text: str, numeric: Sequence[str] = (), min_df: int = 2, ma
     return Pipeline(stages=[words, counts, both])
 
 
+TAIL = "tail"
+
+
+def with_tail(df: DataFrame, n: int, vec: str = "features", out: str = TAIL) -> DataFrame:
+    """The last ``n`` columns of a vector as a short vector; the long one is never made dense."""
+    first = plain_vectors(df, vec).select(vec).first()      # all vectors are of one size
+    size = first[vec].size if first else n
+    return VectorSlicer(inputCol=vec, outputCol=out, indices=list(range(size - n, size))).transform(plain_vectors(df, vec))
+
+
 def plain_vectors(df: DataFrame, vec: str = "features") -> DataFrame:
     """``df`` without the attributes of the vector's columns.
 

@@ -117,10 +117,10 @@ def bag_of_words(spark, d):
 @query("K7_numeric_columns", with_ctes("""
 SELECT file_name, label, deletions + additions + changed_line AS numeric_sum FROM file_change""", "file_change"))
 def numeric_columns(spark, d):
-    files = R.file_changes(spark, d)
+    files = materialize(R.file_changes(spark, d))       # read for the vocabulary, the vectors' size and the vectors
     model = FT.feature_pipeline("code", NUMERIC).fit(files)
-    tail = F.slice(vector_to_array("features"), -3, 3)
-    return model.transform(files).select("file_name", "label", F.aggregate(tail, F.lit(0.0), lambda a, v: a + v).cast("long").alias("numeric_sum"))
+    tail = vector_to_array(FT.TAIL)
+    return FT.with_tail(model.transform(files), len(NUMERIC)).select("file_name", "label", F.aggregate(tail, F.lit(0.0), lambda a, v: a + v).cast("long").alias("numeric_sum"))
 
 
 R.CTES["bench_line"] = ((), """

@@ -122,6 +122,35 @@ def test_substring_pairs_against_brute_force(spark):
     assert got == {(i, j) for g, i, x in needles for h, j, y in texts if g == h and x and x in y}
 
 
+def test_blocks_measured_in_slices_give_the_nearest_of_floats(spark, monkeypatch):
+    """Float vectors travel as floats; a block's queries are measured a few at a time; ids at one place tie by id."""
+    from diffgauge.operators import neighbours as NB
+    from pyspark.sql import types as T
+    monkeypatch.setattr(NB, "ROWS_AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 5)).astype("float32")
+    x[7] = x[3]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    assert NB._assign(t, "id", "v", x[:2].astype(float)).schema["v"].dataType == T.ArrayType(T.FloatType())
+    wide = x.astype(float)
+    d = np.round(np.sqrt(((wide[:, None] - wide[None]) ** 2).sum(2)), NB.DECIMALS)
+    np.fill_diagonal(d, np.inf)
+    got = {(r["query"], r["rank"]): (r["neighbour"], r["distance"]) for r in nearest_neighbours(
+        t, t, "id", "v", 3, exclude_self=True, block_rows=NB.LONG_BLOCK_ROWS).collect()}
+    for i in range(len(x)):
+        best = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:3]
+        assert [got[i, r + 1][0] for r in range(3)] == [j for _, j in best]
+        assert [got[i, r + 1][1] for r in range(3)] == pytest.approx([v for v, _ in best], abs=1e-8)
+
+
+def test_tail_of_a_vector_without_the_rest(spark):
+    """The last columns of sparse vectors, without a dense vector of all columns on the way."""
+    from diffgauge.operators import features as FT
+    rows_of = [(1, Vectors.sparse(100_000, [5, 99_998], [2.0, 7.0])), (2, Vectors.sparse(100_000, [], []))]
+    out = FT.with_tail(spark.createDataFrame(rows_of, ["id", "features"]), 3)
+    assert {r["id"]: r[FT.TAIL].toArray().tolist() for r in out.collect()} == {1: [0.0, 7.0, 0.0], 2: [0.0, 0.0, 0.0]}
+
+
 def test_only_asked_sequences_are_counted(spark):
     """The counts of wanted n-grams are those of all n-grams; other sequences and contexts are not counted at all."""
     train = spark.createDataFrame([("a b c a b",), ("a c <s> b",), ("x y z",), ("",), (None,)], "text string")

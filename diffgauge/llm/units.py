@@ -94,8 +94,8 @@ class UnitEncoder:
         if marked:
             parts = {*marked.values(), *(u[len(c):] for u, c in marked.items())}
             self._learn(parts.difference(self.known))
-            for u, c in marked.items():
-                self.known[u] = self.known[c] + self.known[u[len(c):]]
+            known = self.known
+            known.update([(u, known[c] + known[u[len(c):]]) for u, c in marked.items()])
         plain = []
         for u in new.difference(marked).difference(self.known):
             if len(u) <= LONGEST_CACHED and _PLAIN.fullmatch(u):
@@ -104,20 +104,23 @@ class UnitEncoder:
                 self.known[u] = self._ids(self.tokenizer, u)
         for at in range(0, len(plain), UNITS_AT_ONCE):
             own = plain[at:at + UNITS_AT_ONCE]
-            joint = self.tokenizer.encode(self.between + self.between.join(own), add_special_tokens=False)
-            ids = np.asarray(joint.ids, "<u4")
-            if self.mark is not None and np.count_nonzero(ids == self.mark) == len(own):
-                left = np.flatnonzero(ids == self.mark) + 1
-                right = np.append(left[1:] - 1, len(ids))
+            text, ids, marks = self.between + self.between.join(own), None, ()
+            if self.mark is not None:       # where marks part the units no offsets are asked for
+                ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(own):
+                left = marks + 1
+                right = np.append(marks[1:], len(ids))
             else:       # cut by offsets
+                joint = self.tokenizer.encode(text, add_special_tokens=False)
+                ids = np.asarray(joint.ids, "<u4")
                 begins = np.fromiter((o[0] for o in joint.offsets), np.int64, len(ids))
                 lengths = np.fromiter(map(len, own), np.int64, len(own))
                 first = np.cumsum(lengths + 1) - lengths        # where each unit begins in the joint text
                 left = np.searchsorted(begins, first)
                 right = np.searchsorted(begins, first + lengths)
-            raw = ids.tobytes()
-            for u, i, j in zip(own, left.tolist(), right.tolist()):
-                self.known[u] = raw[4 * i:4 * j]
+            cuts = map(slice, (4 * left).tolist(), (4 * right).tolist())
+            self.known.update(zip(own, map(ids.tobytes().__getitem__, cuts)))
 
 
 _ENCODERS: dict[tuple, UnitEncoder] = {}

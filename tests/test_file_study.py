@@ -87,6 +87,55 @@ def test_nearest_equals_brute_force(spark, cells, copies):
         assert got == want
 
 
+@pytest.mark.parametrize("held", [7, 40])
+def test_long_rows_meet_in_slices(spark, monkeypatch, held):
+    """Blocks bounded by the columns they hold give the neighbours of undivided ones, and no task sees a larger block."""
+    from diffgauge.operators import sparse_neighbours as SN
+    _, df = sparse(spark, 90, 15, 4, 10)
+    want = sorted(tuple(r) for r in nearest_sparse(df, df, "id", 3, True, cell_rows=16).collect())
+    monkeypatch.setattr(SN, "BLOCK_CELLS", held)
+    real = SN._best
+
+    def bounded(left, right, k, exclude_self):
+        assert right["indices"].map(len).sum() <= held + 6
+        return real(left, right, k, exclude_self)
+    monkeypatch.setattr(SN, "_best", bounded)
+    assert sorted(tuple(r) for r in nearest_sparse(df, df, "id", 3, True, cell_rows=16).collect()) == want
+
+
+def test_bayes_on_sparse_rows_is_the_library_s(spark):
+    _, train = sparse(spark, 80, 12, 5)
+    _, test = sparse(spark, 40, 12, 6)
+    test = test.unionByName(test.limit(3))          # keys may repeat
+    s = S.Study("id", spark.createDataFrame([], "term string, df long, index int"), 12, train, test)
+    want = L.scored(L.naive_bayes().fit(s.vectors(train)).transform(s.vectors(test)), "id").collect()
+    got = S.predict("NB", s).collect()
+    assert len(got) == len(want) == 43
+    for a, b in zip(sorted(map(tuple, got)), sorted(map(tuple, want))):
+        assert a[0] == b[0] and a[1] == b[1] and a[2] == pytest.approx(b[2], abs=1e-12) and a[3] == b[3]
+    plan = S.naive_bayes(s)._jdf.queryExecution().toString()
+    assert "summary" not in plan.lower()        # no vector of a class
+
+
+def test_rows_of_one_key_keep_their_own_words(spark):
+    files = spark.createDataFrame([(0, 1, "one two two", "train"), (1, 1, "two three", "train"), (0, 2, "one three", "train"),
+                                   (1, 3, "one", "test"), (0, 4, "four", "train"), (0, 5, "five", "train"), (0, 6, "six", "train")],
+                                  "label int, key int, text string, split string")
+    for by_row, want in ((False, [[1.0, 1.0, 3.0]] * 2), (True, [[1.0, 1.0], [1.0, 2.0]])):
+        s = S.study(files, "key", "text", by_row=by_row, min_df=1)
+        assert sorted(r["values"] for r in s.train.where("key = 1").collect()) == want
+
+
+def test_no_label_is_an_error(spark):
+    from diffgauge.operators.sparse_trees import grow
+    _, train = sparse(spark, 20, 8, 5)
+    train = train.withColumn("label", F.when(F.col("id") != 3, F.col("label")))
+    with pytest.raises(ValueError, match="null"):
+        grow(train.drop("id"), 8, trees=2)
+    with pytest.raises(ValueError, match="null"):
+        S.naive_bayes(S.Study("id", train, 8, train, train))
+
+
 def test_nearest_edges(spark):
     rows, df = sparse(spark, 5, 8, 1)
     assert nearest_sparse(df, df.limit(0), "id", 3).count() == 0

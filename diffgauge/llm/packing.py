@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffgauge.llm.common import part_bases, partition_id, slices, store, texts_of
+from diffgauge.llm.common import part_bases, partition_id, slices, store, text_slices, texts_of
 from diffgauge.llm.units import encoder
 
 PIECE = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -23,12 +23,12 @@ PIECE = ("doc_id long, start long, length long, doc_tokens long, sequence_id lon
 _PIECE_TYPES = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
 
 
-def encoded(docs: DataFrame, tokenizer: str, units: Callable[[str], list[str]], end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, units: Callable[[str, str], str], end_id: int) -> DataFrame:
     """Pass one: ids of each document and the tokens before it in its part, as a stored table."""
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, tool = partition_id(), 0, encoder(tokenizer, units)
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in slices(batches, 512):
+        for batch in text_slices(batches):
             codes = [c + end for c in tool.encode(texts_of(batch.column("text")))]
             counts = np.array([len(c) // 4 for c in codes], np.int64)
             first = before + np.cumsum(counts) - counts
@@ -41,7 +41,7 @@ def encoded(docs: DataFrame, tokenizer: str, units: Callable[[str], list[str]],
                  .mapInArrow(tokens, "doc_id long, part int, first long, n long, ids binary"))
 
 
-def pack(docs: DataFrame, tokenizer: str, units: Callable[[str], list[str]], end_id: int,
+def pack(docs: DataFrame, tokenizer: str, units: Callable[[str, str], str], end_id: int,
          length: int = 2048) -> DataFrame:
     """Pieces of documents in windows of ``length`` tokens; every id lies in exactly one piece.
 

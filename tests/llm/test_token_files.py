@@ -47,6 +47,41 @@ def test_special_strings_are_the_librarys():
         assert tool.encode(texts) == [one(t).tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("path,units", [(WORD, dropped_spaces), (BYTE, leading_spaces)])
+def test_a_word_is_learned_once(path, units):
+    """With a space or marks around it, in one text or in many; before, each of these forms was kept and encoded anew."""
+    tool, one = UnitEncoder(path, units), whole(path)
+    texts = [f"x {w}{m} {w}{m}\n{w}" for w in ("gelernt", "Übermut", "mot", "ΟΔΟΣ", "각가", "İd", "Åå") for m in ("", ",", "...", "!?", ".&&&")]
+    assert tool.encode(texts) == [one(t).tobytes() for t in texts]
+    assert not [u for u in tool.known if u.rstrip(",.!?&") not in (u, "") and u.strip(" ,.!?&").isascii()]
+    calls = []
+    tool._learn = calls.append
+    tool.encode(["x mot!? gelernt, gelernt", "x mot... mot,"])
+    assert not calls
+
+
+@pytest.mark.parametrize("path,units", [(WORD, dropped_spaces), (BYTE, leading_spaces)])
+def test_any_character_may_be_in_a_text(path, units):
+    """No character is kept for cuts; letters of all scripts, alone and between others, are the library's."""
+    tool, one = UnitEncoder(path, units), whole(path)
+    every = "".join(map(chr, range(32))) + "".join(map(chr, range(0xe000, 0xf900))) + " a\x00 b.\x01\n\ue000, c"
+    texts = [every, "plain, text", "", every[::-1]]
+    assert tool.encode(texts) == [one(t).tobytes() for t in texts]
+    letters = [chr(c) for c in range(0x41, 0x20000) if chr(c).isalpha()]
+    texts = [" ".join(f"{c} a{c}b. {c}{c}" for c in letters[at:at + 500]) for at in range(0, len(letters), 500)]
+    assert tool.encode(texts) == [one(t).tobytes() for t in texts]
+
+
+def test_batches_by_the_bytes_of_their_texts():
+    import pyarrow as pa
+    from diffgauge.llm.common import text_slices
+    texts = ["é" * 3, None, "", "abc", "y" * 40, "", "z", None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [b.column("text").to_pylist() for b in text_slices(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]), 16)]
+    assert [t for p in parts for t in p] == texts + texts[3:5] and all(parts) and len(parts) > 5
+    assert all(sum(len((t or "").encode()) for t in p[1:]) < 16 for p in parts)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2 ** 32 - 1) | st.integers(0, 300), min_size=1, max_size=1500), st.data())
 def test_codes_round_trip(ids, data):

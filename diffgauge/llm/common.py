@@ -27,7 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts lie in one window of ``size`` bytes, by the bytes before their end."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()

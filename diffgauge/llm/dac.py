@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffgauge.llm.common import part_bases, partition_id, slices, texts_of
+from diffgauge.llm.common import part_bases, partition_id, text_slices, texts_of
 from diffgauge.llm.units import encoder
 
 CHUNK_BITS = 8
@@ -91,7 +91,7 @@ class Dac:
         return ids
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, units: Callable[[str], list[str]], end_id: int) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, units: Callable[[str, str], str], end_id: int) -> None:
     """Encode every text, append ``end_id`` and write the store in ascending ``doc_id`` order.
 
     A null text is empty and gives the end id alone; a null ``doc_id`` comes first. Rows of one id follow
@@ -113,7 +113,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, units: Callable[[str
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, _SEGMENT_TYPES)],
                                               [f.split()[0] for f in SEGMENT.split(", ")])
         held = 0
-        for batch in slices(batches, 128):
+        for batch in text_slices(batches):
             for doc_id, code in zip(batch.column("doc_id").to_pylist(), tool.encode(texts_of(batch.column("text")))):
                 code += end
                 ids.append(code)

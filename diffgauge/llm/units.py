@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-CACHED_UNITS = 1_300_000      # per Python worker; a dictionary of this size has not grown its table once more
+CACHED_UNITS = 1_000_000      # per Python worker; a dictionary of this size has not grown its table once more
 LONGEST_CACHED = 64         # characters
-TEXTS_AT_ONCE, CHARS_AT_ONCE = 4096, 1 << 23      # texts whose units are looked up together
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 4096, 1 << 22      # texts whose units are looked up together
 UNITS_AT_ONCE = 256
 
 _PLAIN = re.compile(r" ?\S+")

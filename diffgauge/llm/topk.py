@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048            # vectors in a block of candidates
-QUERY_BLOCK = 1024      # queries in a block
+BLOCK = 2048            # candidates measured together; up to twice as many where batches end inside a block
+QUERY_BLOCK = 8192      # queries in a block
+QUERY_ROWS = 1024       # queries measured together
+DENSE = 0.05            # share of survivors from which on a block's product is computed as a whole
 SPARE = 1e-9            # relative room for rounding in the bounds
 
 
@@ -70,26 +71,51 @@ def best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, names: np.nd
         spare = SPARE * (np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(cs, axis=1)[None, :] + 1)
         bound = qs @ cs.T + spare
         alive = bound >= floor[:, None] if alive is None else alive & (bound >= floor[:, None])
+    alive &= names[None, :] != ids[:, None]
+    full = None
+    if exact is np.float64 and alive.mean() > DENSE:    # one product of the block is cheaper than a gather per query
+        full = np.where(alive, q @ c.T, -np.inf)
+        alive &= full >= np.partition(full, max(len(names) - k, 0), axis=1)[:, [max(len(names) - k, 0)]]
     out = []
     for i, own in enumerate(alive):
-        at = np.flatnonzero(own & (names != ids[i]))
-        score = c[at] @ q[i]
+        at = np.flatnonzero(own)
+        score = c[at] @ q[i] if full is None else full[i, at]
         for j in np.lexsort((names[at], -score))[:k]:
             out.append((int(ids[i]), int(names[at[j]]), int(score[j])))
     return out
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Vectors of one dimension packed in rows of at most ``size``: a block id, their ids, their components."""
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for d, own in batch.groupby("dim"):
-                for at in range(0, len(own), size):
-                    part = own.iloc[at:at + size]
-                    flat = np.array(part["v"].tolist(), "<i8").reshape(len(part), d)
-                    yield pd.DataFrame({"dim": [d], "ids": [part["id"].to_numpy("<i8").tobytes()],
-                                        "data": [flat.tobytes()]})
-    return rows.mapInPandas(packed, "dim int, ids binary, data binary")
+def meetings(vectors: DataFrame, is_query: Column, factor: float = 256.0) -> DataFrame:
+    """Rows (dim, q_block, group, candidate, id, v), one vector each; in a partition queries stand before the candidates they meet.
+
+    A query goes to each group of candidates, a candidate to each block of queries. A row is one vector, so a batch
+    that travels to Python is bounded by its number of rows.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), is_query.alias("q"),
+                          scaled(F.col("embedding"), factor).alias("v")).where("id is not null and v is not null")
+    rows = rows.withColumn("dim", F.size("v"))
+    asked = rows.where("q").drop("q").dropDuplicates(["id", "v"])
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    groups = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK)))
+    asked = asked.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).alias("q_block"),
+                         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(False).alias("candidate"), "id", "v")
+    met = rows.select("dim", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")).alias("q_block"),
+                      F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias("group"), F.lit(True).alias("candidate"), "id", "v")
+    key = ["dim", "q_block", "group"]
+    return asked.unionByName(met).repartition(*key).sortWithinPartitions(*key, "candidate")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((dim, q_block, group), candidate, ids, vectors) of equal keys that stand together."""
+    for batch in batches:
+        keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("dim", "q_block", "group", "candidate")])
+        ids, v = batch.column("id").to_numpy(), batch.column("v")
+        at, flat = np.asarray(v.offsets), v.values.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for first, last in zip(edges, edges[1:]):
+            if first < last:
+                d, q_block, group, candidate = keys[:, first].tolist()
+                yield (d, q_block, group), bool(candidate), ids[first:last], flat[at[first]:at[last]].reshape(last - first, d)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, factor: float = 256.0) -> DataFrame:
@@ -99,40 +125,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, factor: float = 256.0) -
     component take no part; vectors meet only vectors of their own length. Candidates with the query's own id
     are left out; a query row that repeats is answered once, repeated candidates count each; query rows of one id
     with different vectors share one list, the k highest scores that any of them reaches. Result:
-    ``query_id, rank, vec_id, score``. Every block of queries meets every block of candidates once, as a row
-    of an equi join on the dimension, the query block's number and a group of candidate blocks, so the meetings
-    of one dimension spread over many keys; a task returns k rows per query and block.
+    ``query_id, rank, vec_id, score``. Every block of queries meets every group of candidates once, under one key of
+    dimension, query block and group, so the meetings of one dimension spread over many keys; a task holds one block of
+    queries and ``BLOCK`` candidates at a time and returns k rows per query and block of candidates.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), is_query.alias("q"),
-                          scaled(F.col("embedding"), factor).alias("v")).where("id is not null and v is not null")
-    rows = rows.withColumn("dim", F.size("v"))
-    spark = vectors.sparkSession
-    asked = rows.where("q").drop("q").dropDuplicates(["id", "v"])
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).repartition("dim", "q_block")
-    queries = _blocks(asked.sortWithinPartitions("dim", "q_block"), QUERY_BLOCK).withColumnsRenamed(
-        {"ids": "q_ids", "data": "q_data"})
-    # a block of queries goes to each group of candidate blocks, a block of candidates to each query block's number
-    queries = queries.withColumn("q_block", F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks))).withColumn(
-        "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("dim", "q_block", "group", "q_ids", "q_data")
-    blocks = _blocks(rows.drop("q"), BLOCK).withColumn(
-        "group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn(
-        "q_block", F.col("q_block").cast("long"))
-    pairs = blocks.join(queries, ["dim", "q_block", "group"])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                d = batch.column("dim")[i].as_py()
-                ids, data, q_ids, q_data = (np.frombuffer(batch.column(c)[i].as_py(), "<i8")
-                                            for c in ("ids", "data", "q_ids", "q_data"))
-                found = best(q_data.reshape(len(q_ids), d), q_ids, data.reshape(len(ids), d), ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+        def met(held):
+            ids, cands = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            for q_ids, qs in queries:
+                for at in range(0, len(q_ids), QUERY_ROWS):
+                    found = best(qs[at:at + QUERY_ROWS], q_ids[at:at + QUERY_ROWS], cands, ids, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+
+        now, queries, held, n = None, [], [], 0
+        for key, candidate, ids, part in _runs(batches):
+            if key != now:
+                if held and queries:
+                    yield from met(held)
+                now, queries, held, n = key, [], [], 0
+            if not candidate:
+                queries = [tuple(np.concatenate(both) for both in zip(*queries, (ids, part)))]
+                continue
+            for at in range(0, len(ids), BLOCK):
+                held.append((ids[at:at + BLOCK], part[at:at + BLOCK]))
+                n += len(held[-1][0])
+                if n >= BLOCK:
+                    if queries:
+                        yield from met(held)
+                    held, n = [], 0
+        if held and queries:
+            yield from met(held)
+
+    found = meetings(vectors, is_query, factor).mapInArrow(search, "query_id long, vec_id long, score long")
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

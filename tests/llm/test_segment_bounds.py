@@ -60,3 +60,20 @@ def test_queries_of_one_id_share_a_list(spark):
     found = sorted(((sum(a * b for a, b in zip(scale(q), scale(v))), -i) for q in ([1.0, 0.0], [0.0, 2.0])
                     for i, v in rows if i != 50), reverse=True)[:3]
     assert got == [(n + 1, -i, s) for n, (s, i) in enumerate(found)]
+
+
+def test_one_vector_a_row_and_dense_products(spark, monkeypatch):
+    """What travels to Python is bounded by its rows; whole products and gathered ones give the same lists."""
+    rnd = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rnd.choice([-1.0, 0.5, 0.25], 8)]) for i in range(200)] + [(7, [0.5] * 8), (6, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    met = topk.meetings(df, F.col("vec_id") % 5 == 0)
+    assert met.agg(F.max(F.size("v"))).first()[0] == 8 and met.where("candidate").count() == len(rows)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, 3).collect()} == brute(rows, 3)
+    q, c = rnd.integers(-3, 3, (20, 6)), rnd.integers(-3, 3, (50, 6))
+    ids, names = np.arange(20), rnd.integers(0, 40, 50)
+    monkeypatch.setattr(topk, "DENSE", -1.0)
+    whole = topk.best(q, ids, c, names, 4)
+    monkeypatch.setattr(topk, "DENSE", 2.0)
+    assert whole == topk.best(q, ids, c, names, 4)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffgauge.operators import models as L
 from diffgauge.operators.features import terms_long
@@ -60,6 +60,51 @@ def study(files: DataFrame, key: str, text: str, numeric: Sequence[str] = (), mi
                  rows.where("split = 'test'").drop("split"))
 
 
+@dataclass
+class TextModel:
+    """A fitted model (its one stage) and the stored table of the terms its columns stand for."""
+
+    model: PipelineModel
+    index: DataFrame
+
+    def transform(self, bags: Bags) -> DataFrame:
+        return self.model.transform(bags.vectors(self.index))
+
+
+@dataclass
+class Bags:
+    """Rows, a bag of words each, before they have columns: any vocabulary can be laid over them."""
+
+    files: DataFrame
+    terms: DataFrame            # _row, term, n
+    numeric: Sequence[str] = ()
+
+    @classmethod
+    def of(cls, files: DataFrame, text: str, numeric: Sequence[str] = ()) -> Bags:
+        files = materialize(files.withColumn("_row", F.monotonically_increasing_id()))
+        return cls(files.drop(text), materialize(terms_long(files, "_row", text)), numeric)
+
+    def vectors(self, index: DataFrame) -> DataFrame:
+        """The rows as sparse vectors ``features`` of the terms in ``index`` and the numeric columns. Stored."""
+        known = [F.coalesce(F.col(c), F.raise_error(F.lit(f"{c} must not be null")).cast("int")).alias(c) for c in self.numeric]
+        rows = self.files.select(*(c for c in self.files.columns if c not in self.numeric), *known)
+        return with_vectors(sparse_rows(rows, self.terms, index, "_row", self.numeric).drop("_row"), index.count() + len(self.numeric))
+
+
+def text_model(spark: SparkSession, path: str, bags: Bags, weight: str | None = None) -> TextModel:
+    """The logistic regression saved under ``path`` with the table of its terms beside it, fitted where none lies there.
+
+    The vocabulary stays a table; the driver holds the model's numbers, one per column, and no term.
+    """
+    def fit() -> PipelineModel:
+        index = term_index(bags.terms, bags.files.count())
+        index.write.mode("overwrite").parquet(f"{path}-terms")
+        rows = bags.vectors(index)
+        return PipelineModel(stages=[L.logistic(rows.count(), weight=weight).fit(rows)])
+    model = L.fit_or_load(spark, path, fit)
+    return TextModel(model, spark.read.parquet(f"{path}-terms"))
+
+
 def oversampled_rows(train: DataFrame, key: str, k: int = 10, seed: int = 2) -> DataFrame:
     """(label, indices, values): the training rows and SMOTE rows of the smaller class, all sparse."""
     counts = class_counts(train, "label")

@@ -17,7 +17,7 @@ from diffgauge.plans.q_joins import labelled_lines, train_files
 from diffgauge.plans.q_text import word_rows
 from diffgauge.plans.registry import query
 from diffgauge.plans.roles import with_ctes
-from diffgauge.session import materialize
+from diffgauge.session import materialize, scratch_dir
 from diffgauge.sources.readers import table
 
 NUMERIC = ["deletions", "additions", "changed_line"]
@@ -213,11 +213,11 @@ def knn(spark, d):
 @query("L7_line_classifier")
 def line_classifier(spark, d):
     """Weighted logistic regression over bag of words, scored on the held-out rows."""
-    files = materialize(holdout(R.file_changes(spark, d), "label", ["file_name"]))
-    train = files.where(F.col("split") == "train")
-    stages = FT.feature_pipeline("code", [])
-    model = L.text_model(L.balanced_weights(train.select("label", "code")), stages, "weight")
-    scored = L.scored(model.transform(files.where(F.col("split") == "test")), "file_name")
+    files = materialize(holdout(R.file_changes(spark, d), "label", ["file_name"]).select("label", "file_name", "code", "split"))
+    train = L.balanced_weights(files.where(F.col("split") == "train"))
+    model = S.text_model(spark, f"{scratch_dir(spark)}/line", S.Bags.of(train, "code"), "weight")
+    test = files.where(F.col("split") == "test").select("label", "file_name", "code")
+    scored = L.scored(model.transform(S.Bags.of(test, "code")), "file_name")
     return L.evaluate(scored.withColumn("Technique", F.lit("line")).withColumn("Datasets", F.lit("all")))
 
 

@@ -367,3 +367,31 @@ def test_trees_walked_together_equal_one_by_one():
     one = sum(forest.Trees.of(nodes[nodes["tree"] == t]).votes(x, np.arange(4)) for t in range(10))
     assert np.allclose(trees.votes(x, np.arange(4)), one)
     assert trees._walk(np.column_stack([x, np.zeros(30)]), np.array([*trees.features, 4])).shape == (10, 30)
+
+
+def test_text_model_keeps_its_terms_in_a_table(spark, tmp_path, monkeypatch):
+    """The saved regression equals the library's pipeline, loads with its own terms, and refuses null numbers."""
+    from pyspark.ml import Pipeline
+    from diffgauge.operators import features as FT, models as L
+    data = [(i, i % 2, f"word{i % 3} common Other{i % 2} again" + " more" * (i % 4), i % 5) for i in range(40)] + [(3, 1, None, 2)]
+    files = spark.createDataFrame(data, "file_name long, label int, code string, n int")      # a key repeats, a text is null
+    bags = S.Bags.of(files, "code", ["n"])
+    path = f"{tmp_path}/m"
+    S.text_model(spark, path, bags)
+    other = S.Bags.of(files.limit(5).withColumn("code", F.lit("nothing known")), "code", ["n"])
+    model = S.text_model(spark, path, other)                # loaded, so these rows do not change it
+    stages = FT.feature_pipeline("code", ["n"])
+    known = files.fillna("", ["code"])
+    want = Pipeline(stages=[*stages.getStages(), L.logistic(len(data))]).fit(known)
+    assert {r["term"] for r in model.index.collect()} == set(want.stages[1].vocabulary)
+    assert [type(x).__name__ for x in model.model.stages] == ["LogisticRegressionModel"]
+    a, b = ([tuple(r) for r in L.scored(m, "file_name").orderBy("file_name", "prob").collect()]
+            for m in (model.transform(bags), want.transform(known)))
+    assert [(x[0], x[1], x[3]) for x in a] == [(x[0], x[1], x[3]) for x in b]
+    assert [x[2] for x in a] == pytest.approx([x[2] for x in b], abs=1e-4)
+    with pytest.raises(Exception, match="n must not be null"):
+        S.text_model(spark, f"{tmp_path}/n", S.Bags.of(files.withColumn("n", F.lit(None).cast("int")), "code", ["n"]))
+    from diffgauge.plans import q_features, q_text
+    monkeypatch.setattr(L, "text_model", lambda *a: 1 / 0)      # neither query fits a stage that holds the terms
+    for plan in (q_features.line_classifier, q_text.model_cache):
+        assert plan(spark, "/root/testdata/sf0.001").count() > 0

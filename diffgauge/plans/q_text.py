@@ -6,8 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 
 from diffgauge.functions import nested as S, numbers as N, text as X, words as W
-from diffgauge.operators import attribution as K, changes as J, models as L, tokens as TK
-from diffgauge.operators.features import feature_pipeline
+from diffgauge.operators import attribution as K, changes as J, file_study as FS, models as L, tokens as TK
 from diffgauge.operators.ranks import number_rows
 from diffgauge.plans import roles as R
 from diffgauge.plans.registry import query
@@ -220,13 +219,11 @@ def score_text(spark, d):
 
 @query("A14_model_cache")
 def model_cache(spark, d):
-    files = R.file_changes(spark, d)
+    bags = FS.Bags.of(R.file_changes(spark, d), "code", ["deletions", "additions", "changed_line"])
     path = f"{scratch_dir(spark)}/lg-demo-2-0"
-    stages = feature_pipeline("code", ["deletions", "additions", "changed_line"])
-    fit = lambda: L.text_model(files, stages)
-    L.fit_or_load(spark, path, fit)
-    model = L.fit_or_load(spark, path, fit)     # the second call loads
-    return L.scored(model.transform(files), "file_name").select(
+    FS.text_model(spark, path, bags)
+    model = FS.text_model(spark, path, bags)     # the second call loads
+    return L.scored(model.transform(bags), "file_name").select(
         "file_name", "label", F.round("prob", 4).alias("prob"), "prediction")
 
 

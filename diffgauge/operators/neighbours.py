@@ -18,6 +18,8 @@ from diffgauge.functions import numbers as N
 DECIMALS = 9        # distances are compared after rounding, ties go to the smaller id
 MAX_PIVOTS = 128
 BLOCK_ROWS, LONG_BLOCK_ROWS = 2048, 8192        # every block that meets another receives it once; long ones suit short vectors
+GROUPS = 128            # of reference rows, whose least values bound the k-th
+UNPRUNED = 0.5          # share of the pairs of cells from which on the cells are given up
 ROWS_AT_ONCE = 512      # queries of a block measured together
 
 
@@ -36,23 +38,24 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def k_nearest(a: np.ndarray, b: np.ndarray, k: int, barred: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per row of a the places and rounded distances of its k nearest rows of b; ties keep the earlier place.
 
-    |a|^2 + |b|^2 - 2ab, with the bound of its rounding error, only preselects;
-    what can be among the k nearest is measured by coordinate differences, so
-    far-off origins and near copies are told apart.
+    |b|^2 - 2ab, one matrix product, with the bound of its rounding error, only preselects; what can be among
+    the k nearest is measured by coordinate differences, so far-off origins and near copies are told apart.
     """
-    na, nb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
-    error = (na + nb) * (4 * (a.shape[1] + 4) * np.finfo(float).eps) + 1e-300
-    low = na + nb - 2.0 * (a @ b.T) - error
-    high = low + 2 * error
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    error = (na + 2.0 * nb.max(initial=0.0)) * (8 * (a.shape[1] + 5) * np.finfo(float).eps) + 1e-300
+    low = np.column_stack([-2.0 * a, np.ones(len(a))]) @ np.vstack([b.T, nb])
     if barred is not None:
-        low[barred] = high[barred] = np.inf
-    place = min(k, len(b)) - 1
-    limit = np.partition(high, place, axis=1)[:, place]
+        low[barred] = np.inf
+    # the k-th smallest of the groups' least values is no less than the k-th smallest of all
+    groups, k_here = min(len(b), max(GROUPS, k)), min(k, len(b))
+    least = np.minimum.reduceat(low, np.linspace(0, len(b), groups, endpoint=False).astype(int), axis=1)
+    upper = np.partition(least, k_here - 1, axis=1)[:, k_here - 1] + error + na
     # distances that round to the same number are ties
-    limit = (np.sqrt(np.maximum(limit, 0.0)) + 10.0 ** -DECIMALS) ** 2
+    limit = (np.sqrt(np.maximum(upper, 0.0)) + 10.0 ** -DECIMALS) ** 2 - na + 2 * error
     out = []
     for i, row in enumerate(a):
-        at = np.flatnonzero((low[i] <= limit[i]) & np.isfinite(low[i]))
+        at = np.flatnonzero(low[i] <= limit[i])
+        at = at[np.isfinite(low[i, at])]
         d = np.round(np.sqrt(((b[at] - row) ** 2).sum(1)), DECIMALS)
         best = np.argsort(d, kind="stable")[:k]
         out.append((at[best], d[best]))
@@ -116,6 +119,9 @@ def nearest_neighbours(queries: DataFrame, refs: DataFrame, key: str, vec: str,
     q_cells, r_cells = _assign(queries, key, vec, centre), _assign(refs, key, vec, centre)
     q_stats, r_stats = _stats(q_cells), _stats(r_cells)
     need = _needed(centre, q_stats, r_stats, k + int(exclude_self))
+    if len(r_stats) > 1 and sum(map(len, need.values())) > UNPRUNED * len(need) * len(r_stats):
+        # nearly all cells meet: fewer, fuller blocks receive fewer copies of every row
+        return nearest_neighbours(queries, refs, key, vec, k, exclude_self, 1, block_rows, seed)
 
     def blocks(stats, cell):
         return max(1, -(-stats[cell][0] // block_rows))

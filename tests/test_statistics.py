@@ -258,3 +258,39 @@ def test_rank_sum_is_exact_where_small_and_untied(spark):
     plain = {r["g"]: r for r in stats.mann_whitney(df, "v", "side", ["g"], exact=False).collect()}
     assert plain["large"]["p_two_sided"] == got["large"]["p_two_sided"] and plain["exact"]["method"] == "normal"
     assert abs(plain["exact"]["p_two_sided"] - r["p_two_sided"]) < 0.05
+
+
+def test_near_rows_are_preselected_by_groups(monkeypatch):
+    """No full row of products is partitioned, and the lists are those of brute force, with ties, copies and barred pairs."""
+    import numpy as np
+    from diffgauge.operators import neighbours as NB
+    rnd, widths, whole = np.random.default_rng(6), [], np.partition
+    monkeypatch.setattr(NB.np, "partition", lambda x, *a, **o: (widths.append(x.shape[1]), whole(x, *a, **o))[1])
+    for scale, off, size in ((1.0, 0.0, 900), (1e-3, 1e4, 900), (1e6, -7.0, 400), (1.0, 0.0, 2)):
+        b = rnd.integers(0, 4, (size, 4)) * scale + off
+        a = np.vstack([b[:20], rnd.normal(size=(15, 4)) * scale + off])
+        barred = rnd.random((len(a), size)) < 0.3
+        for bars in (None, barred):
+            for i, (at, far) in enumerate(NB.k_nearest(a, b, 3, bars)):
+                d = np.round(np.sqrt(((b - a[i]) ** 2).sum(1)), NB.DECIMALS)
+                allowed = np.arange(size) if bars is None else np.flatnonzero(~barred[i])
+                want = allowed[np.argsort(d[allowed], kind="stable")][:3]
+                assert at.tolist() == want.tolist() and far.tolist() == d[want].tolist()
+    assert max(widths) <= NB.GROUPS
+
+
+def test_cells_that_all_meet_are_given_up(spark, monkeypatch):
+    """Where distances prune nothing, every row goes to the blocks of one cell; clusters far apart keep their cells."""
+    import numpy as np
+    from diffgauge.operators import neighbours as NB
+    rnd, pivots, assign = np.random.default_rng(2), [], NB._assign
+    monkeypatch.setattr(NB, "_assign", lambda p, key, vec, centre: (pivots.append(len(centre)), assign(p, key, vec, centre))[1])
+    for rows, last in ((rnd.normal(size=(300, 30)), 1), (rnd.normal(size=(300, 2)) + 1e5 * (np.arange(300) % 6)[:, None], 6)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, v array<double>")
+        found = NB.nearest_neighbours(df, df, "id", "v", 3, exclude_self=True, pivots=6 if last == 1 else 40, block_rows=64).collect()
+        assert (pivots[-1] == 1) == (last == 1)
+        got = {(r["query"], r["rank"]): r["neighbour"] for r in found}
+        for i in range(300):
+            d = np.round(np.sqrt(((rows - rows[i]) ** 2).sum(1)), 9)
+            d[i] = np.inf
+            assert [got[i, n] for n in (1, 2, 3)] == np.argsort(d, kind="stable")[:3].tolist()
